@@ -26,7 +26,7 @@ from catalog_jobs.llm import winnow
 from catalog_jobs.llm.common import written
 
 NO_ID = -(1 << 63)
-RUNS = "m long, rh long, ord long, tie long, start int, n int"
+RUNS = "m long, rh long, ord long, tie long, start int, n int, tied boolean"
 
 
 @dataclass(frozen=True)
@@ -130,14 +130,15 @@ def repeated_runs(documents: DataFrame, chosen: DataFrame, unit: Unit, hashes: b
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, "t", unit.batch_bytes):
             units, bounds = unit.units(_whole(b.column("t")))
-            w, _ = winnow.windows(units, bounds, unit.size, unit.gram, whole=True)
+            w, grams = winnow.windows(units, bounds, unit.size, unit.gram, whole=True)
             first, n = winnow.runs(w)
             wanted = np.unique(pc.list_flatten(_whole(b.column("ms"))).to_numpy(zero_copy_only=False)).view(np.uint64)
             keep = np.isin(w.least[first], wanted)
             first, n = first[keep], n[keep]
             row = pa.array(w.doc[first])
             cols = [pa.array(w.least[first].view(np.int64)), pa.array(winnow.run_content(w, first, n).view(np.int64)), b.column("ord").take(row), b.column("tie").take(row), pa.array(w.place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
-            names = ["m", "rh", "ord", "tie", "start", "n"]
+            cols.append(pa.array(winnow.tied(w, grams, first, n, unit.width)))
+            names = ["m", "rh", "ord", "tie", "start", "n", "tied"]
             if hashes:
                 at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 cols.append(_lists(w.whole[at].view(np.int64), n))
@@ -155,8 +156,8 @@ def later_runs(found: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def differing(firsts: DataFrame) -> DataFrame:
-    """The rows of firsts whose anchor has runs of two or more contents."""
-    shared = written(firsts.groupBy("m").count().filter("count > 1").select("m"), "shared")
+    """The rows of firsts (m, tied) whose anchor has runs of two or more contents, or occurs twice inside a run."""
+    shared = written(firsts.groupBy("m").agg(F.count("*").alias("c"), F.max("tied").alias("t")).filter("c > 1 or t").select("m"), "shared")
     return firsts.join(shared, "m")
 
 

@@ -92,6 +92,16 @@ def runs(w: Windows) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(first, append=len(w.start))
 
 
+def tied(w: Windows, grams: np.ndarray, first: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """Which runs hold their anchor at two places, so that a window may repeat inside the run."""
+    places = anchors(w, grams, width)
+    low = np.searchsorted(places, w.start[first])
+    counts = np.searchsorted(places, w.start[first] + n - 1 + width) - low  # one at least: the run's own anchor
+    at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    same = grams[places[at]] == np.repeat(w.least[first], counts)
+    return np.add.reduceat(same, np.cumsum(counts) - counts, dtype=np.int64) > 1 if len(first) else np.zeros(0, bool)
+
+
 def run_content(w: Windows, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A hash of all units that each run's windows cover."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.whole, dtype=np.uint64)])
