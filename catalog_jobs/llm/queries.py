@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_jobs.llm import decontaminate, packing, quality, repeats, secret_scan, sharding, substring_dedup, url_filter
+from catalog_jobs.llm import decontaminate, near_dedup, packing, quality, repeats, secret_scan, sharding, substring_dedup, url_filter
 from catalog_jobs.llm.common import read, written
 
 #: Fixed values of the task: host, path, verdict.
@@ -40,6 +40,10 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.component_report(read(spark, sf_dir, "documents"), near_dedup.Join(words=2))
+
+
 def _doc_id(report: DataFrame):
     return F.when(F.col("ord") != repeats.NO_ID, F.col("ord")).alias("doc_id")
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op5_near_dedup": op5_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_histogram_shards": op8_histogram_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
