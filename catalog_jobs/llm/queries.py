@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_jobs.llm import decontaminate, near_dedup, packing, quality, repeats, secret_scan, sharding, substring_dedup, url_filter
+from catalog_jobs.llm import decontaminate, near_dedup, packing, quality, repeats, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter
 from catalog_jobs.llm.common import read, written
 
 #: Fixed values of the task: host, path, verdict.
@@ -53,6 +53,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(_doc_id(report), F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = suffix_dedup.dedup_bytes(read(spark, sf_dir, "documents"))
+    return report.select(_doc_id(report), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_histogram_shards": op8_histogram_shards,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -124,8 +124,13 @@ def first_texts(prints: DataFrame) -> DataFrame:
     return prints.groupBy("blob").agg(F.min(F.struct("ord", "tie")).alias("first"), F.first("ms").alias("ms"))
 
 
-def repeated_runs(documents: DataFrame, chosen: DataFrame, unit: Unit, hashes: bool) -> DataFrame:
-    """Runs of windows of keyed() rows whose anchor is in chosen(ord, ms); with `hashes`, also whs, each window's hash."""
+def suspects(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The keyed() rows with their anchors in chosen(ord, ms), as a table: only these are read again."""
+    return written(documents.join(chosen, "ord"), "suspects")
+
+
+def repeated_runs(rows: DataFrame, unit: Unit, hashes: bool) -> DataFrame:
+    """Runs of windows of suspects() rows whose anchor is in their ms; with `hashes`, also whs, each window's hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, "t", unit.batch_bytes):
@@ -145,7 +150,6 @@ def repeated_runs(documents: DataFrame, chosen: DataFrame, unit: Unit, hashes: b
                 names.append("whs")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = documents.join(chosen, "ord")
     return rows.mapInArrow(scan, RUNS + ", whs array<long>" * hashes)
 
 
@@ -156,11 +160,18 @@ def later_runs(found: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def differing(firsts: DataFrame) -> DataFrame:
-    """The rows of firsts (m, tied) whose anchor has runs of two or more contents, or occurs twice inside a run."""
-    shared = written(firsts.groupBy("m").agg(F.count("*").alias("c"), F.max("tied").alias("t")).filter("c > 1 or t").select("m"), "shared")
+    """The rows of firsts (m, tied) whose anchor has runs of two or more contents, or occurs twice inside a run; c counts an anchor's rows."""
+    shared = written(firsts.groupBy("m").agg(F.count("*").alias("c"), F.max("tied").alias("t")).filter("c > 1 or t").select("m", "c"), "shared")
     return firsts.join(shared, "m")
 
 
+def later_windows(windows: DataFrame) -> DataFrame:
+    """(ord, tie, start, n = 1) of windows (m, wh, ord, tie, start: a written table) that start earlier elsewhere in it."""
+    place = F.struct("ord", "tie", "start")
+    firsts = written(windows.groupBy("m", "wh").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "first_windows")
+    return windows.join(firsts, ["m", "wh"]).filter(place != F.col("first")).select("ord", "tie", "start", F.lit(1).alias("n"))
+
+
 def removed_report(documents: DataFrame, prints: DataFrame, copies: DataFrame, removed: DataFrame, unit: Unit) -> DataFrame:
     """(ord, n_units, n_removed, n_spans, kept_sha256) for each row of prints.
 
