@@ -74,12 +74,9 @@ def window_index(windows: DataFrame, documents: DataFrame, shingle: int = SHINGL
     return chosen.select("best.token", "best.offset", "words", "items"), lengths
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, share: int) -> DataFrame:
+    """(doc_id, h, copies, n_words, n_hit, n_items, items_sha256, contaminated) for each doc_id and text (h: its hash).
 
-    docs: doc_id, text; benchmark: item_id, text; other columns aren't read. A word is hit inside any occurrence of a window; a document
-    is contaminated if share * n_hit >= n_words and n_hit > 0. Null and empty texts have no words and aren't
-    contaminated; an empty benchmark hits nothing; rows with equal doc_id and text give equal rows, as many as there are.
     """
     documents = docs.select("doc_id", "text", words_of(F.col("text")).alias("w"))
     index, lengths = window_index(item_windows(benchmark, window), documents, shingle)
@@ -105,6 +102,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         lambda a, x: F.struct((a["n"] + F.greatest(x["e"] - F.greatest(x["s"], a["end"]), F.lit(0))).alias("n"), F.greatest(x["e"], a["end"]).alias("end")),
         lambda a: a["n"],
     )
-    out = by_doc.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "copies")
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
+    out = by_doc.select("doc_id", "h", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "copies")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    docs: doc_id, text; benchmark: item_id, text; other columns aren't read. A word is hit inside any occurrence of a window; a document
+    is contaminated if share * n_hit >= n_words and n_hit > 0. Null and empty texts have no words and aren't
+    contaminated; an empty benchmark hits nothing; rows with equal doc_id and text give equal rows, as many as there are.
+    """
+    found = _hits(docs, benchmark, window, shingle, share).drop("h")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns."""
+    found = _hits(docs, benchmark, window, shingle, share).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__h"))
+    return docs.join(found, same, "left_anti")

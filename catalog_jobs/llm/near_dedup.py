@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog_jobs.llm.common import written
@@ -231,7 +231,7 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
-    """(ord, n_shingles, root_ord) for each row of docs: root_ord is the least ord of all documents linked to it.
+    """(ord, tie, n_shingles, root) for each row of docs: root is the least struct(ord, tie) of all documents linked to it.
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets. Null texts and texts without words have
     no set and are linked with nothing. Documents with equal sets are one class from the start, so that copies
@@ -264,14 +264,24 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa:
         edges = edges.unionByName(written(confirmed(_between(more, labels), sets, join), "links"))
         labels = components(edges)
 
-    by_class = classes.select("cid", "digest", "ord").join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    roots = by_class.groupBy("root").agg(F.min("ord").alias("root_ord"))
-    known = written(by_class.join(roots, "root").select("digest", "root_ord"), "roots")
-    return rows.join(known, "digest", "left").select("ord", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root_ord", "ord").alias("root_ord"))
+    by_class = classes.select("cid", "digest", F.struct("ord", "tie").alias("first")).join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    roots = by_class.groupBy("root").agg(F.min("first").alias("least"))
+    known = written(by_class.join(roots, "root").select("digest", F.col("least").alias("root")), "roots")
+    return rows.join(known, "digest", "left").select("ord", "tie", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", F.struct("ord", "tie")).alias("root"))
 
 
 def component_report(docs: DataFrame, join: Join) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs; a null doc_id comes before all others."""
     found = near_duplicates(docs, join)
-    doc_id, component = (F.when(F.col(c) != NO_ID, F.col(c)) for c in ("ord", "root_ord"))
-    return found.select(doc_id.alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("ord") == F.col("root_ord")).alias("kept"))
+    doc_id, component = (F.when(F.col(c) != NO_ID, F.col(c)) for c in ("ord", "root.ord"))
+    return found.select(doc_id.alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("ord") == F.col("root.ord")).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
+    """The rows of docs that come first in their group of linked documents, with all their columns, each once; rows without words all stay."""
+    names = docs.columns
+    found = near_duplicates(docs, join).filter(F.struct("ord", "tie") == F.col("root"))
+    first = found.groupBy("ord", "tie").agg(F.max(F.col("n_shingles") > 0).alias("__set")).withColumnsRenamed({"ord": "__ord", "tie": "__tie"})
+    marked = docs.withColumn("__ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    copy = F.row_number().over(Window.partitionBy("__ord", "__tie").orderBy("__ord", "__tie"))
+    return marked.join(first, ["__ord", "__tie"]).withColumn("__copy", copy).filter((F.col("__copy") == 1) | ~F.col("__set")).select(*names)

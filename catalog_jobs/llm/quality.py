@@ -33,18 +33,18 @@ def _removed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def text_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_digits), one row for each row of docs.
+def text_stats(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """(*keys, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_digits), one row for each row of docs.
 
     Null and empty texts have 0 of everything. Windows are compared by a 64-bit hash within one text. One pass, no
     shuffle: a text's windows are compared inside its row, in n log n steps and only where two are equal.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    step = docs.select(F.col(key), t.alias("t"), split_words(F.col(text)).alias("w"))
+    step = docs.select(*keys, t.alias("t"), split_words(F.col(text)).alias("w"))
     gram = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(WINDOW))))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = step.select(
-        key,
+        *keys,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _removed(F.col("t"), r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
@@ -54,7 +54,7 @@ def text_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.when(F.size("w") >= WINDOW, gram).otherwise(F.array().cast("array<bigint>")).alias("g"),
     )
     step = step.select(
-        key, *STATS[:3], "n_upper", "n_digits",
+        *keys, *STATS[:3], "n_upper", "n_digits",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("g")) < F.size("g"), F.sort_array(F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s"),
     )
@@ -65,7 +65,7 @@ def text_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(p, a["end"])).alias("n"), (p + WINDOW).alias("end")),
         lambda a: a["n"],
     )
-    return step.select(key, *STATS[:4], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_upper", "n_digits")
+    return step.select(*keys, *STATS[:4], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_upper", "n_digits")
 
 
 @dataclass(frozen=True)
@@ -179,14 +179,22 @@ def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words"
     return (F.col(n_words) < 10) | (100 * F.col(n_repeat_words) > 20 * F.col(n_words))
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DecisionList]:
-    """Statistics of every document with base_failed and kept, and the list learned from labels (doc_id, quality).
+def judged(docs: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DecisionList]:
+    """(*keys, statistics, base_failed, kept) for every row of docs, and the list learned from labels (doc_id, quality).
 
     Labels with a null quality or of no document aren't used; a document with several labels counts once for each.
     The texts are read once: their statistics are written as a narrow table, which the learner and the verdicts read.
     """
-    stats = written(text_stats(docs), "stats")
+    stats = written(text_stats(docs, keys), "stats")
     labelled = stats.join(labels.filter("quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad")), "doc_id")
     # what the base rules reject needs no learned rule
     rules = learn_rules(labelled.filter(~base_failed()).withColumn("row_key", F.col("doc_id")))
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rules.rejects()), rules
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that neither the base rules nor the learned list reject, with all their columns."""
+    marked = docs.withColumn("__tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    stats, _ = judged(marked.select("doc_id", "text", "__tie"), labels, ("doc_id", "__tie"))
+    kept = stats.filter("kept").select(F.col("doc_id").alias("__id"), F.col("__tie").alias("__t"))
+    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t")), "left_semi").drop("__tie")

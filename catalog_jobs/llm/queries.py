@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_jobs.llm import decontaminate, near_dedup, packing, quality, repeats, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter
+from catalog_jobs.llm import decontaminate, line_dedup, near_dedup, packing, quality, repeats, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter
 from catalog_jobs.llm.common import read, written
 
 #: Fixed values of the task: host, path, verdict.
@@ -44,6 +44,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.component_report(read(spark, sf_dir, "documents"), near_dedup.Join(words=2))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", F.col("n_lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def _doc_id(report: DataFrame):
     return F.when(F.col("ord") != repeats.NO_ID, F.col("ord")).alias("doc_id")
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_dedup": op5_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_histogram_shards": op8_histogram_shards,
     "op9_suffix_dedup": op9_suffix_dedup,
