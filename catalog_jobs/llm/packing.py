@@ -24,7 +24,7 @@ from catalog_jobs.llm.common import written
 SALTS = 16
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Distinct words and bytes of text for which one batch is tokenized at once.
-BATCH_BYTES = 24_000_000
+BATCH_BYTES = 10_000_000
 
 
 class WordTokenizer:

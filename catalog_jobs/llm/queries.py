@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from catalog_jobs.llm import decontaminate, line_dedup, near_dedup, packing, quality, repeats, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter
 from catalog_jobs.llm.common import read, written
+from catalog_jobs.llm.sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: Fixed values of the task: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -85,5 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -106,5 +106,8 @@ def secret_report(found: DataFrame, rules: RuleSet = RULES, key: str = "doc_id")
         return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", F.get(names, f["kind"]), f["start"], f["end"])), ",")
 
     base = F.filter("findings", lambda f: f["kind"] < n_base)
-    counts = [F.size(F.filter("findings", lambda f, i=i: f["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules.rules) if r.base]
+    def count(i):
+        return F.size(F.filter("findings", lambda f: f["kind"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(rules.rules) if r.base]
     return found.select(key, *counts, F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
