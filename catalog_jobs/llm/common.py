@@ -36,8 +36,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives lost executors."""
+    """df as a table in the shared folder: it cuts the lineage and outlives lost executors.
+
+    Shuffle files of earlier steps go when the driver collects the plans that made them, which it is asked to do
+    here: a job of many steps would else keep all of them on the executors' disks to its end.
+    """
     path = new_path(df.sparkSession, name)
+    df.sparkSession._jvm.System.gc()
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
