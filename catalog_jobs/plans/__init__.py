@@ -1 +1 @@
-
+"""Whole workloads and the registered queries."""

@@ -1 +1 @@
-
+"""Streams of crawled files."""
