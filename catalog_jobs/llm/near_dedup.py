@@ -230,6 +230,53 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter("root_a <> root_b").select("a", "b")
 
 
+def _apart(large: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) in large nodes of documents outside the main component with documents of other components.
+
+    A node's main component is that of its first pivot; nodes with one main component are one group here, since they hold mostly the same copies. Its
+    documents outside are compared with all of its documents on the full sets, in blocks: no pair is a row unless it is a link,
+    and no task holds more than join.block documents outside and four times as many others.
+    """
+    held = written(large.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "held")
+    main = written(held.groupBy("node").agg(F.min_by("root", F.xxhash64("cid", F.lit(0))).alias("main")), "main")
+    members = written(held.join(main, "node").select("main", "cid", "root").distinct(), "members")
+    sizes = members.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("n_out")).filter("n_out > 0")
+    sizes = written(sizes.select("main", F.ceil(F.col("n") / (4 * join.block)).cast("int").alias("chunks"), F.ceil(F.col("n_out") / join.block).cast("int").alias("parts")), "blocks")
+    rows = written(members.join(sizes, "main").join(sets, "cid"), "members")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def one(n: str):
+        return F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+
+    both = rows.select("main", "cid", "root", "set", F.lit(False).alias("out"), one("chunks").alias("chunk"), every("parts").alias("part"))
+    out = rows.filter("root <> main").select("main", "cid", "root", "set", F.lit(True).alias("out"), every("chunks").alias("chunk"), one("parts").alias("part"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        out = np.array(table.column("out").to_pylist())
+        cid, root = (table.column(c).to_numpy() for c in ("cid", "root"))
+        full = [np.frombuffer(v, np.uint64) for v in table.column("set").to_pylist()]
+        ours, others = np.flatnonzero(out), np.flatnonzero(~out)
+        found: list[tuple[int, int]] = []
+        if len(ours) and len(others):
+            sizes = np.array([len(full[i]) for i in ours])
+            tokens, owner = np.concatenate([full[i] for i in ours]), np.repeat(np.arange(len(ours)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for j in others:
+                low, high = np.searchsorted(tokens, full[j], "left"), np.searchsorted(tokens, full[j], "right")
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(ours))
+                near = (100 * common >= join.percent * (sizes + len(full[j]) - common)) & (root[ours] != root[j])
+                found += [(int(cid[ours[k]]), int(cid[j])) for k in np.flatnonzero(near)]
+        a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return both.unionByName(out).groupBy("main", "chunk", "part").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
     """(ord, tie, n_shingles, root) for each row of docs: root is the least struct(ord, tie) of all documents linked to it.
 
@@ -253,15 +300,9 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa:
     edges = edges.unionByName(written(confirmed(_between(pairs, labels), sets, join), "links"))
     labels = components(edges)
 
-    # in large nodes, what isn't in the component of the node's first document is compared with all, in blocks
-    held = written(large.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "held")
-    main = written(held.groupBy("node").agg(F.min_by("root", F.xxhash64("cid", F.lit(0))).alias("main")), "main")
-    apart = held.join(main, "node").filter("root <> main")
-    me = F.struct("cid", "n", "s1", "s2")
-    blocks = written(apart.groupBy("node", F.pmod(F.xxhash64("cid"), F.lit(join.block)).alias("part")).agg(F.collect_list(me).alias("others")), "blocks")
-    if not blocks.isEmpty():
-        more = written(_against(held.join(blocks, "node"), join).distinct(), "pairs")
-        edges = edges.unionByName(written(confirmed(_between(more, labels), sets, join), "links"))
+    more = written(_apart(large.select("node", "cid"), labels, sets, join), "links")
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
         labels = components(edges)
 
     by_class = classes.select("cid", "digest", F.struct("ord", "tie").alias("first")).join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
