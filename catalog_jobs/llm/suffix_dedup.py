@@ -1,9 +1,9 @@
 """Suffix-array dedup of bytes: Burrows-Wheeler transforms of shards are merged by refining their interleave.
 
 Texts are cut down to what can repeat first (see repeats): runs of windows that share an anchor with another place but
-differ from it in content. Their bytes are dealt by anchor into buckets and shards; every shard sorts its own
-suffixes, and the transforms of a bucket's shards are merged without sorting suffixes again: after h rounds the interleave
-is in the order of the first h bytes and its block bounds are the places with common prefixes shorter than h.
+differ from it in content. Their bytes are dealt by anchor into buckets of bounded size, and by document into a bucket's shards; the
+suffixes of each shard are sorted on their own, and the shards' transforms are merged without sorting suffixes again: after h rounds the
+interleave is in the order of the first h bytes and its block bounds are the places with common prefixes shorter than h.
 After `size` rounds the blocks of two or more suffixes are the repeated intervals.
 """
 
@@ -13,16 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog_jobs.llm import repeats, winnow
-from catalog_jobs.llm.common import written
+from catalog_jobs.llm.common import without, written
 from catalog_jobs.llm.repeats import BYTES100, Unit, _parts, _whole
 
 #: Runs of one anchor up to which its bytes go to a bucket; the windows of an anchor with more are compared by hash, where no key is one task's work.
 BUCKET_RUNS = 256
-SHARDS = 3
+SHARDS = 2
 #: Bytes of runs in a bucket, about.
 BUCKET_BYTES = 3_000_000
 
@@ -47,7 +48,7 @@ def shard_transform(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if h >= longest or rank[order[-1]] == len(text):
             break
     before = np.concatenate([[0], text[:-1]])
-    return before[order].astype(np.uint16), order.astype(np.int32)
+    return before[order].astype(np.uint8), order.astype(np.int32)
 
 
 def merge_transforms(transforms: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,49 +58,41 @@ def merge_transforms(transforms: list[np.ndarray], size: int) -> tuple[np.ndarra
     preceding byte is least come first. Suffixes that consist of an end stay at the front.
     """
     n_ends = [int((t == 0).sum()) for t in transforms]
-    shard = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms]).astype(np.uint8)
-    front = np.repeat(np.arange(len(transforms)), n_ends).astype(np.uint8)
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
+    front = np.repeat(np.arange(len(transforms), dtype=np.uint8), n_ends)
+    n = len(front)
     bound = np.zeros(len(shard), bool)
     bound[0] = True
+    before = np.empty(len(shard), np.uint8)
     for _ in range(size):
-        before = np.empty(len(shard), np.uint16)
         for i, t in enumerate(transforms):
             before[shard == i] = t
-        block = np.cumsum(bound)
-        order = np.argsort(before, kind="stable")[len(front) :]
-        byte, block = before[order], block[order]
-        shard = np.concatenate([front, shard[order]])
-        bound = np.ones(len(shard), bool)
-        bound[1 : len(front)] = False
-        bound[len(front) + 1 :] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
+        order = np.argsort(before, kind="stable")[n:]
+        byte, block = before[order], np.cumsum(bound, dtype=np.int32)[order]
+        shard[n:] = shard[order]
+        shard[:n] = front
+        bound[1:n] = False
+        bound[n] = True
+        bound[n + 1 :] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
     return shard, bound
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """One bucket's shard of runs (bucket, shard, ord, tie, start, n, seg) -> its transform, suffix array and runs in one row."""
-    transform, order = shard_transform(table.column("seg").to_pylist())
-    one = {c: pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("bucket", "shard")}
-    arrays = {c: table.column(c).combine_chunks().to_numpy() for c in ("ord", "tie", "start", "n")}
-    blobs = {"bwt": transform, "sa": order} | arrays
-    return pa.table(one | {c: pa.array([v.tobytes()], pa.binary()) for c, v in blobs.items()})
-
-
-def _merge(size: int):
+def _bucket(size: int):
     def merge(table: pa.Table) -> pa.Table:
-        """All shards of one bucket -> (ord, tie, start, n = 1) of the windows that start earlier elsewhere."""
-        rows = table.sort_by("shard").to_pylist()
-        transforms = [np.frombuffer(r["bwt"], np.uint16) for r in rows]
-        shard, bound = merge_transforms(transforms, size)
+        """The runs of one bucket (ord, tie, start, n, seg) -> (ord, tie, start, n = 1) of the windows that start earlier elsewhere."""
+        dealt = pa.array(table.column("ord").to_numpy() % SHARDS)
+        shards = [t for i in range(SHARDS) if (t := table.filter(pc.equal(dealt, i))).num_rows]
+        made = [shard_transform(t.column("seg").to_pylist()) for t in shards]
+        shard, bound = merge_transforms([t for t, _ in made], size)
         ord_, tie, start, valid = (np.zeros(len(shard), t) for t in (np.int64, np.int64, np.int64, bool))
-        for i, r in enumerate(rows):
-            n = np.frombuffer(r["n"], np.int32).astype(np.int64)
+        for i, (t, (_, at)) in enumerate(zip(shards, made, strict=True)):
+            n = t.column("n").to_numpy().astype(np.int64)
             lengths = n + size  # n - 1 + size bytes and the end
             begin = np.cumsum(lengths) - lengths
-            at = np.frombuffer(r["sa"], np.int32)
             run = np.searchsorted(begin, at, "right") - 1
             here = shard == i
-            ord_[here], tie[here] = np.frombuffer(r["ord"], np.int64)[run], np.frombuffer(r["tie"], np.int64)[run]
-            start[here], valid[here] = np.frombuffer(r["start"], np.int32)[run] + at - begin[run], at - begin[run] < n[run]
+            ord_[here], tie[here] = t.column("ord").to_numpy()[run], t.column("tie").to_numpy()[run]
+            start[here], valid[here] = t.column("start").to_numpy()[run] + at - begin[run], at - begin[run] < n[run]
         block = np.cumsum(bound)[valid]
         ord_, tie, start = ord_[valid], tie[valid], start[valid]
         order = np.lexsort((start, tie, ord_, block))
@@ -148,9 +141,11 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
     documents = repeats.keyed(docs)
     prints = written(repeats.fingerprints(documents, unit), "prints")
     texts = written(repeats.first_texts(prints), "texts")
+    prints = without(prints, "ms")
     anchors = texts.select(F.explode("ms").alias("m"), F.col("first.ord").alias("ord"))
     again = written(anchors.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "again")
     rows = repeats.suspects(documents, anchors.join(again, "m").groupBy("ord").agg(F.collect_set("m").alias("ms")))
+    texts = without(texts, "ms")
     found = written(repeats.repeated_runs(rows, unit, hashes=False), "found")
     firsts = written(found.groupBy("m", "rh").agg(F.min(F.struct("ord", "tie", "start")).alias("first"), F.max("n").alias("n"), F.max("tied").alias("tied")), "firsts")
 
@@ -159,9 +154,7 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
     cold = contents.filter("seg is not null")
     n_bytes = cold.agg(F.sum(F.col("n") + unit.size)).first()[0] or 0
     bucket = F.pmod(F.xxhash64("m"), F.lit(n_bytes // BUCKET_BYTES + 1)).cast("int").alias("bucket")
-    shard = F.pmod(F.xxhash64("ord"), F.lit(SHARDS)).cast("int").alias("shard")
-    sorted_ = cold.select(bucket, shard, "ord", "tie", "start", "n", "seg").groupBy("bucket", "shard").applyInArrow(_pack, "bucket int, shard int, bwt binary, sa binary, ord binary, tie binary, start binary, n binary")
-    merged = sorted_.groupBy("bucket").applyInArrow(_merge(unit.size), "ord long, tie long, start int, n int")
+    merged = cold.select(bucket, "ord", "tie", "start", "n", "seg").groupBy("bucket").applyInArrow(_bucket(unit.size), "ord long, tie long, start int, n int")
     hot = contents.filter("whs is not null").select("m", "ord", "tie", "start", F.posexplode("whs").alias("i", "wh"))
     windows = written(hot.select("m", "wh", "ord", "tie", (F.col("start") + F.col("i")).alias("start")), "windows")
     removed = repeats.later_runs(found, firsts).unionByName(merged).unionByName(repeats.later_windows(windows))
