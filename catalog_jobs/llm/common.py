@@ -53,12 +53,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a written() table that nothing reads any more."""
+    if files := table.inputFiles():
+        remove(table.sparkSession, files[0].rpartition("/")[0])
+
+
 def without(table: DataFrame, *columns: str) -> DataFrame:
     """A written() table without some columns, written again; the old one is deleted, to free its disk space."""
-    old = table.inputFiles()
     new = written(table.drop(*columns), "part")
-    if old:
-        remove(table.sparkSession, old[0].rpartition("/")[0])
+    discard(table)
     return new
 
 

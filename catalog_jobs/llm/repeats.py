@@ -129,8 +129,8 @@ def suspects(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     return written(documents.join(chosen, "ord"), "suspects")
 
 
-def repeated_runs(rows: DataFrame, unit: Unit, hashes: bool) -> DataFrame:
-    """Runs of windows of suspects() rows whose anchor is in their ms; with `hashes`, also whs, each window's hash."""
+def repeated_runs(rows: DataFrame, unit: Unit) -> DataFrame:
+    """Runs of windows of suspects() rows whose anchor is in their ms."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, "t", unit.batch_bytes):
@@ -144,13 +144,14 @@ def repeated_runs(rows: DataFrame, unit: Unit, hashes: bool) -> DataFrame:
             cols = [pa.array(w.least[first].view(np.int64)), pa.array(winnow.run_content(w, first, n).view(np.int64)), b.column("ord").take(row), b.column("tie").take(row), pa.array(w.place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
             cols.append(pa.array(winnow.tied(w, grams, first, n, unit.width)))
             names = ["m", "rh", "ord", "tie", "start", "n", "tied"]
-            if hashes:
-                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                cols.append(_lists(w.whole[at].view(np.int64), n))
-                names.append("whs")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.mapInArrow(scan, RUNS + ", whs array<long>" * hashes)
+    return rows.mapInArrow(scan, RUNS)
+
+
+def first_runs(found: DataFrame) -> DataFrame:
+    """(m, rh, first, n, tied): the first of the runs of each content."""
+    return written(found.groupBy("m", "rh").agg(F.min(F.struct("ord", "tie", "start")).alias("first"), F.max("n").alias("n"), F.max("tied").alias("tied")), "firsts")
 
 
 def later_runs(found: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -165,6 +166,38 @@ def differing(firsts: DataFrame) -> DataFrame:
     return firsts.join(shared, "m")
 
 
+def run_contents(suspects: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
+    """(m, ord, tie, start, n, seg, whs) for runs (m, first, n, hot) of suspects(): their bytes, or the hashes of their windows if hot."""
+    wanted = runs.groupBy(F.col("first.ord").alias("ord"), F.col("first.tie").alias("tie")).agg(F.collect_list(F.struct("m", F.col("first.start").alias("start"), "n", "hot")).alias("runs"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, "t", unit.batch_bytes):
+            texts, lists = _whole(b.column("t")), _whole(b.column("runs"))
+            raw = texts.cast(pa.binary()).to_pylist()
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(raw)), lists.value_lengths().to_numpy())
+            m, start, n, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("m", "start", "n", "hot"))
+            whole = None
+            if hot.any():
+                units, bounds = unit.units(texts)
+                whole = winnow.span_hashes(units, [unit.size])[unit.size].view(np.int64)
+            segs = [None if h else raw[r][s : s + k - 1 + unit.size] for r, s, k, h in zip(row, start, n, hot, strict=True)]
+            whs = [whole[bounds[r] + s : bounds[r] + s + k] if h else None for r, s, k, h in zip(row, start, n, hot, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(m), b.column("ord").take(pa.array(row)), b.column("tie").take(pa.array(row)), pa.array(start), pa.array(n), pa.array(segs, pa.binary()), pa.array(whs, pa.list_(pa.int64()))],
+                ["m", "ord", "tie", "start", "n", "seg", "whs"],
+            )
+
+    texts = suspects.select("ord", "tie", "t").dropDuplicates(["ord", "tie"])
+    return texts.join(wanted, ["ord", "tie"]).mapInArrow(scan, "m long, ord long, tie long, start int, n int, seg binary, whs array<long>")
+
+
+def windows_of(contents: DataFrame) -> DataFrame:
+    """(m, wh, ord, tie, start): each window of run_contents() rows with hashes, as a table."""
+    each = contents.select("m", "ord", "tie", "start", F.posexplode("whs").alias("i", "wh"))
+    return written(each.select("m", "wh", "ord", "tie", (F.col("start") + F.col("i")).alias("start")), "windows")
+
+
 def later_windows(windows: DataFrame) -> DataFrame:
     """(ord, tie, start, n = 1) of windows (m, wh, ord, tie, start: a written table) that start earlier elsewhere in it."""
     place = F.struct("ord", "tie", "start")

@@ -9,17 +9,15 @@ After `size` rounds the blocks of two or more suffixes are the repeated interval
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog_jobs.llm import repeats, winnow
+from catalog_jobs.llm import repeats
 from catalog_jobs.llm.common import without, written
-from catalog_jobs.llm.repeats import BYTES100, Unit, _parts, _whole
+from catalog_jobs.llm.repeats import BYTES100, Unit
 
 #: Runs of one anchor up to which its bytes go to a bucket; the windows of an anchor with more are compared by hash, where no key is one task's work.
 BUCKET_RUNS = 256
@@ -106,32 +104,6 @@ def _bucket(size: int):
     return merge
 
 
-def _contents(suspects: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
-    """(m, ord, tie, start, n, seg, whs) for runs (m, first, n, hot): their bytes, or the hashes of their windows if hot."""
-    wanted = runs.groupBy(F.col("first.ord").alias("ord"), F.col("first.tie").alias("tie")).agg(F.collect_list(F.struct("m", F.col("first.start").alias("start"), "n", "hot")).alias("runs"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches, "t", unit.batch_bytes):
-            texts, lists = _whole(b.column("t")), _whole(b.column("runs"))
-            raw = texts.cast(pa.binary()).to_pylist()
-            flat = lists.flatten()
-            row = np.repeat(np.arange(len(raw)), lists.value_lengths().to_numpy())
-            m, start, n, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("m", "start", "n", "hot"))
-            whole = None
-            if hot.any():
-                units, bounds = unit.units(texts)
-                whole = winnow.span_hashes(units, [unit.size])[unit.size].view(np.int64)
-            segs = [None if h else raw[r][s : s + k - 1 + unit.size] for r, s, k, h in zip(row, start, n, hot, strict=True)]
-            whs = [whole[bounds[r] + s : bounds[r] + s + k] if h else None for r, s, k, h in zip(row, start, n, hot, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(m), b.column("ord").take(pa.array(row)), b.column("tie").take(pa.array(row)), pa.array(start), pa.array(n), pa.array(segs, pa.binary()), pa.array(whs, pa.list_(pa.int64()))],
-                ["m", "ord", "tie", "start", "n", "seg", "whs"],
-            )
-
-    texts = suspects.select("ord", "tie", "t").dropDuplicates(["ord", "tie"])
-    return texts.join(wanted, ["ord", "tie"]).mapInArrow(scan, "m long, ord long, tie long, start int, n int, seg binary, whs array<long>")
-
-
 def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
     """(ord, n_units, n_removed, n_spans, kept_sha256) for each row of docs: bytes in a window that also starts earlier are removed.
 
@@ -146,16 +118,15 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
     again = written(anchors.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "again")
     rows = repeats.suspects(documents, anchors.join(again, "m").groupBy("ord").agg(F.collect_set("m").alias("ms")))
     texts = without(texts, "ms")
-    found = written(repeats.repeated_runs(rows, unit, hashes=False), "found")
-    firsts = written(found.groupBy("m", "rh").agg(F.min(F.struct("ord", "tie", "start")).alias("first"), F.max("n").alias("n"), F.max("tied").alias("tied")), "firsts")
+    found = written(repeats.repeated_runs(rows, unit), "found")
+    firsts = repeats.first_runs(found)
 
     runs = repeats.differing(firsts).select("m", "first", "n", (F.col("c") > BUCKET_RUNS).alias("hot"))
-    contents = written(_contents(rows, runs, unit), "contents")
+    contents = written(repeats.run_contents(rows, runs, unit), "contents")
     cold = contents.filter("seg is not null")
     n_bytes = cold.agg(F.sum(F.col("n") + unit.size)).first()[0] or 0
     bucket = F.pmod(F.xxhash64("m"), F.lit(n_bytes // BUCKET_BYTES + 1)).cast("int").alias("bucket")
     merged = cold.select(bucket, "ord", "tie", "start", "n", "seg").groupBy("bucket").applyInArrow(_bucket(unit.size), "ord long, tie long, start int, n int")
-    hot = contents.filter("whs is not null").select("m", "ord", "tie", "start", F.posexplode("whs").alias("i", "wh"))
-    windows = written(hot.select("m", "wh", "ord", "tie", (F.col("start") + F.col("i")).alias("start")), "windows")
+    windows = repeats.windows_of(contents.filter("whs is not null"))
     removed = repeats.later_runs(found, firsts).unionByName(merged).unionByName(repeats.later_windows(windows))
     return repeats.removed_report(rows, prints, texts, removed, unit)
