@@ -45,7 +45,7 @@ def read_product_json(df: DataFrame, body: str = "html") -> tuple[DataFrame, Dat
         *rest, "product_id", F.col("p.maker_id"), F.col("p.down_url").alias("site_url"), F.col("p.work_name").alias("title"), F.col("p.work_image").alias("banner_url"),
         F.lit("N/A").alias("version"), F.col("p.work_type"), F.col("p.regist_date").alias("register_date"),
     )
-    return products, df.join(parsed.filter("coalesce(size(products), 0) < 1").select(*rest).distinct(), rest, "left_semi") if rest else df.filter(F.lit(False))
+    return products, parsed.filter("coalesce(size(products), 0) < 1").select(*df.columns)
 
 
 def read_app_json(df: DataFrame, body: str = "html") -> DataFrame:
