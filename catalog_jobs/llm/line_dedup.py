@@ -41,7 +41,8 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     starts = written(later.groupBy("ord", "tie").agg(F.collect_set("i").alias("starts")), "starts")
     names = docs.columns
     marked = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__ord"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__tie"))
-    marked = marked.join(starts.select(F.col("ord").alias("__ord"), F.col("tie").alias("__tie"), F.col("starts").alias("__starts")), ["__ord", "__tie"], "left")
+    # always the same join: the list of cut documents grows with the input, and a broadcast of it would hold at small sizes only
+    marked = marked.join(starts.hint("merge").select(F.col("ord").alias("__ord"), F.col("tie").alias("__tie"), F.col("starts").alias("__starts")), ["__ord", "__tie"], "left")
     lines = F.split(F.col(text), "\n")
     marked = marked.withColumn("__kept", F.when(F.col("__starts").isNotNull(), _kept_lines(lines, F.col("__starts"))))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
