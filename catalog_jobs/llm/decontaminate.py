@@ -14,7 +14,8 @@ from catalog_jobs.llm.common import NON_WORD, lower_ascii, split_words
 
 #: Words in a window, and in a shingle (windows of fewer words have one shingle, all of their words).
 WINDOW, SHINGLE = 13, 4
-#: Index rows up to this number are broadcast (about 300 bytes each); more are joined by a shuffle on the shingle.
+#: Index rows up to this number are broadcast (about 300 bytes each); more are joined by a shuffle on the shingle, with
+#: the documents' keys alone; their words follow by key.
 BROADCAST_ROWS = 200_000
 
 
@@ -74,27 +75,46 @@ def window_index(windows: DataFrame, documents: DataFrame, shingle: int = SHINGL
     return chosen.select("best.token", "best.offset", "words", "items"), lengths
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, share: int) -> DataFrame:
-    """(doc_id, h, copies, n_words, n_hit, n_items, items_sha256, contaminated) for each doc_id and text (h: its hash).
+def _met_by_broadcast(keyed: DataFrame, index: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, h, w, copies, start, words, items): the windows that documents may hold, of an index that each task holds whole.
+
+    Every document also meets one row behind its last word, without words and with copies = 1, so that those without a hit stay.
+    """
+    places = _document_shingles(keyed, lengths, end=True)
+    tail = keyed.sparkSession.createDataFrame([(0, 0, [], [])], "token long, offset int, words array<string>, items array<string>")
+    met = places.join(F.broadcast(index.unionByName(tail)), "token")
+    return met.select("doc_id", "h", "w", F.when(F.size("words") == 0, 1).alias("copies"), (F.col("pos") - F.col("offset")).alias("start"), "words", "items")
+
+
+def _met_by_shuffle(keyed: DataFrame, index: DataFrame, lengths: list[int]) -> DataFrame:
+    """As _met_by_broadcast, for an index of any size: places go to it by shingle, and only their documents' keys go with them.
 
+    The words are brought back by the document's key, once for each doc_id and text; copies counts the rows, once in each of a document's rows here.
     """
+    places = _document_shingles(keyed, lengths).select("doc_id", "h", "pos", "token")
+    near = places.join(index.hint("merge"), "token").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), (F.col("pos") - F.col("offset")).alias("start"), "words", "items")
+    each = keyed.groupBy("doc_id", "h").agg(F.first("w").alias("w"), F.count("*").alias("copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
+    return each.join(near.hint("merge"), same, "left").select("doc_id", "h", "w", "copies", "start", "words", "items")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, share: int) -> DataFrame:
+    """(doc_id, h, copies, n_words, n_hit, n_items, items_sha256, contaminated) for each doc_id and text (h: its hash)."""
     documents = docs.select("doc_id", "text", words_of(F.col("text")).alias("w"))
     index, lengths = window_index(item_windows(benchmark, window), documents, shingle)
     index = index.cache()
-    index = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
-
-    # every document also meets one row behind its last word, so that those without a hit stay
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("w"))
-    places = _document_shingles(keyed, lengths, end=True)
-    spark = docs.sparkSession
-    tail = spark.createDataFrame([(0, 0, [], [])], "token long, offset int, words array<string>, items array<string>")
-    start = F.col("pos") - F.col("offset")
-    fits = (start >= 0) & (start + F.size("words") <= F.size("w"))
-    hits = places.join(F.broadcast(index.unionByName(tail)), "token").filter(fits).filter(F.slice("w", start + 1, F.size("words")) == F.col("words"))
-    real = F.size("words") > 0
-    found = hits.select("doc_id", "h", F.size("w").cast("long").alias("n_words"), F.when(real, F.struct(start.alias("s"), (start + F.size("words")).alias("e"))).alias("span"), F.when(real, F.col("items")).alias("items"))
+    small = index.count() <= BROADCAST_ROWS
+    met = (_met_by_broadcast if small else _met_by_shuffle)(keyed, index, lengths)
+    copies = F.count("copies") if small else F.max("copies")
+
+    start, size = F.col("start"), F.size("words")
+    fits = (start >= 0) & (start + size <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("words"))
+    real = (size > 0) & fits
+    rows = met.filter(fits) if small else met  # by shuffle, a document without a hit stays as a row of nulls
+    found = rows.select("doc_id", "h", "copies", F.size("w").cast("long").alias("n_words"), F.when(real, F.struct(start.alias("s"), (start + size).alias("e"))).alias("span"), F.when(real, F.col("items")).alias("items"))
     by_doc = found.groupBy("doc_id", "h").agg(
-        F.max("n_words").alias("n_words"), F.count_if(F.col("span").isNull()).alias("copies"),
+        F.max("n_words").alias("n_words"), copies.alias("copies"),
         F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     n_hit = F.aggregate(

@@ -43,6 +43,21 @@ def test_contamination(spark, docs, monkeypatch, limit):
     assert got == brute.contamination(DOCS, items())
 
 
+def test_contamination_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    bench = clashing(spark.createDataFrame(items(), BENCH))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that only what the operator asks for is broadcast
+    try:
+        found = decontaminate.contamination(docs, bench)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert rows(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.contamination(DOCS, items())
+        left = decontaminate.clean_documents(docs, bench)
+        assert left.count() == sum(not c for *_, c in brute.contamination(DOCS, items()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_contamination_without_rows(spark, docs):
     none = spark.createDataFrame([], BENCH)
     assert rows(decontaminate.contamination(docs, none), "doc_id", "n_hit", "contaminated") == sorted(((d, 0, False) for d, _ in DOCS), key=repr)
