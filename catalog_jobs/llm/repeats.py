@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_jobs.llm import winnow
@@ -78,6 +78,14 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ord"), F.xxhash64(t).alias("tie"), t.alias("t"))
 
 
+def document_key(of: str = "") -> Column:
+    """k: 32 bits for (ord, tie), which stand for a document where its anchors are gathered.
+
+    Documents that share one are looked at for each other's anchors too, which changes no result.
+    """
+    return F.hash(f"{of}ord", f"{of}tie").alias("k")
+
+
 def _parts(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Each batch in slices of about `most` bytes of text; a longer text is a slice of its own."""
     for b in batches:
@@ -125,8 +133,8 @@ def first_texts(prints: DataFrame) -> DataFrame:
 
 
 def suspects(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The keyed() rows with their anchors in chosen(ord, ms), as a table: only these are read again."""
-    return written(documents.join(chosen, "ord"), "suspects")
+    """The keyed() rows with their anchors in chosen(k, ms), as a table: only these are read again."""
+    return written(documents.withColumn("k", document_key()).join(chosen, "k").drop("k"), "suspects")
 
 
 def repeated_runs(rows: DataFrame, unit: Unit) -> DataFrame:

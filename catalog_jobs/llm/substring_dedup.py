@@ -14,7 +14,7 @@ from catalog_jobs.llm.repeats import WORDS20, Unit
 
 @dataclass
 class FingerprintIndex:
-    """Immutable runs, each a table (m, ord) sorted by m: the anchors m of every text seen, with its first document.
+    """Immutable runs, each a table (m, k) sorted by m: the anchors m of every text seen, with the key k of its first document.
 
     A run is written once, in ranges of m. When `fan_in` runs have piled up on a level, they are merged into one run on the next level.
     """
@@ -25,15 +25,15 @@ class FingerprintIndex:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema("m long, ord long").parquet(*(p for _, p in self.runs)) if self.runs else self.spark.createDataFrame([], "m long, ord long")
+        return self.spark.read.schema("m long, k int").parquet(*(p for _, p in self.runs)) if self.runs else self.spark.createDataFrame([], "m long, k int")
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = new_path(self.spark, f"run{level}")
-        rows.repartitionByRange("m", "ord").sortWithinPartitions("m", "ord").write.parquet(path)
+        rows.repartitionByRange("m", "k").sortWithinPartitions("m", "k").write.parquet(path)
         self.runs.append((level, path))
 
     def matches(self, batch: DataFrame) -> DataFrame:
-        """Anchors of the batch (m, ord: a row for each place) that occur at two places or more, in the batch or in the runs."""
+        """Anchors of the batch (m, k: a row for each place) that occur at two places or more, in the batch or in the runs."""
         new = batch.groupBy("m").agg(F.count("*").alias("n"))
         old = self.rows().select("m").distinct().hint("merge")
         return new.join(old.withColumn("seen", F.lit(True)), "m", "left").filter((F.col("n") > 1) | F.col("seen")).select("m")
@@ -47,7 +47,7 @@ class FingerprintIndex:
         while any(at >= level for at, _ in self.runs):
             full = [p for at, p in self.runs if at == level]
             if len(full) >= self.fan_in:
-                merged = self.spark.read.schema("m long, ord long").parquet(*full)
+                merged = self.spark.read.schema("m long, k int").parquet(*full)
                 self._write(merged, level + 1)
                 self.runs = [r for r in self.runs if r[1] not in full]
                 for p in full:
@@ -78,10 +78,10 @@ class SubstringDedup:
         else:
             texts = texts.withColumn("new", F.lit(True))
         texts = written(texts.withColumn("ms", F.when(F.col("new"), F.col("ms"))), "texts")
-        batch = texts.filter("new").select(F.explode("ms").alias("m"), F.col("first.ord").alias("ord"))
+        batch = texts.filter("new").select(F.explode("ms").alias("m"), repeats.document_key("first."))
         matched = written(self.index.matches(batch), "matched")
         # anchors that occur again choose the documents to look at: new ones and those of the runs
-        holders = batch.unionByName(self.index.rows()).join(matched, "m").groupBy("ord").agg(F.collect_set("m").alias("ms"))
+        holders = batch.unionByName(self.index.rows()).join(matched, "m").groupBy("k").agg(F.collect_set("m").alias("ms"))
         everything = documents if self.history is None else self.history.unionByName(documents)
         rows = repeats.suspects(everything, holders)
         if last:

@@ -114,9 +114,9 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
     prints = written(repeats.fingerprints(documents, unit), "prints")
     texts = written(repeats.first_texts(prints), "texts")
     prints = without(prints, "ms")
-    anchors = texts.select(F.explode("ms").alias("m"), F.col("first.ord").alias("ord"))
+    anchors = texts.select(F.explode("ms").alias("m"), repeats.document_key("first."))
     again = written(anchors.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "again")
-    rows = repeats.suspects(documents, anchors.join(again, "m").groupBy("ord").agg(F.collect_set("m").alias("ms")))
+    rows = repeats.suspects(documents, anchors.join(again, "m").groupBy("k").agg(F.collect_set("m").alias("ms")))
     texts = without(texts, "ms")
     found = written(repeats.repeated_runs(rows, unit), "found")
     firsts = repeats.first_runs(found)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from catalog_jobs.llm import decontaminate, line_dedup, near_dedup, packing, quality, queries, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter, winnow
+from catalog_jobs.llm import decontaminate, line_dedup, near_dedup, packing, quality, queries, repeats, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter, winnow
 from catalog_jobs.llm.common import lower_ascii, written
 from catalog_jobs.llm.components import components
 from catalog_jobs.llm.repeats import NO_ID, WORDS20
@@ -180,6 +180,32 @@ def test_substring_dedup(spark, docs, n_batches):
     assert substring_dedup.dedup_in_batches(empty(spark), n_batches).count() == 0
 
 
+@pytest.mark.parametrize("operator", ["words", "bytes"])
+def test_anchors_of_documents_with_one_doc_id_stay_apart(spark, monkeypatch, operator):
+    """A third of the rows under null and a third under one doc_id, with differing texts: each is given anchors of its own text only."""
+    rng = random.Random(12)
+    passages = [sentence(rng, 40) for _ in range(40)]
+    docs = [(None if i < 20 else 7, sentence(rng, 6) + " " + p) for i, p in enumerate(passages)] + [(100 + i, sentence(rng, 6) + " " + p) for i, p in enumerate(passages[::2])]
+    given, suspects = [], repeats.suspects
+
+    def watched(documents, chosen):
+        given.append((table := suspects(documents, chosen)).select("ord", "tie", "t", "ms").collect())
+        return table
+
+    monkeypatch.setattr(repeats, "suspects", watched)
+    df, report = frame(spark, docs), f"nullif(ord, {NO_ID}) AS doc_id"
+    if operator == "words":
+        got = rows(substring_dedup.dedup_in_batches(df, 2).selectExpr(report, "*"), "doc_id", "n_units", "n_removed", "kept_sha256")
+        assert got == brute.substring_report(docs)
+    else:
+        got = rows(suffix_dedup.dedup_bytes(df).selectExpr(report, "*"), "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
+        assert got == brute.byte_report(docs)
+    unit = repeats.WORDS20 if operator == "words" else repeats.BYTES100
+    own = {(r.ord, r.tie): set(r.ms) for r in repeats.fingerprints(repeats.keyed(df), unit).collect()}
+    assert any(given)
+    assert all(r.ms and set(r.ms) <= own[r.ord, r.tie] for table in given for r in table)
+
+
 def test_fingerprint_index_is_compacted(spark):
     job = substring_dedup.SubstringDedup(spark, WORDS20, fan_in=2)
     parts = [job.add(frame(spark, DOCS[i : i + 15])).select("ord", "n_removed") for i in range(0, 60, 15)]
