@@ -26,6 +26,8 @@ from catalog_jobs.llm import winnow
 from catalog_jobs.llm.common import written
 
 NO_ID = -(1 << 63)
+#: Windows of a run that are one row, where a run goes by the hashes of its windows.
+PIECE = 1 << 16
 RUNS = "m long, rh long, ord long, tie long, start int, n int, tied boolean"
 
 
@@ -169,13 +171,13 @@ def later_runs(found: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def differing(firsts: DataFrame) -> DataFrame:
-    """The rows of firsts (m, tied) whose anchor has runs of two or more contents, or occurs twice inside a run; c counts an anchor's rows."""
-    shared = written(firsts.groupBy("m").agg(F.count("*").alias("c"), F.max("tied").alias("t")).filter("c > 1 or t").select("m", "c"), "shared")
+    """The rows of firsts (m, tied) whose anchor has runs of two or more contents, or occurs twice inside a run; c counts an anchor's rows, w their windows."""
+    shared = written(firsts.groupBy("m").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.max("tied").alias("t")).filter("c > 1 or t").select("m", "c", "w"), "shared")
     return firsts.join(shared, "m")
 
 
 def run_contents(suspects: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
-    """(m, ord, tie, start, n, seg, whs) for runs (m, first, n, hot) of suspects(): their bytes, or the hashes of their windows if hot."""
+    """(m, ord, tie, start, n, seg, whs) for runs (m, first, n, hot) of suspects(): their bytes, or the hashes of their windows if hot, in pieces of PIECE windows."""
     wanted = runs.groupBy(F.col("first.ord").alias("ord"), F.col("first.tie").alias("tie")).agg(F.collect_list(F.struct("m", F.col("first.start").alias("start"), "n", "hot")).alias("runs"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +187,11 @@ def run_contents(suspects: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
             flat = lists.flatten()
             row = np.repeat(np.arange(len(raw)), lists.value_lengths().to_numpy())
             m, start, n, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("m", "start", "n", "hot"))
+            pieces = np.where(hot, -(-n // PIECE), 1)
+            at = np.repeat(np.arange(len(n)), pieces)
+            skip = (np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+            row, m, hot, start = row[at], m[at], hot[at], (start[at] + skip).astype(np.int32)
+            n = np.where(hot, np.minimum(n[at] - skip, PIECE), n[at]).astype(np.int32)
             whole = None
             if hot.any():
                 units, bounds = unit.units(texts)

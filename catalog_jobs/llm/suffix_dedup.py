@@ -19,7 +19,7 @@ from catalog_jobs.llm import repeats
 from catalog_jobs.llm.common import without, written
 from catalog_jobs.llm.repeats import BYTES100, Unit
 
-#: Runs of one anchor up to which its bytes go to a bucket; the windows of an anchor with more are compared by hash, where no key is one task's work.
+#: Runs of one anchor up to which its bytes go to a bucket, if they are not over BUCKET_BYTES; the windows of an anchor with more are compared by hash, where no key is one task's work.
 BUCKET_RUNS = 256
 SHARDS = 2
 #: Bytes of runs in a bucket, about.
@@ -121,7 +121,7 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
     found = written(repeats.repeated_runs(rows, unit), "found")
     firsts = repeats.first_runs(found)
 
-    runs = repeats.differing(firsts).select("m", "first", "n", (F.col("c") > BUCKET_RUNS).alias("hot"))
+    runs = repeats.differing(firsts).select("m", "first", "n", ((F.col("c") > BUCKET_RUNS) | (F.col("w") + F.col("c") * unit.size > BUCKET_BYTES)).alias("hot"))
     contents = written(repeats.run_contents(rows, runs, unit), "contents")
     cold = contents.filter("seg is not null")
     n_bytes = cold.agg(F.sum(F.col("n") + unit.size)).first()[0] or 0

@@ -223,6 +223,24 @@ def test_suffix_dedup(spark, docs, monkeypatch, bucket_runs):
     assert suffix_dedup.dedup_bytes(empty(spark)).count() == 0
 
 
+def test_an_anchor_of_few_long_runs_is_not_dealt_to_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    contents, dealt = repeats.run_contents, []
+
+    def watched(suspects, runs, unit):
+        found = contents(suspects, runs, unit)
+        dealt.extend(found.groupBy("m").agg(F.sum(F.length("seg")).alias("b"), F.max(F.size("whs")).alias("w")).collect())
+        return found
+
+    monkeypatch.setattr(repeats, "run_contents", watched)
+    docs = [(i, "x" * n) for i, n in enumerate((4000, 5000, 2500))] + [(9, "one line\n" * 600), (10, "start " + "one line\n" * 500)]
+    got = rows(suffix_dedup.dedup_bytes(frame(spark, docs)).selectExpr(REPORT, "*"), "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.byte_report(docs)
+    assert max(r.b or 0 for r in dealt) <= 3000
+    assert 0 < max(r.w for r in dealt) <= 700
+
+
 def test_merged_transforms_are_in_suffix_order():
     rng = random.Random(4)
     shards = [[bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(5)] for _ in range(3)]
