@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ class FingerprintIndex:
     """
 
     spark: SparkSession
-    fan_in: int = 4
+    fan_in: int = 2
     #: (level, folder) of each run.
     runs: list[tuple[int, str]] = field(default_factory=list)
 
@@ -32,10 +33,11 @@ class FingerprintIndex:
         rows.repartitionByRange("m", "k").sortWithinPartitions("m", "k").write.parquet(path)
         self.runs.append((level, path))
 
-    def matches(self, batch: DataFrame) -> DataFrame:
-        """Anchors of the batch (m, k: a row for each place) that occur at two places or more, in the batch or in the runs."""
-        new = batch.groupBy("m").agg(F.count("*").alias("n"))
-        old = self.rows().select("m").distinct().hint("merge")
+    def matches(self) -> DataFrame:
+        """Anchors of the run added last (a row for each place) that occur at two places or more, in it or in the other runs."""
+        *older, last = (self.spark.read.schema("m long, k int").parquet(p) for _, p in self.runs)
+        new = last.groupBy("m").agg(F.count("*").alias("n"))
+        old = reduce(DataFrame.unionByName, older, last.limit(0)).select("m").distinct().hint("merge")
         return new.join(old.withColumn("seen", F.lit(True)), "m", "left").filter((F.col("n") > 1) | F.col("seen")).select("m")
 
     def add(self, batch: DataFrame) -> None:
@@ -62,13 +64,13 @@ class SubstringDedup:
     nothing; repeated rows of one doc_id and text are one document and get equal results.
     """
 
-    def __init__(self, spark: SparkSession, unit: Unit = WORDS20, fan_in: int = 4):
+    def __init__(self, spark: SparkSession, unit: Unit = WORDS20, fan_in: int = 2):
         self.unit, self.index = unit, FingerprintIndex(spark, fan_in)
         self.history: DataFrame | None = None  # keyed documents of all batches so far
         self.firsts: DataFrame | None = None  # first document of each text so far: blob, first
 
-    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """(ord, n_units, n_removed, n_spans, kept_sha256) for each row of docs, a new batch; after the last one the index isn't extended."""
+    def add(self, docs: DataFrame) -> DataFrame:
+        """(ord, n_units, n_removed, n_spans, kept_sha256) for each row of docs, a new batch."""
         documents = repeats.keyed(docs)
         prints = written(repeats.fingerprints(documents, self.unit), "prints")
         texts = repeats.first_texts(prints)
@@ -79,13 +81,13 @@ class SubstringDedup:
             texts = texts.withColumn("new", F.lit(True))
         texts = written(texts.withColumn("ms", F.when(F.col("new"), F.col("ms"))), "texts")
         batch = texts.filter("new").select(F.explode("ms").alias("m"), repeats.document_key("first."))
-        matched = written(self.index.matches(batch), "matched")
+        self.index.add(batch)
+        prints, texts = without(prints, "ms"), without(texts, "ms")
+        matched = written(self.index.matches(), "matched")
         # anchors that occur again choose the documents to look at: new ones and those of the runs
-        holders = batch.unionByName(self.index.rows()).join(matched, "m").groupBy("k").agg(F.collect_set("m").alias("ms"))
+        holders = self.index.rows().join(matched, "m").groupBy("k").agg(F.collect_set("m").alias("ms"))
         everything = documents if self.history is None else self.history.unionByName(documents)
         rows = repeats.suspects(everything, holders)
-        if last:
-            prints, texts = without(prints, "ms"), without(texts, "ms")
         found = written(repeats.repeated_runs(rows, self.unit), "found")
         firsts = repeats.first_runs(found)
         runs = repeats.differing(firsts).select("m", "first", "n", F.lit(True).alias("hot"))
@@ -95,15 +97,13 @@ class SubstringDedup:
         out = written(repeats.removed_report(rows, prints, copies, removed, self.unit), "report")
         for table in (rows, found, firsts, windows):
             discard(table)
-        if not last:
-            self.index.add(batch)
-            self.index.compact()
+        self.index.compact()
         self.history = everything
         self.firsts = copies if self.firsts is None else self.firsts.unionByName(texts.filter("new").select("blob", "first"))
         return out
 
 
-def dedup_in_batches(docs: DataFrame, n_batches: int = 2, unit: Unit = WORDS20) -> DataFrame:
+def dedup_in_batches(docs: DataFrame, n_batches: int = 3, unit: Unit = WORDS20) -> DataFrame:
     """SubstringDedup over docs, in n_batches ranges of doc_id: ord, n_units, n_removed, n_spans, kept_sha256."""
     at = F.col("doc_id").cast("long")
     cuts = docs.select(F.percentile_approx(at, [i / n_batches for i in range(1, n_batches)], 1000).alias("c")).first()["c"] or []
@@ -117,6 +117,6 @@ def dedup_in_batches(docs: DataFrame, n_batches: int = 2, unit: Unit = WORDS20)
             batch = batch.filter(at.isNull() | (at <= high) if low is None else at <= high)
         elif low is None:
             batch = docs
-        part = job.add(batch, last=high is None)
+        part = job.add(batch)
         out = part if out is None else out.unionByName(part)
     return out

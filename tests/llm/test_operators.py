@@ -206,6 +206,22 @@ def test_anchors_of_documents_with_one_doc_id_stay_apart(spark, monkeypatch, ope
     assert all(r.ms and set(r.ms) <= own[r.ord, r.tie] for table in given for r in table)
 
 
+def test_substring_query_compacts_its_index(spark, tmp_path, monkeypatch):
+    frame(spark, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    compact, seen = substring_dedup.FingerprintIndex.compact, []
+
+    def watched(index):
+        before = [level for level, _ in index.runs]
+        compact(index)
+        seen.append((before, [level for level, _ in index.runs], index.rows().count()))
+
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", watched)
+    got = rows(queries.op7_substring_dedup(spark, str(tmp_path)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substring_report(DOCS)
+    assert [(b, a) for b, a, _ in seen] == [([0], [0]), ([0, 0], [1]), ([1, 0], [1, 0])]  # a merged run is met by the last batch
+    assert seen[0][2] < seen[1][2] < seen[2][2]  # and every batch is indexed
+
+
 def test_fingerprint_index_is_compacted(spark):
     job = substring_dedup.SubstringDedup(spark, WORDS20, fan_in=2)
     parts = [job.add(frame(spark, DOCS[i : i + 15])).select("ord", "n_removed") for i in range(0, 60, 15)]
