@@ -28,7 +28,8 @@ from catalog_jobs.llm.winnow import mix, span_hashes
 @dataclass(frozen=True)
 class Join:
     """Parameters of the join. A pair of similarity 0.8 shares one of two minwise tokens at a level with probability 0.97,
-    so that six trees of three levels miss it with probability 0.09 ** 6, under one in a million; more alike pairs less.
+    so that six trees of three levels miss it with probability 0.09 ** 6, 5.3e-7; the sketch loses 6.2e-08 more (see agree),
+    together under one in a million; more alike pairs less.
     """
 
     words: int = 5
@@ -39,8 +40,8 @@ class Join:
     small: int = 16
     #: Pivots of a node that stays large.
     pivots: int = 3
-    #: Of 32 minwise tokens, how many must agree (4 bits each) for a pair to be confirmed: 26 are expected at 0.8, 5 deviations above this.
-    agree: int = 15
+    #: Of 32 minwise tokens, how many must agree (4 bits each) for a pair to be confirmed: 26 are expected at 0.8, and fewer than 13 have probability 6.2e-08.
+    agree: int = 13
     block: int = 256
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -153,6 +154,12 @@ def test_near_duplicates_in_large_groups(spark):
     assert got == {d: docs[r][0] for (d, _), r in zip(docs, root, strict=True)}
 
 
+def test_pairs_at_the_threshold_are_seldom_missed():
+    join, p = near_dedup.Join(), 0.8 + 0.2 / 16  # a place of the sketch agrees, or its 4 bits do
+    sketch = sum(math.comb(near_dedup.PERMS, k) * p**k * (1 - p) ** (near_dedup.PERMS - k) for k in range(join.agree))
+    assert 0.09**join.trees + sketch < 1e-6
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
