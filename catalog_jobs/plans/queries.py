@@ -16,6 +16,8 @@ from catalog_jobs.sources import html, readers
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 CUT = "2024-01-16"
+#: Event ids of one page of the feed.
+FEED_PAGE = 1000
 #: Our own small layout lists, one path a line.
 LAYOUTS = {
     "Brand#1": ["/data/main.pak", "lib/core", "bin/run.exe", "bin/run.exe/extra"],
@@ -192,7 +194,13 @@ def feed_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("thread_id"), F.concat(F.col("event_type"), F.lit(" no. "), k.cast("string")).alias("title"), F.lit("Blue Fox").alias("creator"), F.lit("v1").alias("version"),
         F.col("user_id").alias("views"), F.col("user_id").alias("likes"), F.lit(4.5).alias("rating"), F.concat(F.lit("/preview/"), F.col("event_id").cast("string")).alias("cover"), F.array(F.lit("a/preview"), F.lit("b")).alias("screens"),
     )
-    feed = _read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source_id")).agg(F.to_json(F.struct(F.struct(F.collect_list(game).alias("data"), F.struct(F.count("*").alias("total")).alias("pagination")).alias("msg"))).alias("html"))
+    events = _read(spark, sf_dir, "events")
+    # pages of at most FEED_PAGE ids, as a crawled feed has; each page says how many there are in all
+    page = F.coalesce(F.floor(F.col("event_id") / FEED_PAGE), F.xxhash64("ts", "props")).alias("page")
+    pages = events.groupBy(F.col("user_id").alias("source_id"), page).agg(F.collect_list(game).alias("data"))
+    totals = events.groupBy(F.col("user_id").alias("user")).agg(F.count("*").alias("total"))
+    message = F.struct("data", F.struct("total").alias("pagination")).alias("msg")
+    feed = pages.join(totals, F.col("source_id").eqNullSafe(F.col("user"))).select("source_id", F.to_json(F.struct(message)).alias("html"))
     games = readers.read_latest_feed(feed.withColumn("total", readers.feed_page_count(F.col("html"))), base_url="/threads/")
     return games.select("source_id", "total", "thread_id", "title", "id_name", "views", "banner_url", "site_url", "screens")
 

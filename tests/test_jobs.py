@@ -197,3 +197,21 @@ def test_stream(spark, tmp_path):
     put((1, 4, "late", 3), (2, 2, "d", 3))
     assert run() == [(1, 6, "b"), (2, 2, "d")]
     assert run() == [(1, 6, "b"), (2, 2, "d")]  # each file counts once
+
+
+def test_feed_pages_are_bounded(spark, tmp_path, monkeypatch):
+    from catalog_jobs.plans import queries
+
+    rows = [(i, None if i % 3 == 0 else 5, "click", '{"k": 1}') for i in range(2500)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.lit("2024-01-05").cast("timestamp"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    read, most = readers.read_latest_feed, []
+
+    def watched(feed, **options):
+        most.append(feed.agg(F.max(F.length("html"))).first()[0])
+        return read(feed, **options)
+
+    monkeypatch.setattr(readers, "read_latest_feed", watched)
+    got = queries.feed_explode(spark, str(tmp_path)).select("source_id", "total", "thread_id").collect()
+    assert sorted((r.thread_id, r.source_id, r.total) for r in got) == [(i, u, 834 if u is None else 1666) for i, u, *_ in rows]
+    assert most[0] < 1000 * 260
