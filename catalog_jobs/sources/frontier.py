@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Header letters under which makers are listed: 26 Latin ones and 46 kana.
+MAKER_HEADERS = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZ", *"あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをん"]
+
 
 def frontier_pages(spark: SparkSession, first: int, last: int, base: str, order: str = "order=post_date&direction=desc") -> DataFrame:
     """(page_no, url) for pages first to last, both included; page 1 has no page part."""
@@ -13,9 +16,9 @@ def frontier_pages(spark: SparkSession, first: int, last: int, base: str, order:
     return spark.range(first, last + 1).select(page.alias("page_no"), url.alias("url"))
 
 
-def frontier_makers(spark: SparkSession, sections: list[str], headers: list[str], base: str) -> DataFrame:
-    """(section, header, url): both lists are short literals, so every section meets every header."""
-    pairs = spark.range(1).select(F.explode(F.array(*map(F.lit, sections))).alias("section")).withColumn("header", F.explode(F.array(*map(F.lit, headers))))
+def frontier_makers(spark: SparkSession, sections: list[str], headers: list[str] | None, base: str) -> DataFrame:
+    """(section, header, url): both lists are short literals, so every section meets every header; None is all of MAKER_HEADERS."""
+    pairs = spark.range(1).select(F.explode(F.array(*map(F.lit, sections))).alias("section")).withColumn("header", F.explode(F.array(*map(F.lit, MAKER_HEADERS if headers is None else headers))))
     return pairs.withColumn("url", F.concat(F.lit(base), F.col("section"), F.lit("/circle/list/=/name_header/"), F.col("header")))
 
 

@@ -215,3 +215,9 @@ def test_feed_pages_are_bounded(spark, tmp_path, monkeypatch):
     got = queries.feed_explode(spark, str(tmp_path)).select("source_id", "total", "thread_id").collect()
     assert sorted((r.thread_id, r.source_id, r.total) for r in got) == [(i, u, 834 if u is None else 1666) for i, u, *_ in rows]
     assert most[0] < 1000 * 260
+
+
+def test_makers_of_all_headers(spark):
+    urls = [r.url for r in frontier.frontier_makers(spark, ["a", "b"], None, "/").collect()]
+    assert len(set(urls)) == 2 * 72
+    assert {"/a/circle/list/=/name_header/Z", "/b/circle/list/=/name_header/ん"} <= set(urls)
