@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -20,11 +21,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Shuffle files of a finished statement go at its end; a job of many steps would else keep all of them on the executors' disks.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as named in spark.checkpoint.dir; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, as named in spark.checkpoint.dir; a temporary one only where that is unset, in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.conf.get("spark.master", "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -36,31 +41,28 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives lost executors.
-
-    Shuffle files of earlier steps go when the driver collects the plans that made them, which it is asked to do
-    here: a job of many steps would else keep all of them on the executors' disks to its end.
-    """
-    path = new_path(df.sparkSession, name)
-    df.sparkSession._jvm.System.gc()
+    """df as a table in the shared folder: it cuts the lineage and outlives lost executors."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    spark.conf.set(_CLEANUP, "true")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes one of this module's own tables that is no longer read."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def remove(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Empties one of this module's own tables that is no longer read, to free its disk space."""
+    spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes a written() table that nothing reads any more."""
-    if files := table.inputFiles():
-        remove(table.sparkSession, files[0].rpartition("/")[0])
+def discard(*tables: DataFrame) -> None:
+    """Empties written() tables that nothing reads any more."""
+    for table in tables:
+        if files := table.inputFiles():
+            remove(table.sparkSession, files[0].rpartition("/")[0], table.schema)
 
 
 def without(table: DataFrame, *columns: str) -> DataFrame:
-    """A written() table without some columns, written again; the old one is deleted, to free its disk space."""
+    """A written() table without some columns, written again; the old one is emptied."""
     new = written(table.drop(*columns), "part")
     discard(table)
     return new

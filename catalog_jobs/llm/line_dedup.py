@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_jobs.llm.common import written
-from catalog_jobs.llm.repeats import NO_ID, keyed
+from catalog_jobs.llm.repeats import keyed, order_of
 
 LINES = 3
 
@@ -40,7 +40,8 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     later = windows.join(firsts, ["h1", "h2"]).filter(place != F.col("first"))
     starts = written(later.groupBy("ord", "tie").agg(F.collect_set("i").alias("starts")), "starts")
     names = docs.columns
-    marked = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__ord"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__tie"))
+    ord_, tie = order_of(text)
+    marked = docs.select("*", ord_.alias("__ord"), tie.alias("__tie"))
     # always the same join: the list of cut documents grows with the input, and a broadcast of it would hold at small sizes only
     marked = marked.join(starts.hint("merge").select(F.col("ord").alias("__ord"), F.col("tie").alias("__tie"), F.col("starts").alias("__starts")), ["__ord", "__tie"], "left")
     lines = F.split(F.col(text), "\n")

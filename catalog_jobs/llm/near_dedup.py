@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from catalog_jobs.llm.common import written
 from catalog_jobs.llm.components import components
-from catalog_jobs.llm.repeats import NO_ID, _parts, _whole, keyed
+from catalog_jobs.llm.repeats import _parts, _whole, doc_id_of, keyed, order_of
 from catalog_jobs.llm.winnow import mix, span_hashes
 
 
@@ -315,8 +315,8 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa:
 def component_report(docs: DataFrame, join: Join) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs; a null doc_id comes before all others."""
     found = near_duplicates(docs, join)
-    doc_id, component = (F.when(F.col(c) != NO_ID, F.col(c)) for c in ("ord", "root.ord"))
-    return found.select(doc_id.alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("ord") == F.col("root.ord")).alias("kept"))
+    doc_id, component = doc_id_of(), doc_id_of("root.ord", "root.tie")
+    return found.select(doc_id.alias("doc_id"), "n_shingles", component.alias("component_id"), doc_id.eqNullSafe(component).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
@@ -324,6 +324,7 @@ def one_of_each_group(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noq
     names = docs.columns
     found = near_duplicates(docs, join).filter(F.struct("ord", "tie") == F.col("root"))
     first = found.groupBy("ord", "tie").agg(F.max(F.col("n_shingles") > 0).alias("__set")).withColumnsRenamed({"ord": "__ord", "tie": "__tie"})
-    marked = docs.withColumn("__ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ord_, tie = order_of()
+    marked = docs.select("*", ord_.alias("__ord"), tie.alias("__tie"))
     copy = F.row_number().over(Window.partitionBy("__ord", "__tie").orderBy("__ord", "__tie"))
     return marked.join(first, ["__ord", "__tie"]).withColumn("__copy", copy).filter((F.col("__copy") == 1) | ~F.col("__set")).select(*names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_jobs.llm import decontaminate, line_dedup, near_dedup, packing, quality, repeats, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter
+from catalog_jobs.llm import decontaminate, line_dedup, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter
 from catalog_jobs.llm.common import read, written
 from catalog_jobs.llm.sql import ORACLE_SQL
 
@@ -52,18 +52,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", F.col("n_lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def _doc_id(report: DataFrame):
-    return F.when(F.col("ord") != repeats.NO_ID, F.col("ord")).alias("doc_id")
-
-
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = substring_dedup.dedup_in_batches(read(spark, sf_dir, "documents"))
-    return report.select(_doc_id(report), F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+    return report.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = suffix_dedup.dedup_bytes(read(spark, sf_dir, "documents"))
-    return report.select(_doc_id(report), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+    return report.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
 def tokenizer_path() -> str:

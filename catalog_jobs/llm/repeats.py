@@ -1,8 +1,10 @@
 """Repeated windows of words or bytes over all documents: the shared steps of the substring operators.
 
 A window can only repeat where its least gram (an anchor) occurs at two places. So all documents give their anchors,
-the anchors that occur twice choose the runs of windows to look at, equal runs fall together by their content, and only
-runs that share an anchor but differ are compared window by window. Exact copies of a text are settled by its hash.
+the anchors that occur twice choose the runs of windows to look at, and equal runs fall together: equal in the hash of their anchor
+and in a BLAKE2b digest of the words or bytes themselves. Runs that share an anchor but differ are cut into pieces by the distance of a
+window from its anchor, and compared piece by piece in the same way; only pieces that still differ
+from others around the same bytes go further. Exact copies of a text are settled by its SHA-256.
 
 Documents are ordered by (ord, tie): ord is doc_id with null first, tie a hash of the text, so that repeated rows of one
 doc_id and text are one document, and rows of one doc_id with other texts follow each other.
@@ -23,12 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_jobs.llm import winnow
-from catalog_jobs.llm.common import written
+from catalog_jobs.llm.common import discard, written
 
 NO_ID = -(1 << 63)
-#: Windows of a run that are one row, where a run goes by the hashes of its windows.
-PIECE = 1 << 16
 RUNS = "m long, rh long, ord long, tie long, start int, n int, tied boolean"
+PIECES = "key long, ch long, ord long, tie long, run int, start int, n int, done boolean"
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,8 @@ class Unit:
 
     size: int
     gram: int
+    #: Distances from the anchor in one piece, from coarse to single windows.
+    steps: tuple[int, ...]
     #: Bytes of text handled at once.
     batch_bytes: int
     #: A batch of texts -> (64-bit units of all texts, where each text's units begin and the last ones end).
@@ -44,11 +47,25 @@ class Unit:
     #: A text -> its units as bytes, and what joins the kept ones.
     split: Callable[[bytes], list[bytes] | bytes]
     joint: bytes
+    #: Column type of a part of a text, and (part, units to skip, units to take) -> part.
+    part: str
+    cut: Callable[[Column, Column, Column], Column]
 
     @property
     def width(self) -> int:
         return self.size - self.gram + 1
 
+    def whole(self, text: bytes) -> bytes:
+        """The text as its units joined."""
+        return self.joint.join(self.split(text)) if self.joint else text
+
+    def parts(self, texts: list[bytes], doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """Units start to start + n - 1 of texts[doc], for each row; a row's text is joined units already."""
+        if not self.joint:
+            return [texts[d][s:e] for d, s, e in zip(doc.tolist(), start.tolist(), (start + n).tolist(), strict=True)]
+        split = {d: texts[d].split() for d in np.unique(doc).tolist()}
+        return [self.joint.join(split[d][s:e]) for d, s, e in zip(doc.tolist(), start.tolist(), (start + n).tolist(), strict=True)]
+
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     chunks = pc.ascii_split_whitespace(texts)
@@ -70,14 +87,34 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _BYTE[np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8)], bounds
 
 
-WORDS20 = Unit(20, 6, 8_000_000, _words, bytes.split, b" ")
-BYTES100 = Unit(100, 32, 2_000_000, _bytes, lambda text: text, b"")
+def _cut_words(part: Column, skip: Column, take: Column) -> Column:
+    return F.array_join(F.slice(F.split(part, " "), skip + 1, take), " ")
+
+
+def _cut_bytes(part: Column, skip: Column, take: Column) -> Column:
+    return F.substring(part, skip + 1, take)
+
+
+WORDS20 = Unit(20, 6, (5, 1), 4_000_000, _words, bytes.split, b" ", "string", _cut_words)
+BYTES100 = Unit(100, 37, (16, 4, 1), 1_000_000, _bytes, lambda text: text, b"", "binary", _cut_bytes)
+
+
+def order_of(text: str = "text", doc_id: str = "doc_id") -> tuple[Column, Column]:
+    """(ord, tie) of each row. A null doc_id comes before the least number: it has the negative ties of that ord, and the number the others."""
+    key, tie = F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    half = F.when(key.isNull(), F.lit(NO_ID)).otherwise(F.lit(0).cast("long")).bitwiseOR(tie.bitwiseAND(F.lit((1 << 63) - 1)))
+    return F.coalesce(key, F.lit(NO_ID)), F.when(key.isNull() | (key == NO_ID), half).otherwise(tie)
+
+
+def doc_id_of(ord_: str = "ord", tie: str = "tie") -> Column:
+    """The doc_id of (ord, tie)."""
+    return F.when((F.col(ord_) != NO_ID) | (F.col(tie) >= 0), F.col(ord_))
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     """(ord, tie, t): the place of each row in the order of documents, and its text, empty for null."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ord"), F.xxhash64(t).alias("tie"), t.alias("t"))
+    ord_, tie = order_of(text)
+    return docs.select(ord_.alias("ord"), tie.alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
 
 def document_key(of: str = "") -> Column:
@@ -116,13 +153,14 @@ def fingerprints(documents: DataFrame, unit: Unit) -> DataFrame:
         for b in _parts(batches, "t", unit.batch_bytes):
             texts = _whole(b.column("t"))
             units, bounds = unit.units(texts)
-            w, grams = winnow.windows(units, bounds, unit.size, unit.gram, whole=False)
+            w, grams = winnow.windows(units, bounds, unit.size, unit.gram)
             places = winnow.anchors(w, grams, unit.width)
             counts = np.diff(np.searchsorted(places, bounds))
             raw = texts.cast(pa.binary()).to_pylist()
-            shas = [hashlib.sha256(unit.joint.join(unit.split(x)) if unit.joint else x).hexdigest() for x in raw]
+            blobs = [hashlib.sha256(x) for x in raw]
+            shas = [hashlib.sha256(unit.whole(x)) for x in raw] if unit.joint else blobs
             yield pa.RecordBatch.from_arrays(
-                [b.column("ord"), b.column("tie"), pa.array([hashlib.sha256(x).digest() for x in raw]), pa.array(np.diff(bounds)), pa.array(shas), _lists(grams[places].view(np.int64), counts)],
+                [b.column("ord"), b.column("tie"), pa.array([x.digest() for x in blobs]), pa.array(np.diff(bounds)), pa.array([x.hexdigest() for x in shas]), _lists(grams[places].view(np.int64), counts)],
                 ["ord", "tie", "blob", "n_units", "whole_sha256", "ms"],
             )
 
@@ -139,89 +177,135 @@ def suspects(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     return written(documents.withColumn("k", document_key()).join(chosen, "k").drop("k"), "suspects")
 
 
+def _digests(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=8).digest() for p in parts]), np.int64)
+
+
 def repeated_runs(rows: DataFrame, unit: Unit) -> DataFrame:
-    """Runs of windows of suspects() rows whose anchor is in their ms."""
+    """Runs of windows of suspects() rows whose anchor is in their ms; rh is the digest of all units that a run covers."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, "t", unit.batch_bytes):
-            units, bounds = unit.units(_whole(b.column("t")))
-            w, grams = winnow.windows(units, bounds, unit.size, unit.gram, whole=True)
+            texts = _whole(b.column("t"))
+            units, bounds = unit.units(texts)
+            w, grams = winnow.windows(units, bounds, unit.size, unit.gram)
             first, n = winnow.runs(w)
             wanted = np.unique(pc.list_flatten(_whole(b.column("ms"))).to_numpy(zero_copy_only=False)).view(np.uint64)
             keep = np.isin(w.least[first], wanted)
             first, n = first[keep], n[keep]
             row = pa.array(w.doc[first])
-            cols = [pa.array(w.least[first].view(np.int64)), pa.array(winnow.run_content(w, first, n).view(np.int64)), b.column("ord").take(row), b.column("tie").take(row), pa.array(w.place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
+            rh = _digests(unit.parts(texts.cast(pa.binary()).to_pylist(), w.doc[first], w.place[first], n - 1 + unit.size))
+            cols = [pa.array(w.least[first].view(np.int64)), pa.array(rh), b.column("ord").take(row), b.column("tie").take(row), pa.array(w.place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
             cols.append(pa.array(winnow.tied(w, grams, first, n, unit.width)))
-            names = ["m", "rh", "ord", "tie", "start", "n", "tied"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols, ["m", "rh", "ord", "tie", "start", "n", "tied"])
 
     return rows.mapInArrow(scan, RUNS)
 
 
 def first_runs(found: DataFrame) -> DataFrame:
-    """(m, rh, first, n, tied): the first of the runs of each content."""
-    return written(found.groupBy("m", "rh").agg(F.min(F.struct("ord", "tie", "start")).alias("first"), F.max("n").alias("n"), F.max("tied").alias("tied")), "firsts")
+    """(m, rh, first, n, tied, c): the first of the runs of each content, and how many there are, as a table."""
+    return written(found.groupBy("m", "rh").agg(F.min(F.struct("ord", "tie", "start")).alias("first"), F.max("n").alias("n"), F.max("tied").alias("tied"), F.count("*").alias("c")), "firsts")
 
 
 def later_runs(found: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(ord, tie, start, n) of the runs whose content begins earlier elsewhere. firsts: m, rh, first."""
+    """(ord, tie, start, n) of the runs whose content begins earlier elsewhere. firsts: m, rh, first, c."""
     here = F.struct("ord", "tie", "start")
-    return found.select("m", "rh", "ord", "tie", "start", "n").join(firsts.select("m", "rh", "first"), ["m", "rh"]).filter(here != F.col("first")).select("ord", "tie", "start", "n")
+    known = firsts.filter("c > 1").select("m", "rh", "first")
+    return found.select("m", "rh", "ord", "tie", "start", "n").join(known, ["m", "rh"]).filter(here != F.col("first")).select("ord", "tie", "start", "n")
 
 
 def differing(firsts: DataFrame) -> DataFrame:
-    """The rows of firsts (m, tied) whose anchor has runs of two or more contents, or occurs twice inside a run; c counts an anchor's rows, w their windows."""
-    shared = written(firsts.groupBy("m").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.max("tied").alias("t")).filter("c > 1 or t").select("m", "c", "w"), "shared")
-    return firsts.join(shared, "m")
+    """(m, ord, tie, start, n): the rows of firsts whose anchor has runs of two or more contents, or occurs twice inside a run."""
+    shared = written(firsts.groupBy("m").agg(F.count("*").alias("k"), F.max("tied").alias("t")).filter("k > 1 or t").select("m"), "shared")
+    return firsts.join(shared, "m").select("m", "first.*", "n")
 
 
 def run_contents(suspects: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
-    """(m, ord, tie, start, n, seg, whs) for runs (m, first, n, hot) of suspects(): their bytes, or the hashes of their windows if hot, in pieces of PIECE windows."""
-    wanted = runs.groupBy(F.col("first.ord").alias("ord"), F.col("first.tie").alias("tie")).agg(F.collect_list(F.struct("m", F.col("first.start").alias("start"), "n", "hot")).alias("runs"))
+    """(m, ord, tie, start, n, seg) for runs (m, ord, tie, start, n) of suspects(): the units that each covers, joined."""
+    wanted = runs.groupBy("ord", "tie").agg(F.collect_list(F.struct("m", "start", "n")).alias("runs"))  # a document's own runs
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, "t", unit.batch_bytes):
-            texts, lists = _whole(b.column("t")), _whole(b.column("runs"))
-            raw = texts.cast(pa.binary()).to_pylist()
+            raw, lists = _whole(b.column("t")).cast(pa.binary()).to_pylist(), _whole(b.column("runs"))
             flat = lists.flatten()
             row = np.repeat(np.arange(len(raw)), lists.value_lengths().to_numpy())
-            m, start, n, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("m", "start", "n", "hot"))
-            pieces = np.where(hot, -(-n // PIECE), 1)
-            at = np.repeat(np.arange(len(n)), pieces)
-            skip = (np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-            row, m, hot, start = row[at], m[at], hot[at], (start[at] + skip).astype(np.int32)
-            n = np.where(hot, np.minimum(n[at] - skip, PIECE), n[at]).astype(np.int32)
-            whole = None
-            if hot.any():
-                units, bounds = unit.units(texts)
-                whole = winnow.span_hashes(units, [unit.size])[unit.size].view(np.int64)
-            segs = [None if h else raw[r][s : s + k - 1 + unit.size] for r, s, k, h in zip(row, start, n, hot, strict=True)]
-            whs = [whole[bounds[r] + s : bounds[r] + s + k] if h else None for r, s, k, h in zip(row, start, n, hot, strict=True)]
+            start, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
+            segs = pa.array(unit.parts(raw, row, start, n - 1 + unit.size), pa.binary())
+            row = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(m), b.column("ord").take(pa.array(row)), b.column("tie").take(pa.array(row)), pa.array(start), pa.array(n), pa.array(segs, pa.binary()), pa.array(whs, pa.list_(pa.int64()))],
-                ["m", "ord", "tie", "start", "n", "seg", "whs"],
+                [flat.field("m"), b.column("ord").take(row), b.column("tie").take(row), flat.field("start"), flat.field("n"), segs.cast(pa.string()) if unit.part == "string" else segs],
+                ["m", "ord", "tie", "start", "n", "seg"],
             )
 
     texts = suspects.select("ord", "tie", "t").dropDuplicates(["ord", "tie"])
-    return texts.join(wanted, ["ord", "tie"]).mapInArrow(scan, "m long, ord long, tie long, start int, n int, seg binary, whs array<long>")
+    return texts.join(wanted, ["ord", "tie"]).mapInArrow(scan, f"m long, ord long, tie long, start int, n int, seg {unit.part}")
+
+
+def pieces(contents: DataFrame, unit: Unit, step: int) -> DataFrame:
+    """PIECES of run_contents() rows: neighbouring windows with one anchor, whose distances from it fall in one range of `step`.
+
+    Equal windows lie at one distance from their anchor, so in pieces of one range; and what all windows of a range cover, `size` - step + 1 units around the anchor,
+    is then equal too: its hash is the key. ch is the digest of all units of the piece. Pieces that occur again
+    in their own run are `done`: they go, neighbouring ones as one row.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, "seg", unit.batch_bytes):
+            segs = _whole(b.column("seg"))
+            units, bounds = unit.units(segs)
+            w, grams = winnow.windows(units, bounds, unit.size, unit.gram)
+            distance = winnow.anchor_distance(w, grams, bounds)
+            range_ = distance // step
+            first, n = winnow.groups((w.doc, w.start + distance, range_))
+            doc, place, low = w.doc[first], w.place[first], range_[first] * step
+            length = unit.size + 1 - np.minimum(step, unit.width - low)
+            shared = w.start[first] + distance[first] - low
+            key = np.zeros(len(first), np.uint64)
+            for size, hashes in winnow.span_hashes(units, np.unique(length).tolist()).items():
+                key[length == size] = hashes[shared[length == size]]
+            key = winnow.mix(key, low.astype(np.uint64)).view(np.int64)
+            ch = _digests(unit.parts(segs.cast(pa.binary()).to_pylist(), doc, place, n - 1 + unit.size))
+            order = np.lexsort((place, ch, key, doc))
+            done = np.zeros(len(first), bool)
+            done[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (key[order[1:]] == key[order[:-1]]) & (ch[order[1:]] == ch[order[:-1]])
+            at, joined = winnow.groups((doc, np.where(done, 0, np.arange(1, len(first) + 1))))
+            n = np.add.reduceat(n, at) if len(at) else n
+            row, run = pa.array(doc[at]), b.column("start").to_numpy()[doc[at]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[at]), pa.array(ch[at]), b.column("ord").take(row), b.column("tie").take(row), pa.array(run), pa.array((run + place[at]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(done[at])],
+                ["key", "ch", "ord", "tie", "run", "start", "n", "done"],
+            )
 
+    return contents.select("ord", "tie", "start", "seg").mapInArrow(scan, PIECES)
 
-def windows_of(contents: DataFrame) -> DataFrame:
-    """(m, wh, ord, tie, start): each window of run_contents() rows with hashes, as a table."""
-    each = contents.select("m", "ord", "tie", "start", F.posexplode("whs").alias("i", "wh"))
-    return written(each.select("m", "wh", "ord", "tie", (F.col("start") + F.col("i")).alias("start")), "windows")
 
+def settle(contents: DataFrame, unit: Unit, step: int) -> tuple[DataFrame, DataFrame | None]:
+    """(windows that go: ord, tie, start, n; what is left: m, ord, tie, start, n, seg, key, size) of run_contents() rows; tables, all three.
 
-def later_windows(windows: DataFrame) -> DataFrame:
-    """(ord, tie, start, n = 1) of windows (m, wh, ord, tie, start: a written table) that start earlier elsewhere in it."""
-    place = F.struct("ord", "tie", "start")
-    firsts = written(windows.groupBy("m", "wh").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "first_windows")
-    return windows.join(firsts, ["m", "wh"]).filter(place != F.col("first")).select("ord", "tie", "start", F.lit(1).alias("n"))
+    Of pieces with one content all but the first go. What is left is the first of each content, where several contents share their key; size sums the units
+    of a key's contents. At step 1 a key is a whole window, and nothing is left.
+    """
+    table = written(pieces(contents, unit, step), "pieces")
+    live, place = table.filter("not done"), ["ord", "tie", "start"]
+    firsts = written(live.groupBy("key", "ch").agg(F.min(F.struct(*place, "run", "n")).alias("first"), F.count("*").alias("c")), "first_pieces")
+    known = firsts.filter("c > 1").select("key", "ch", F.struct(*(F.col(f"first.{c}").alias(c) for c in place)).alias("first"))
+    later = live.join(known, ["key", "ch"]).filter(F.struct(*place) != F.col("first")).select(*place, "n")
+    gone = written(table.filter("done").select(*place, "n").unionByName(later), "gone")
+    discard(table)
+    if step == 1:
+        return gone, None
+    units = F.col("first.n") - 1 + unit.size
+    several = firsts.groupBy("key").agg(F.count("*").alias("k"), F.sum(units).alias("size")).filter("k > 1").select("key", "size")
+    left = firsts.select("key", "first.*").join(several, "key")
+    whole = contents.select("m", "ord", "tie", F.col("start").alias("run"), "seg")
+    part = unit.cut(F.col("seg"), F.col("start") - F.col("run"), F.col("n") - 1 + unit.size)
+    rest = written(left.join(whole, ["ord", "tie", "run"]).select("m", *place, "n", part.alias("seg"), "key", "size"), "left")
+    discard(firsts)
+    return gone, rest
 
 
 def removed_report(documents: DataFrame, prints: DataFrame, copies: DataFrame, removed: DataFrame, unit: Unit) -> DataFrame:
-    """(ord, n_units, n_removed, n_spans, kept_sha256) for each row of prints.
+    """(doc_id, n_units, n_removed, n_spans, kept_sha256) for each row of prints.
 
     removed: (ord, tie, start, n), windows that go with all their units; copies(blob, first): the first document of each text; the
     texts of other documents go whole if they have a window. Texts are read again only where something goes in part.
@@ -244,7 +328,7 @@ def removed_report(documents: DataFrame, prints: DataFrame, copies: DataFrame, r
     copy = F.struct("ord", "tie") != F.col("first")
     whole = copy & (F.col("n_units") >= unit.size)
     return rows.select(
-        "ord", "n_units",
+        doc_id_of().alias("doc_id"), "n_units",
         F.when(whole, F.col("n_units")).otherwise(F.coalesce("gone", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "whole_sha256")).alias("kept_sha256"),

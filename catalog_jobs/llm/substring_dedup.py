@@ -2,58 +2,80 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog_jobs.llm import repeats
 from catalog_jobs.llm.common import discard, new_path, remove, without, written
 from catalog_jobs.llm.repeats import WORDS20, Unit
 
+RUN = T.StructType().add("m", "long").add("k", "integer")
+
 
 @dataclass
 class FingerprintIndex:
-    """Immutable runs, each a table (m, k) sorted by m: the anchors m of every text seen, with the key k of its first document.
+    """Immutable runs, each a table (m, k) in buckets by m, sorted by m: the anchors m of every text seen, with the key k of its first document.
 
-    A run is written once, in ranges of m. When `fan_in` runs have piled up on a level, they are merged into one run on the next level.
+    All runs have the same buckets, so that they meet each other and a new batch without being shuffled again. When `fan_in` runs have piled up on a
+    level, they are merged into one run on the next level.
     """
 
     spark: SparkSession
     fan_in: int = 2
-    #: (level, folder) of each run.
-    runs: list[tuple[int, str]] = field(default_factory=list)
+    #: (level, table, folder) of each run.
+    runs: list[tuple[int, str, str]] = field(default_factory=list)
+    n_buckets: int = 0
+
+    def __post_init__(self) -> None:
+        self.n_buckets = self.n_buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema("m long, k int").parquet(*(p for _, p in self.runs)) if self.runs else self.spark.createDataFrame([], "m long, k int")
+        return reduce(DataFrame.unionByName, (self.spark.table(t) for _, t, _ in self.runs), self.spark.createDataFrame([], RUN))
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"run{level}")
-        rows.repartitionByRange("m", "k").sortWithinPartitions("m", "k").write.parquet(path)
-        self.runs.append((level, path))
+    def _sorted(self, rows: DataFrame, name: str) -> tuple[str, str]:
+        """(table, folder) of rows in buckets by m, one sorted file each."""
+        table, path = f"{name}_{uuid.uuid4().hex}", new_path(self.spark, name)
+        dealt = rows.repartition(self.n_buckets, "m").sortWithinPartitions("m")
+        dealt.write.bucketBy(self.n_buckets, "m").sortBy("m").option("path", path).format("parquet").saveAsTable(table)
+        return table, path
 
-    def matches(self) -> DataFrame:
-        """Anchors of the run added last (a row for each place) that occur at two places or more, in it or in the other runs."""
-        *older, last = (self.spark.read.schema("m long, k int").parquet(p) for _, p in self.runs)
-        new = last.groupBy("m").agg(F.count("*").alias("n"))
-        old = reduce(DataFrame.unionByName, older, last.limit(0)).select("m").distinct().hint("merge")
-        return new.join(old.withColumn("seen", F.lit(True)), "m", "left").filter((F.col("n") > 1) | F.col("seen")).select("m")
+    def _remove(self, table: str, path: str, schema: T.StructType = RUN) -> None:
+        self.spark.sql(f"DROP TABLE {table}")  # leaves the files
+        remove(self.spark, path, schema)
 
     def add(self, batch: DataFrame) -> None:
-        self._write(batch, 0)
+        self.runs.append((0, *self._sorted(batch, "run0")))
+
+    def holders(self) -> DataFrame:
+        """(k, ms) of the documents, new and old ones, that hold anchors of the run added last which occur at two places or more: a merge join of runs."""
+        *older, last = (self.spark.table(t) for _, t, _ in self.runs)
+        met = last.groupBy("m").agg(F.count("*").alias("n"))
+        for i, run in enumerate(older):
+            met = met.join(run.groupBy("m").agg(F.count("*").alias(f"n{i}")).hint("merge"), "m", "left")
+        places = sum((F.coalesce(f"n{i}", F.lit(0)) for i in range(len(older))), F.col("n"))
+        table, path = self._sorted(met.filter(places > 1).select("m"), "met")
+        matched = self.spark.table(table)
+        pairs = [run.join(matched.hint("merge"), "m") for run in (*older, last)]
+        out = written(reduce(DataFrame.unionByName, pairs).groupBy("k").agg(F.collect_set("m").alias("ms")), "holders")
+        self._remove(table, path, matched.schema)
+        return out
 
     def compact(self) -> None:
         """Merges the runs of a level that has fan_in of them, level by level."""
         level = 0
-        while any(at >= level for at, _ in self.runs):
-            full = [p for at, p in self.runs if at == level]
+        while any(at >= level for at, _, _ in self.runs):
+            full = [r for r in self.runs if r[0] == level]
             if len(full) >= self.fan_in:
-                merged = self.spark.read.schema("m long, k int").parquet(*full)
-                self._write(merged, level + 1)
-                self.runs = [r for r in self.runs if r[1] not in full]
-                for p in full:
-                    remove(self.spark, p)
+                merged = reduce(DataFrame.unionByName, (self.spark.table(t) for _, t, _ in full))
+                made = self._sorted(merged, f"run{level + 1}")
+                self.runs = [r for r in self.runs if r not in full] + [(level + 1, *made)]
+                for _, table, path in full:
+                    self._remove(table, path)
             level += 1
 
 
@@ -61,7 +83,9 @@ class SubstringDedup:
     """Removes, batch by batch in the order of documents, each word in a window whose words also start earlier.
 
     Batches must come in the order of doc_id. Null and empty texts have no words; texts shorter than a window lose
-    nothing; repeated rows of one doc_id and text are one document and get equal results.
+    nothing; repeated rows of one doc_id and text are one document and get equal results; a null doc_id comes before all others. A
+    very long text is read whole by one task. What the index matches is verified on the words: runs are the same if their words have one BLAKE2b
+    digest, and where runs of one anchor differ, so are their pieces, down to single windows.
     """
 
     def __init__(self, spark: SparkSession, unit: Unit = WORDS20, fan_in: int = 2):
@@ -70,7 +94,7 @@ class SubstringDedup:
         self.firsts: DataFrame | None = None  # first document of each text so far: blob, first
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """(ord, n_units, n_removed, n_spans, kept_sha256) for each row of docs, a new batch."""
+        """(doc_id, n_units, n_removed, n_spans, kept_sha256) for each row of docs, a new batch, as a table."""
         documents = repeats.keyed(docs)
         prints = written(repeats.fingerprints(documents, self.unit), "prints")
         texts = repeats.first_texts(prints)
@@ -80,23 +104,28 @@ class SubstringDedup:
         else:
             texts = texts.withColumn("new", F.lit(True))
         texts = written(texts.withColumn("ms", F.when(F.col("new"), F.col("ms"))), "texts")
-        batch = texts.filter("new").select(F.explode("ms").alias("m"), repeats.document_key("first."))
-        self.index.add(batch)
-        prints, texts = without(prints, "ms"), without(texts, "ms")
-        matched = written(self.index.matches(), "matched")
+        prints = without(prints, "ms")
+        self.index.add(texts.filter("new").select(F.explode("ms").alias("m"), repeats.document_key("first.")))
+        texts = without(texts, "ms")
         # anchors that occur again choose the documents to look at: new ones and those of the runs
-        holders = self.index.rows().join(matched, "m").groupBy("k").agg(F.collect_set("m").alias("ms"))
+        holders = self.index.holders()
         everything = documents if self.history is None else self.history.unionByName(documents)
         rows = repeats.suspects(everything, holders)
+        discard(holders)
         found = written(repeats.repeated_runs(rows, self.unit), "found")
         firsts = repeats.first_runs(found)
-        runs = repeats.differing(firsts).select("m", "first", "n", F.lit(True).alias("hot"))
-        windows = repeats.windows_of(repeats.run_contents(rows, runs, self.unit))
-        removed = repeats.later_runs(found, firsts).unionByName(repeats.later_windows(windows))
+        gone = [written(repeats.later_runs(found, firsts), "later")]
+        discard(found)
+        contents = written(repeats.run_contents(rows, repeats.differing(firsts), self.unit), "contents")
+        discard(firsts)
+        for step in self.unit.steps:
+            more, left = repeats.settle(contents, self.unit, step)
+            gone.append(more)
+            discard(contents)
+            contents = left
         copies = texts.select("blob", "first")
-        out = written(repeats.removed_report(rows, prints, copies, removed, self.unit), "report")
-        for table in (rows, found, firsts, windows):
-            discard(table)
+        out = written(repeats.removed_report(rows, prints, copies, reduce(DataFrame.unionByName, gone), self.unit), "report")
+        discard(rows, prints, *gone)
         self.index.compact()
         self.history = everything
         self.firsts = copies if self.firsts is None else self.firsts.unionByName(texts.filter("new").select("blob", "first"))
@@ -104,7 +133,7 @@ class SubstringDedup:
 
 
 def dedup_in_batches(docs: DataFrame, n_batches: int = 3, unit: Unit = WORDS20) -> DataFrame:
-    """SubstringDedup over docs, in n_batches ranges of doc_id: ord, n_units, n_removed, n_spans, kept_sha256."""
+    """SubstringDedup over docs, in n_batches ranges of doc_id: doc_id, n_units, n_removed, n_spans, kept_sha256."""
     at = F.col("doc_id").cast("long")
     cuts = docs.select(F.percentile_approx(at, [i / n_batches for i in range(1, n_batches)], 1000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
@@ -115,8 +144,6 @@ def dedup_in_batches(docs: DataFrame, n_batches: int = 3, unit: Unit = WORDS20)
             batch = batch.filter(at > low)
         if high is not None:
             batch = batch.filter(at.isNull() | (at <= high) if low is None else at <= high)
-        elif low is None:
-            batch = docs
         part = job.add(batch)
         out = part if out is None else out.unionByName(part)
     return out

@@ -1,10 +1,11 @@
 """Suffix-array dedup of bytes: Burrows-Wheeler transforms of shards are merged by refining their interleave.
 
-Texts are cut down to what can repeat first (see repeats): runs of windows that share an anchor with another place but
-differ from it in content. Their bytes are dealt by anchor into buckets of bounded size, and by document into a bucket's shards; the
-suffixes of each shard are sorted on their own, and the shards' transforms are merged without sorting suffixes again: after h rounds the
-interleave is in the order of the first h bytes and its block bounds are the places with common prefixes shorter than h.
-After `size` rounds the blocks of two or more suffixes are the repeated intervals.
+Texts are cut down to what can repeat first (see repeats): pieces that share all the bytes around an anchor with another piece but differ
+from it further out. Their bytes are dealt by those shared bytes into buckets of bounded size, and by document into a bucket's shards. The
+suffixes of each shard are sorted on their own, and the shards' transforms are merged without sorting suffixes again: the interleave by
+the first h bytes, and the links of each suffix to the one h bytes later, which the transforms hold, give the interleave by the first
+2 h bytes. Block bounds are the places with common prefixes shorter than h; a block of one suffix is settled and isn't refined.
+At `size` bytes the blocks of two or more suffixes are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -16,99 +17,139 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog_jobs.llm import repeats
-from catalog_jobs.llm.common import without, written
+from catalog_jobs.llm.common import discard, without, written
 from catalog_jobs.llm.repeats import BYTES100, Unit
 
-#: Runs of one anchor up to which its bytes go to a bucket, if they are not over BUCKET_BYTES; the windows of an anchor with more are compared by hash, where no key is one task's work.
-BUCKET_RUNS = 256
 SHARDS = 2
-#: Bytes of runs in a bucket, about.
-BUCKET_BYTES = 3_000_000
+#: Bytes of pieces in a bucket, about. Pieces of one key that hold more are cut again, around more shared bytes.
+BUCKET_BYTES = 1_000_000
+
+
+def _settled(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where a block of equal keys begins, which rows are a block of their own) of sorted keys."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)), new & np.append(new[1:], True)
 
 
 def shard_transform(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(transform, suffix array) of segments, each ended by a 0 before all bytes, which count from 1 here; ties by segment.
 
     The suffix array has places in the segments laid one after another with their ends. The transform of a segment's first
-    suffix is 0.
+    suffix is 0. A byte of 255, which UTF-8 doesn't have, isn't allowed.
     """
-    text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int64) + 1, 0) for s in segments])
+    text = np.frombuffer(b"".join(s + b"\xff" for s in segments), np.uint8) + np.uint8(1)
     ends = np.flatnonzero(text == 0)
-    until = ends[np.searchsorted(ends, np.arange(len(text)))]
-    rank, h, longest = text.copy(), 1, int(np.diff(ends, prepend=-1).max())
-    while True:
-        next_ = np.arange(len(text)) + h
-        key = (rank << 32) + np.where(next_ <= until, rank[np.minimum(next_, len(text) - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(text), np.int64)
-        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(text))  # symbols before the end
+    key = text.astype(np.uint64)
+    for h in (1, 2, 4):  # the first eight symbols as one number
+        key <<= np.uint64(8 * h)
+        key[:-h] |= np.where(left[:-h] >= h, key[h:] >> np.uint64(8 * h), np.uint64(0))
+    order = np.argsort(key)
+    head, alone = _settled(key[order])
+    rank = np.empty(len(text), np.int64)
+    rank[order] = head
+    open_ = np.flatnonzero(~alone)
+    h, longest = 8, int(np.diff(ends, prepend=-1).max())
+    while h < longest and len(open_):
+        at = order[open_]
+        key = (rank[at] << 32) + np.where(left[at] >= h, rank[np.minimum(at + h, len(text) - 1)] + 1, 0)
+        by = np.argsort(key)
+        at = order[open_] = at[by]
+        head, alone = _settled(key[by])
+        rank[at] = open_[head]
+        open_ = open_[~alone]
         h *= 2
-        if h >= longest or rank[order[-1]] == len(text):
-            break
-    before = np.concatenate([[0], text[:-1]])
-    return before[order].astype(np.uint8), order.astype(np.int32)
+    if len(open_):  # equal suffixes: by segment
+        at = order[open_]
+        order[open_] = at[np.argsort((rank[at] << 32) + at)]
+    return np.append(np.uint8(0), text[:-1])[order], order.astype(np.int32)
 
 
-def merge_transforms(transforms: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each suffix in the merged order by its first `size` bytes, whether a block of equal ones begins there).
+def merge_transforms(transforms: list[np.ndarray], size: int) -> np.ndarray:
+    """The block of each suffix, shard after shard in each one's order: the number of suffixes whose first `size` bytes are less.
 
-    Each round sends the suffixes, in the order known so far, to the places of the suffixes one byte longer: those whose
-    preceding byte is least come first. Suffixes that consist of an end stay at the front.
+    Suffixes that consist of an end are one block at the front and go on to themselves.
     """
-    n_ends = [int((t == 0).sum()) for t in transforms]
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    front = np.repeat(np.arange(len(transforms), dtype=np.uint8), n_ends)
-    n = len(front)
-    bound = np.zeros(len(shard), bool)
-    bound[0] = True
-    before = np.empty(len(shard), np.uint8)
-    for _ in range(size):
-        for i, t in enumerate(transforms):
-            before[shard == i] = t
-        order = np.argsort(before, kind="stable")[n:]
-        byte, block = before[order], np.cumsum(bound, dtype=np.int32)[order]
-        shard[n:] = shard[order]
-        shard[:n] = front
-        bound[1:n] = False
-        bound[n] = True
-        bound[n + 1 :] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
-    return shard, bound
+    links, base = [], 0
+    for t in transforms:
+        link = np.argsort(t, kind="stable")  # the suffix one byte later, by rank
+        n_ends = int(np.count_nonzero(t == 0))
+        link[:n_ends] = np.arange(n_ends)
+        links.append(link + base)
+        base += len(t)
+    later = {1: np.concatenate(links).astype(np.int32)}
+    first = np.concatenate([np.sort(t, kind="stable") for t in transforms])
+    counts = np.bincount(first, minlength=256)
+    block = (np.cumsum(counts) - counts)[first]
+    many = counts > 1
+    many[0] = False
+    open_, slots = np.flatnonzero(many[first]), np.flatnonzero(np.repeat(many, counts))
+
+    def refine(by: np.ndarray) -> None:
+        """From blocks of equal h bytes to those of h + k, where `by` leads k bytes on; only blocks of several suffixes are touched."""
+        nonlocal open_, slots
+        key = (block[open_] << 32) + block[by[open_]]
+        order = np.argsort(key, kind="stable")  # each shard's part is in order already: a merge
+        head, alone = _settled(key[order])
+        block[open_[order]] = slots[head]
+        open_, slots = np.sort(open_[order][~alone]), slots[~alone]
+
+    h = 1
+    while 2 * h <= size and len(open_):
+        refine(later[h])
+        later[2 * h] = later[h][later[h]]
+        h *= 2
+    rest = [1 << i for i in range(h.bit_length()) if size - h >> i & 1]
+    if rest and len(open_):
+        by = later[rest[0]]
+        for k in rest[1:]:
+            by = later[k][by]
+        refine(by)
+    return block
 
 
 def _bucket(size: int):
     def merge(table: pa.Table) -> pa.Table:
-        """The runs of one bucket (ord, tie, start, n, seg) -> (ord, tie, start, n = 1) of the windows that start earlier elsewhere."""
-        dealt = pa.array(table.column("ord").to_numpy() % SHARDS)
+        """The pieces of one bucket (ord, tie, start, n, seg) -> (ord, tie, start, n = 1) of the windows that start earlier elsewhere."""
+        dealt = pa.array(table.column("tie").to_numpy() % SHARDS)
         shards = [t for i in range(SHARDS) if (t := table.filter(pc.equal(dealt, i))).num_rows]
         made = [shard_transform(t.column("seg").to_pylist()) for t in shards]
-        shard, bound = merge_transforms([t for t, _ in made], size)
-        ord_, tie, start, valid = (np.zeros(len(shard), t) for t in (np.int64, np.int64, np.int64, bool))
-        for i, (t, (_, at)) in enumerate(zip(shards, made, strict=True)):
-            n = t.column("n").to_numpy().astype(np.int64)
-            lengths = n + size  # n - 1 + size bytes and the end
-            begin = np.cumsum(lengths) - lengths
-            run = np.searchsorted(begin, at, "right") - 1
-            here = shard == i
-            ord_[here], tie[here] = t.column("ord").to_numpy()[run], t.column("tie").to_numpy()[run]
-            start[here], valid[here] = t.column("start").to_numpy()[run] + at - begin[run], at - begin[run] < n[run]
-        block = np.cumsum(bound)[valid]
-        ord_, tie, start = ord_[valid], tie[valid], start[valid]
+        block = merge_transforms([t for t, _ in made], size)
+        table = pa.concat_tables(shards)
+        n = table.column("n").to_numpy().astype(np.int64)
+        lengths = n + size  # n - 1 + size bytes and the end
+        begin = np.cumsum(lengths) - lengths
+        bounds = np.cumsum([0] + [len(t) for t, _ in made])
+        at = np.concatenate([a + b for (_, a), b in zip(made, bounds, strict=False)])
+        run = np.repeat(np.arange(len(n)), lengths)[at]
+        valid = (at - begin[run] < n[run]) & (np.bincount(block, minlength=len(block))[block] > 1)
+        run, block, at = run[valid], block[valid], at[valid]
+        ord_, tie = table.column("ord").to_numpy()[run], table.column("tie").to_numpy()[run]
+        start = table.column("start").to_numpy()[run] + at - begin[run]
         order = np.lexsort((start, tie, ord_, block))
-        ord_, tie, start, block = ord_[order], tie[order], start[order], block[order]
-        first = np.ones(len(block), bool)
-        first[1:] = block[1:] != block[:-1]
-        head = np.maximum.accumulate(np.where(first, np.arange(len(block)), 0))
-        later = (ord_ != ord_[head]) | (tie != tie[head]) | (start != start[head])
-        return pa.table({"ord": ord_[later], "tie": tie[later], "start": start[later].astype(np.int32), "n": np.ones(int(later.sum()), np.int32)})
+        head, _ = _settled(block[order])
+        first = order[head]
+        later = (ord_[order] != ord_[first]) | (tie[order] != tie[first]) | (start[order] != start[first])
+        gone = order[later]
+        return pa.table({"ord": ord_[gone], "tie": tie[gone], "start": start[gone].astype(np.int32), "n": np.ones(len(gone), np.int32)})
 
     return merge
 
 
+def merged_buckets(pieces: DataFrame, unit: Unit) -> DataFrame:
+    """(ord, tie, start, n) of the windows of settle()'s pieces that start earlier in another piece of their key."""
+    n_bytes = pieces.agg(F.sum(F.col("n") + unit.size)).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("key"), F.lit(n_bytes // BUCKET_BYTES + 1)).cast("int").alias("bucket")
+    return pieces.select(bucket, "ord", "tie", "start", "n", "seg").groupBy("bucket").applyInArrow(_bucket(unit.size), "ord long, tie long, start int, n int")
+
+
 def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
-    """(ord, n_units, n_removed, n_spans, kept_sha256) for each row of docs: bytes in a window that also starts earlier are removed.
+    """(doc_id, n_units, n_removed, n_spans, kept_sha256) for each row of docs: bytes in a window that also starts earlier are removed.
 
     Null and empty texts have no bytes; texts shorter than a window lose nothing; repeated rows of one doc_id and text are
-    one document and get equal results.
+    one document and get equal results; a null doc_id comes before all others. A very long text is read whole by one task, in
+    some hundred bytes of memory for each of its own.
     """
     documents = repeats.keyed(docs)
     prints = written(repeats.fingerprints(documents, unit), "prints")
@@ -117,16 +158,23 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
     anchors = texts.select(F.explode("ms").alias("m"), repeats.document_key("first."))
     again = written(anchors.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "again")
     rows = repeats.suspects(documents, anchors.join(again, "m").groupBy("k").agg(F.collect_set("m").alias("ms")))
+    discard(again)
     texts = without(texts, "ms")
     found = written(repeats.repeated_runs(rows, unit), "found")
     firsts = repeats.first_runs(found)
-
-    runs = repeats.differing(firsts).select("m", "first", "n", ((F.col("c") > BUCKET_RUNS) | (F.col("w") + F.col("c") * unit.size > BUCKET_BYTES)).alias("hot"))
-    contents = written(repeats.run_contents(rows, runs, unit), "contents")
-    cold = contents.filter("seg is not null")
-    n_bytes = cold.agg(F.sum(F.col("n") + unit.size)).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("m"), F.lit(n_bytes // BUCKET_BYTES + 1)).cast("int").alias("bucket")
-    merged = cold.select(bucket, "ord", "tie", "start", "n", "seg").groupBy("bucket").applyInArrow(_bucket(unit.size), "ord long, tie long, start int, n int")
-    windows = repeats.windows_of(contents.filter("whs is not null"))
-    removed = repeats.later_runs(found, firsts).unionByName(merged).unionByName(repeats.later_windows(windows))
-    return repeats.removed_report(rows, prints, texts, removed, unit)
+    gone = written(repeats.later_runs(found, firsts), "later")
+    discard(found)
+
+    contents = written(repeats.run_contents(rows, repeats.differing(firsts), unit), "contents")
+    discard(firsts)
+    for step in unit.steps:
+        more, left = repeats.settle(contents, unit, step)
+        gone = gone.unionByName(more)
+        if left is None:
+            break
+        small = F.col("size") <= BUCKET_BYTES
+        gone = gone.unionByName(merged_buckets(left.filter(small), unit))
+        contents = left.filter(~small)
+        if contents.isEmpty():
+            break
+    return repeats.removed_report(rows, prints, texts, gone, unit)

@@ -10,6 +10,16 @@ from dataclasses import dataclass
 import numpy as np
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: An odd number and its inverse modulo 2 ** 64: base of the polynomial hash.
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= _B
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -22,24 +32,25 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1); the longest made so far is kept, as batches are of bounded size."""
+    if len(_powers.get(base, ())) < n:
+        steps = np.full(n, base, np.uint64)
+        steps[:1] = 1
+        _powers[base] = np.cumprod(steps)
+    return _powers[base][:n]
+
+
 def span_hashes(units: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
-    """size -> hash of the `size` units from each place (shorter by size - 1), made from hashes of powers of two."""
-    powers, out = {1: units}, {}
-    for size in sorted(sizes):
-        at, done = 0, None
-        for bit in reversed(range(size.bit_length())):
-            if not size >> bit & 1:
-                continue
-            p = 1
-            while p < 1 << bit:
-                if 2 * p not in powers:
-                    powers[2 * p] = mix(powers[p][: max(0, len(powers[p]) - p)], powers[p][p:])
-                p *= 2
-            part = powers[1 << bit][at:]
-            done = part if done is None else mix(done[: len(part)], part)
-            at += 1 << bit
-        out[size] = done[: max(0, len(units) - size + 1)]
-    return out
+    """size -> hash of the `size` units from each place (shorter by size - 1): differences of one running polynomial."""
+    n = len(units)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(units * _powers_of(_BASE, n), out=total[1:])
+    back = _powers_of(_INVERSE, n)
+    return {size: scramble((total[size:] - total[:-size]) * back[: n - size + 1]) if size <= n else np.zeros(0, np.uint64) for size in sizes}
 
 
 def slide(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -54,24 +65,22 @@ def slide(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """The windows of some documents: by start, doc and start in the doc; least gram hash and whole hash of each."""
+    """The windows of some documents: by start, doc and start in the doc; least gram hash of each."""
 
     start: np.ndarray
     doc: np.ndarray
     place: np.ndarray
     least: np.ndarray
-    whole: np.ndarray | None
 
 
-def windows(units: np.ndarray, bounds: np.ndarray, size: int, gram: int, whole: bool, spans: dict[int, np.ndarray] | None = None) -> tuple[Windows, np.ndarray]:
+def windows(units: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple[Windows, np.ndarray]:
     """(all windows of `size` units, gram hashes). bounds[d] to bounds[d + 1] are the places of document d."""
     n = np.maximum(np.diff(bounds) - size + 1, 0)
     doc = np.repeat(np.arange(len(n)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = bounds[doc] + place
-    spans = spans or span_hashes(units, [gram, size] if whole else [gram])
-    least = slide(spans[gram], size - gram + 1, np.minimum)
-    return Windows(start, doc, place, least[start], spans[size][start] if whole else None), spans[gram]
+    grams = span_hashes(units, [gram])[gram]
+    return Windows(start, doc, place, slide(grams, size - gram + 1, np.minimum)[start]), grams
 
 
 def anchors(w: Windows, grams: np.ndarray, width: int) -> np.ndarray:
@@ -84,12 +93,19 @@ def anchors(w: Windows, grams: np.ndarray, width: int) -> np.ndarray:
 
 def runs(w: Windows) -> tuple[np.ndarray, np.ndarray]:
     """(first window, number of windows) of each run of neighbouring windows of one document with one least gram."""
-    if not len(w.start):
+    return groups((w.doc, w.least))
+
+
+def groups(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, number of rows) of each run of neighbouring rows that are equal in all columns."""
+    if not len(columns[0]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.ones(len(w.start), bool)
-    new[1:] = (w.least[1:] != w.least[:-1]) | (w.doc[1:] != w.doc[:-1])
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
     first = np.flatnonzero(new)
-    return first, np.diff(first, append=len(w.start))
+    return first, np.diff(first, append=len(new))
 
 
 def tied(w: Windows, grams: np.ndarray, first: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
@@ -102,10 +118,14 @@ def tied(w: Windows, grams: np.ndarray, first: np.ndarray, n: np.ndarray, width:
     return np.add.reduceat(same, np.cumsum(counts) - counts, dtype=np.int64) > 1 if len(first) else np.zeros(0, bool)
 
 
-def run_content(w: Windows, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A hash of all units that each run's windows cover."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.whole, dtype=np.uint64)])
-    return mix(mix(total[first + n] - total[first], w.whole[first]), n.astype(np.uint64))
+def anchor_distance(w: Windows, grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How far behind each window's start its anchor begins, the first of equal ones, where all windows of a document share their anchor."""
+    if not len(w.start):
+        return np.zeros(0, np.int64)
+    own = np.zeros(len(bounds) - 1, np.uint64)
+    own[w.doc] = w.least
+    places = np.flatnonzero(grams == np.repeat(own, np.diff(bounds))[: len(grams)])
+    return places[np.searchsorted(places, w.start)] - w.start
 
 
 def cover(starts: np.ndarray, n: np.ndarray, size: int, length: int) -> np.ndarray:

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from catalog_jobs.llm import decontaminate, line_dedup, near_dedup, packing, quality, queries, repeats, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter, winnow
 from catalog_jobs.llm.common import lower_ascii, written
 from catalog_jobs.llm.components import components
-from catalog_jobs.llm.repeats import NO_ID, WORDS20
+from catalog_jobs.llm.repeats import WORDS20
 from tests.llm import brute
 from tests.llm.data import BENCH, clashing, documents, empty, frame, rows, sentence
 
 DOCS = documents()
-REPORT = f"nullif(ord, {NO_ID}) AS doc_id"
 
 
 @pytest.fixture(scope="module")
@@ -183,7 +182,7 @@ def test_line_dedup(spark, docs):
 @pytest.mark.parametrize("n_batches", [1, 2, 4])
 def test_substring_dedup(spark, docs, n_batches):
     got = substring_dedup.dedup_in_batches(docs, n_batches)
-    assert rows(got.selectExpr(REPORT, "*"), "doc_id", "n_units", "n_removed", "kept_sha256") == brute.substring_report(DOCS)
+    assert rows(got, "doc_id", "n_units", "n_removed", "kept_sha256") == brute.substring_report(DOCS)
     assert substring_dedup.dedup_in_batches(empty(spark), n_batches).count() == 0
 
 
@@ -200,12 +199,12 @@ def test_anchors_of_documents_with_one_doc_id_stay_apart(spark, monkeypatch, ope
         return table
 
     monkeypatch.setattr(repeats, "suspects", watched)
-    df, report = frame(spark, docs), f"nullif(ord, {NO_ID}) AS doc_id"
+    df = frame(spark, docs)
     if operator == "words":
-        got = rows(substring_dedup.dedup_in_batches(df, 2).selectExpr(report, "*"), "doc_id", "n_units", "n_removed", "kept_sha256")
+        got = rows(substring_dedup.dedup_in_batches(df, 2), "doc_id", "n_units", "n_removed", "kept_sha256")
         assert got == brute.substring_report(docs)
     else:
-        got = rows(suffix_dedup.dedup_bytes(df).selectExpr(report, "*"), "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
+        got = rows(suffix_dedup.dedup_bytes(df), "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
         assert got == brute.byte_report(docs)
     unit = repeats.WORDS20 if operator == "words" else repeats.BYTES100
     own = {(r.ord, r.tie): set(r.ms) for r in repeats.fingerprints(repeats.keyed(df), unit).collect()}
@@ -218,9 +217,9 @@ def test_substring_query_compacts_its_index(spark, tmp_path, monkeypatch):
     compact, seen = substring_dedup.FingerprintIndex.compact, []
 
     def watched(index):
-        before = [level for level, _ in index.runs]
+        before = [level for level, *_ in index.runs]
         compact(index)
-        seen.append((before, [level for level, _ in index.runs], index.rows().count()))
+        seen.append((before, [level for level, *_ in index.runs], index.rows().count()))
 
     monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", watched)
     got = rows(queries.op7_substring_dedup(spark, str(tmp_path)), "doc_id", "n_words", "n_removed", "kept_sha256")
@@ -231,65 +230,67 @@ def test_substring_query_compacts_its_index(spark, tmp_path, monkeypatch):
 
 def test_fingerprint_index_is_compacted(spark):
     job = substring_dedup.SubstringDedup(spark, WORDS20, fan_in=2)
-    parts = [job.add(frame(spark, DOCS[i : i + 15])).select("ord", "n_removed") for i in range(0, 60, 15)]
-    assert [level for level, _ in job.index.runs] == [2]  # four runs became two, then one
+    parts = [job.add(frame(spark, DOCS[i : i + 15])).select("doc_id", "n_removed") for i in range(0, 60, 15)]
+    assert [level for level, *_ in job.index.runs] == [2]  # four runs became two, then one
     got = sorted(tuple(r) for p in parts for r in p.collect())
     assert got == [(d, n) for d, _, n, _ in sorted(brute.substring_report(DOCS[:60]))]
 
 
-@pytest.mark.parametrize("bucket_runs", [256, 1])
-def test_suffix_dedup(spark, docs, monkeypatch, bucket_runs):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_RUNS", bucket_runs)  # with 1, windows are compared by hash
-    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
+@pytest.mark.parametrize("bucket_bytes", [1_000_000, 3000, 1])
+def test_suffix_dedup(spark, docs, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket_bytes)  # with 1, pieces are cut down to single windows
     got = suffix_dedup.dedup_bytes(docs)
-    assert rows(got.selectExpr(REPORT, "*"), "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256") == brute.byte_report(DOCS)
+    assert rows(got, "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256") == brute.byte_report(DOCS)
     assert suffix_dedup.dedup_bytes(empty(spark)).count() == 0
 
 
-def test_an_anchor_of_few_long_runs_is_not_dealt_to_a_bucket(spark, monkeypatch):
+def test_pieces_in_a_bucket_are_of_bounded_size(spark, monkeypatch):
+    """Periodic texts, and one passage with other words around it in each of many documents: no key gives a bucket much more than its bytes."""
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
-    monkeypatch.setattr(repeats, "PIECE", 700)
-    contents, dealt = repeats.run_contents, []
+    merge, dealt = suffix_dedup.merged_buckets, []
 
-    def watched(suspects, runs, unit):
-        found = contents(suspects, runs, unit)
-        dealt.extend(found.groupBy("m").agg(F.sum(F.length("seg")).alias("b"), F.max(F.size("whs")).alias("w")).collect())
-        return found
+    def watched(pieces, unit):
+        dealt.extend(pieces.groupBy("key").agg(F.sum(F.length("seg")).alias("b")).collect())
+        return merge(pieces, unit)
 
-    monkeypatch.setattr(repeats, "run_contents", watched)
+    monkeypatch.setattr(suffix_dedup, "merged_buckets", watched)
+    rng = random.Random(5)
+    passage = sentence(rng, 40)
     docs = [(i, "x" * n) for i, n in enumerate((4000, 5000, 2500))] + [(9, "one line\n" * 600), (10, "start " + "one line\n" * 500)]
-    got = rows(suffix_dedup.dedup_bytes(frame(spark, docs)).selectExpr(REPORT, "*"), "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
+    docs += [(20 + i, f"{sentence(rng, 8)} {passage} {sentence(rng, 8)}") for i in range(120)]
+    got = rows(suffix_dedup.dedup_bytes(frame(spark, docs)), "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.byte_report(docs)
-    assert max(r.b or 0 for r in dealt) <= 3000
-    assert 0 < max(r.w for r in dealt) <= 700
+    assert 0 < max(r.b for r in dealt) <= 3000
 
 
 def test_merged_transforms_are_in_suffix_order():
     rng = random.Random(4)
-    shards = [[bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(5)] for _ in range(3)]
+    shards = [[bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(20)] for _ in range(3)]
     made = [suffix_dedup.shard_transform(s) for s in shards]
-    shard, bound = suffix_dedup.merge_transforms([t for t, _ in made], 4)
-    at, prefixes = [0] * 3, []
-    for i in shard:
-        text = b"".join(s + b"\0" for s in shards[i])
-        p = made[i][1][at[i]]
-        at[i] += 1
-        prefixes.append(text[p:].split(b"\0")[0][:4])
-    assert prefixes == sorted(prefixes)
-    whole = [(p, b) for p, b, q in zip(prefixes[1:], bound[1:], prefixes, strict=False) if len(p) == 4]
-    assert [b for _, b in whole] == [p != q for p, q in zip(prefixes[1:], prefixes, strict=False) if len(p) == 4]
+    suffixes = []
+    for s, (_, at) in zip(shards, made, strict=True):
+        text = b"".join(x + b"\0" for x in s)
+        own = [text[p:].split(b"\0")[0] for p in at]
+        assert own == sorted(own)
+        suffixes += own
+    for size in (1, 2, 3, 4, 7, 8, 12, 16, 20):
+        block = suffix_dedup.merge_transforms([t for t, _ in made], size).tolist()
+        prefixes = [x[:size] for x in suffixes]
+        least = {p: i for i, p in reversed([*enumerate(sorted(prefixes))])}
+        assert block == [least[p] for p in prefixes], size
 
 
 def test_windows_of_one_content_share_their_anchor():
     rng = np.random.default_rng(0)
     part = rng.integers(1, 1 << 60, 200, np.uint64)
     units = np.concatenate([rng.integers(1, 1 << 60, 70, np.uint64), part, rng.integers(1, 1 << 60, 30, np.uint64), part])
-    w, grams = winnow.windows(units, np.array([0, 300, len(units)]), 20, 6, True)
+    w, grams = winnow.windows(units, np.array([0, 300, len(units)]), 20, 6)
+    whole = winnow.span_hashes(units, [20])[20][w.start]
     least = defaultdict(set)
-    for h, m in zip(w.whole, w.least, strict=True):
+    for h, m in zip(whole, w.least, strict=True):
         least[h].add(m)
     assert all(len(m) == 1 for m in least.values())
-    assert max(Counter(w.whole.tolist()).values()) == 2
+    assert max(Counter(whole.tolist()).values()) == 2
     assert set(w.least.tolist()) <= set(grams[winnow.anchors(w, grams, 15)].tolist())
 
 
