@@ -1,6 +1,7 @@
 """Best-fit packing: a configuration linear program over the length histogram decides which lengths share a sequence.
 
-Texts become token ids in Arrow batches, by words: each batch tokenizes its distinct words once. The histogram of piece
+Texts become token ids in Arrow batches, by words: a worker tokenizes each distinct word once, and keeps what it made, up to a bound, for
+its next batches and tasks. The histogram of piece
 lengths (at most `capacity` numbers) is all that the driver sees; multiplicative weights with a knapsack
 dynamic program solve the program, its rounding gives runs of equal sequences, and every piece finds its place from its
 rank among pieces of its length.
@@ -8,6 +9,7 @@ rank among pieces of its length.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,16 +25,21 @@ from catalog_jobs.llm.common import written
 #: Parts in which the pieces of one length are ranked, so that a common length isn't one task's work.
 SALTS = 16
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Distinct words and bytes of text for which one batch is tokenized at once.
-BATCH_BYTES = 10_000_000
+#: What may follow a word's letters in a chunk and is one more word; neither an apostrophe nor a <, which begin words of their own rules.
+_TAIL = r"!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~"
+#: Bytes of text for which one batch is tokenized at once.
+BATCH_BYTES = 6_000_000
+#: Distinct words, of some 30 bytes with their ids, that a worker keeps.
+KEPT_WORDS = 1_000_000
 
 
 class WordTokenizer:
-    """Token ids of whole texts, equal to those of the tokenizer for each text, but made once for each distinct word of a batch.
+    """Token ids of whole texts, equal to those of the tokenizer for each text, but made once for each distinct word.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its chunks between
-    ASCII blanks, one after another. Chunks of plain letters, and those with a tail of . or , and the like, are tokenized many at once;
-    where one chunk ends follows from the tokens that end a word. All other chunks are tokenized each on their own.
+    ASCII blanks, one after another; and it reads a chunk of plain letters with a tail of ASCII signs as two words, the
+    letters in lower case. Such words are tokenized many at once; where one ends follows from the tokens that end
+    a word. All other chunks are tokenized each on their own.
     """
 
     def __init__(self, path: str):
@@ -43,52 +50,77 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-
-    def _each(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _many(self, chunks: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each chunk) for chunks of `parts` words each."""
-        ids, sizes = [], []
-        for at in range(0, len(chunks), 50_000):
-            some = chunks.slice(at, 50_000).to_pylist()
+        self.known = pa.array([""])  # words so far; the first has no ids
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each chunk)."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.array([i for e in ids for i in e], np.uint32), np.array([len(e) for e in ids], np.int64)
+
+    def _many(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) for words that end with an end token."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 50_000):
+            some = words.slice(at, 50_000).to_pylist()
             got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            bounds = np.flatnonzero(self.ends[got])[parts - 1 :: parts] + 1
+            bounds = np.flatnonzero(self.ends[got]) + 1
             n = np.diff(bounds, prepend=0)
             if len(bounds) != len(some) or bounds[-1] != len(got):
-                each = self._each(some)
-                got, n = np.concatenate(each), np.array([len(e) for e in each])
+                got, n = self._each(some)
             ids.append(got)
             sizes.append(n)
-        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each word, ids, sizes): words that aren't known are made, and kept while there is room."""
+        at = pc.index_in(words, value_set=self.known)
+        lacking = pc.is_null(at).to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(lacking)).unique()
+        got, n = self._many(new)
+        known, ids, sizes = pa.concat_arrays([self.known, new]), np.concatenate([self.ids, got]), np.concatenate([self.sizes, n])
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[lacking] = len(self.known) + pc.index_in(words.filter(pa.array(lacking)), value_set=new).to_numpy()
+        if len(self.known) < KEPT_WORDS:
+            self.known, self.ids, self.sizes = known, ids, sizes
+        return place, ids, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and the last ones end); texts has no nulls."""
         chunks = pc.ascii_split_whitespace(texts)
-        words = pc.list_flatten(chunks).dictionary_encode()
-        distinct = words.dictionary
-        one = pc.match_substring_regex(distinct, f"^[{_LETTERS}]+$")
-        two = pc.match_substring_regex(distinct, rf"^[{_LETTERS}]+[.,;:!?]+$")
-        rest = pc.invert(pc.or_(one, two))
-        order, ids, sizes = [], [], []
-        for mask, parts in ((one, 1), (two, 2)):
-            got, n = self._many(distinct.filter(mask), parts)
-            order.append(np.flatnonzero(mask.to_numpy(zero_copy_only=False)))
-            ids.append(got)
-            sizes.append(n)
-        each = self._each(distinct.filter(rest).to_pylist())
-        order.append(np.flatnonzero(rest.to_numpy(zero_copy_only=False)))
-        ids += each
-        sizes.append(np.array([len(e) for e in each], np.int64))
-        ids, order, sizes = np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate(order), np.concatenate(sizes).astype(np.int64)
-        begin, length = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        begin[order], length[order] = np.cumsum(sizes) - sizes, sizes
-        index = words.indices.to_numpy(zero_copy_only=False)
-        n = length[index]
-        ends = np.cumsum(n)
-        flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(begin[index], n)
-        bounds = np.concatenate([[0], ends])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
-        return ids[flat], bounds
+        coded = pc.list_flatten(chunks).dictionary_encode()
+        distinct = coded.dictionary
+        plain = pc.match_substring_regex(distinct, f"^[{_LETTERS}]+[{_TAIL}]*$")
+        other = distinct.filter(pc.invert(plain))
+        is_plain, distinct = plain.to_numpy(zero_copy_only=False), distinct.filter(plain)
+        letters = pc.utf8_lower(pc.replace_substring_regex(distinct, f"[{_TAIL}]+$", ""))
+        tails = pc.replace_substring_regex(distinct, f"^[{_LETTERS}]+", "")
+        place, ids, sizes = self._words(pa.concat_arrays([letters, tails]))
+        more, n = self._each(other.to_pylist())
+        begin = np.concatenate([np.cumsum(sizes) - sizes, len(ids) + np.cumsum(n) - n])
+        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, n])
+        # two parts for each chunk: letters and tail, or the whole chunk and nothing
+        parts = np.zeros((len(is_plain), 2), np.int64)
+        parts[is_plain] = place.reshape(2, -1).T
+        parts[~is_plain, 0] = len(sizes) - len(n) + np.arange(len(n))
+        chunk_ids, ends = _gather(ids, begin[parts.ravel()], sizes[parts.ravel()])
+        chunk_size = sizes[parts].sum(axis=1)
+        chunk_begin = np.cumsum(chunk_size) - chunk_size
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        flat, ends = _gather(chunk_ids, chunk_begin[index], chunk_size[index])
+        return flat, np.concatenate([[0], ends])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values[begin[i] : begin[i] + n[i]] one after another, where each ends)."""
+    ends = np.cumsum(n)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + n, n)], ends
+
+
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each worker, which outlives its tasks."""
+    return WordTokenizer(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,7 +131,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     key_type = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
