@@ -95,8 +95,8 @@ def _cut_bytes(part: Column, skip: Column, take: Column) -> Column:
     return F.substring(part, skip + 1, take)
 
 
-WORDS20 = Unit(20, 6, (5, 1), 4_000_000, _words, bytes.split, b" ", "string", _cut_words)
-BYTES100 = Unit(100, 37, (16, 4, 1), 1_000_000, _bytes, lambda text: text, b"", "binary", _cut_bytes)
+WORDS20 = Unit(20, 6, (5, 1), 2_000_000, _words, bytes.split, b" ", "string", _cut_words)
+BYTES100 = Unit(100, 37, (16, 4, 1), 500_000, _bytes, lambda text: text, b"", "binary", _cut_bytes)
 
 
 def order_of(text: str = "text", doc_id: str = "doc_id") -> tuple[Column, Column]:

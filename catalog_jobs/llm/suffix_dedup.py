@@ -21,8 +21,8 @@ from catalog_jobs.llm.common import discard, without, written
 from catalog_jobs.llm.repeats import BYTES100, Unit
 
 SHARDS = 2
-#: Bytes of pieces in a bucket, about. Pieces of one key that hold more are cut again, around more shared bytes.
-BUCKET_BYTES = 1_000_000
+#: Bytes of pieces in a bucket, about. Pieces of one key that hold more than a quarter of it are cut again, around more shared bytes.
+BUCKET_BYTES = 500_000
 
 
 def _settled(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
         gone = gone.unionByName(more)
         if left is None:
             break
-        small = F.col("size") <= BUCKET_BYTES
+        small = F.col("size") <= BUCKET_BYTES // 4
         gone = gone.unionByName(merged_buckets(left.filter(small), unit))
         contents = left.filter(~small)
         if contents.isEmpty():
