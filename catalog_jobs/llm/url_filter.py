@@ -52,23 +52,25 @@ def filter_urls(pages: DataFrame, rules: DataFrame, bits_per_key: int = 16, defa
     host and path and get no rule unless one is listed for the empty host; repeated pages are judged each on their own;
     without rules every verdict is the default.
 
-    A url's candidate keys are its host suffixes, at label bounds, times the prefixes of its path as long as some rule's
+    A url's candidate keys are its host suffixes, at label bounds and of no more labels than the longest listed host, times the prefixes of its path as long as some rule's
     path. They are probed in the blocked Bloom filter; what passes meets the exact keys in a join, which removes the
-    false positives. Rules with more distinct path lengths only add candidates.
+    false positives. Rules with more distinct path lengths or more labels only add candidates; a very long url costs its length.
     """
     listed = (
         rules.select(F.coalesce("host", F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), "verdict")
         .groupBy("r_host", "r_path").agg(F.max("verdict").alias("r_verdict"))
         .withColumn("key", F.concat_ws("\n", "r_host", "r_path"))
     )
-    sizes = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("r_path")).alias("lengths")).first()
+    n_labels = F.size(F.split("r_host", r"\.")).alias("n")
+    sizes = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("r_path")).alias("lengths"), F.max(n_labels).alias("labels")).first()
     n_blocks = max(1, math.ceil(sizes["n"] * bits_per_key / (64 * WORDS)))
     blocks = bloom_blocks(listed, n_blocks)
     blocks = F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks
 
     urls = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # substring_index finds a suffix from the end: a host of very many labels costs its length, not its square
+    depth = F.least(F.length("host") - F.length(F.replace("host", F.lit("."))) + 1, F.lit(sizes["labels"] or 1))
+    suffixes = F.transform(F.sequence(F.lit(1), depth), lambda i: F.call_function("substring_index", "host", F.lit("."), -i))
     cuts = F.array(*(F.lit(n) for n in sorted(sizes["lengths"]))).cast("array<int>")
     fits = F.filter(cuts, lambda n: n <= F.length("path"))
     # each page row carries its number of copies in itself: candidates are grouped back by url, not by page
