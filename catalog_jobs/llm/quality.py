@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog_jobs.llm.common import split_words, written
@@ -101,14 +101,27 @@ class DecisionList:
         return "\n".join(f"{'if' if i == 0 else 'else if'} {' and '.join(map(str, r))}: reject" for i, r in enumerate(self.rules)) + "\nelse keep"
 
 
+def _rounded(feature: str) -> Column:
+    """A feature to three significant decimals at most, so that its distinct values are few and exact counts by value are narrow."""
+    return F.round(F.expr(FEATURES[feature]), 3)
+
+
 def _bins(stats: DataFrame, n_bins: int) -> dict[str, list[float]]:
-    """Thresholds of each feature: quantiles over all labelled rows and over the low-quality ones."""
-    shares = F.array(*(F.lit(i / n_bins) for i in range(n_bins)))
-    cuts = stats.agg(*(
-        F.array_union(F.percentile_approx(F.expr(e), shares, F.lit(10000)), F.percentile_approx(F.when(F.col("bad"), F.expr(e)), shares, F.lit(10000))).alias(f)
-        for f, e in FEATURES.items()
-    )).first()
-    return {f: sorted({x for x in cuts[f] or [] if x is not None}) for f in FEATURES}
+    """Thresholds of each feature: exact quantiles of its rounded values over all labelled rows and over the low-quality ones.
+
+    Values are counted by group first, so that the result doesn't depend on how rows lie in partitions; a window over the
+    counts of one feature's distinct values finds where each quantile falls.
+    """
+    long_ = stats.select("bad", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), _rounded(f).alias("x")) for f in FEATURES))).alias("v")).select("v.f", "v.x", "bad")
+    counts = long_.groupBy("f", "x").agg(F.count("*").alias("all"), F.count_if("bad").alias("low"))
+    kinds = counts.select("f", "x", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).alias("n")) for k in ("all", "low")))).alias("c")).select("f", "x", "c.k", "c.n").filter("n > 0")
+    own = Window.partitionBy("f", "k")
+    below = kinds.withColumns({"upto": F.sum("n").over(own.orderBy("x")), "total": F.sum("n").over(own)})
+    # the i-th quantile is the first value with at least i / n_bins of the rows up to it
+    edge = F.floor(F.col("upto") * n_bins / F.col("total")) > F.floor((F.col("upto") - F.col("n")) * n_bins / F.col("total"))
+    lowest = F.col("upto") == F.col("n")
+    rows = below.filter(edge | lowest).select("f", "x").distinct().collect()  # 2 * (n_bins + 1) for each feature at most
+    return {f: sorted(r["x"] for r in rows if r["f"] == f) for f in FEATURES}
 
 
 def learn_rules(labelled: DataFrame, n_bins: int = 12, max_rules: int = 6, max_tests: int = 4, least_rows: int = 8, precision: float = 0.9) -> DecisionList:
