@@ -1,7 +1,9 @@
 """Plain versions of the operators, for a few documents."""
 
 import hashlib
+import math
 import re
+from decimal import ROUND_HALF_UP, Decimal
 from itertools import pairwise
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -129,3 +131,64 @@ def stats(docs):
         rep = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 5)}
         out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep)))
     return sorted(out, key=repr)
+
+
+def features(text):
+    """{feature: value} of a text, in the order in which ties are settled."""
+    _, n, chars, symbols, dup, repeat = stats([(0, text)])[0]
+    upper, digits = (len(re.findall(c, text or "")) for c in ("[A-Z]", "[0-9]"))
+    return {"n_words": float(n), "word_length": chars / max(n, 1), "symbol_share": symbols / max(n, 1), "dup_lines": float(dup), "repeat_share": repeat / max(n, 1), "upper_share": upper / max(chars, 1), "digit_share": digits / max(chars, 1)}
+
+
+def quantiles(values, n):
+    """The values at which a share of i / n of all values is reached, and the least one."""
+    values = sorted(float(Decimal(repr(v)).quantize(Decimal("0.001"), ROUND_HALF_UP)) for v in values)
+    return {next(v for k, v in enumerate(values, 1) if k * n // len(values) >= i) for i in range(1, n + 1)} | set(values[:1]) if values else set()
+
+
+def decision_list(rows, n_bins=12, max_rules=6, max_tests=4, least=8, precision=0.9):
+    """[[(feature, above, bound)]] learned from rows (features, bad, prune) by sequential covering."""
+    names = list(rows[0][0]) if rows else []
+    bounds = {f: sorted(quantiles([r[0][f] for r in rows], n_bins) | quantiles([r[0][f] for r in rows if r[1]], n_bins)) for f in names}
+
+    def fits(x, rule):
+        return all((x[f] > b) == above for f, above, b in rule)
+
+    def counts(some):
+        return sum(r[1] for r in some), sum(not r[1] for r in some)
+
+    rules = []
+    while len(rules) < max_rules:
+        rule = []
+        while len(rule) < max_tests:
+            some = [r for r in rows if not r[2] and fits(r[0], rule)]
+            p0, n0 = counts(some)
+            if p0 < least or n0 == 0:
+                break
+            best, most = None, 1e-9
+            for f in names:
+                for b in bounds[f]:
+                    for above in (False, True):
+                        p, n = counts([r for r in some if (r[0][f] > b) == above])
+                        if p >= least and (gain := p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))) > most:
+                            best, most = (f, above, b), gain
+            if best is None:
+                break
+            rule.append(best)
+        tried = [(rule[: i + 1], *counts([r for r in rows if r[2] and fits(r[0], rule[: i + 1])])) for i in range(len(rule))]
+        if not tried:
+            break
+        rule, p, n = max(tried, key=lambda t: ((t[1] - t[2]) / max(1, t[1] + t[2]), -len(t[0])))
+        if p + n < least / 2 or p < precision * (p + n):
+            break
+        rules.append(rule)
+        rows = [r for r in rows if not fits(r[0], rule)]
+    return rules
+
+
+def quality_kept(docs, labels, prune):
+    """[kept] for docs [(doc_id, text)]; labels [(doc_id, quality)]; prune {doc_id: whether its rows prune rules}."""
+    base = [s[1] >= 10 and 100 * s[5] <= 20 * s[1] for d, t in docs for s in stats([(d, t)])]
+    values = [features(t) for _, t in docs]
+    rules = decision_list([(x, q == 0, prune[d]) for (d, _), x, ok in zip(docs, values, base, strict=True) if ok for e, q in labels if e == d and d is not None and q is not None])
+    return [ok and not any(all((x[f] > b) == above for f, above, b in r) for r in rules) for ok, x in zip(base, values, strict=True)], rules

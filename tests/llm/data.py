@@ -43,6 +43,11 @@ def documents(seed=0, n=60):
     return docs
 
 
+def junk(rng, ids):
+    """[(doc_id, text)] full of numbers and signs, for a learner to find."""
+    return [(i, " ".join(f"#{rng.random():.6f}" for _ in range(rng.randint(15, 25))) + " " + sentence(rng, rng.randint(10, 40))) for i in ids]
+
+
 def frame(spark, docs):
     rows = [(d, t, "en", "src0", None if t is None else len(t)) for d, t in docs]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)

@@ -13,7 +13,7 @@ from catalog_jobs.llm.common import lower_ascii, written
 from catalog_jobs.llm.components import components
 from catalog_jobs.llm.repeats import WORDS20
 from tests.llm import brute
-from tests.llm.data import BENCH, clashing, documents, empty, frame, rows, sentence
+from tests.llm.data import BENCH, clashing, documents, empty, frame, junk, rows, sentence
 
 DOCS = documents()
 
@@ -66,15 +66,33 @@ def test_contamination_without_rows(spark, docs):
 
 
 def test_secrets(spark, docs):
-    ledger = written(secret_scan.scan_unseen(docs), "ledger")
-    got = rows(secret_scan.secret_report(secret_scan.findings_by_path(docs, ledger)), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    paths = secret_scan.blob_paths(docs)
+    ledger = written(secret_scan.scan_unseen(paths), "ledger")
+    got = rows(secret_scan.secret_report(secret_scan.findings_by_path(paths, ledger)), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     assert got == brute.secrets(DOCS)
-    assert secret_scan.scan_unseen(docs, ledger=ledger).count() == 0  # nothing is scanned twice
+    assert secret_scan.scan_unseen(paths, ledger=ledger).count() == 0  # nothing is scanned twice
     newer = secret_scan.RuleSet("3", secret_scan.RULES.rules)
-    assert secret_scan.scan_unseen(docs, newer, ledger).count() == ledger.count()  # but for another version of the rules
-    more = frame(spark, [(1, DOCS[0][1]), (2, "token = abcdefghijklmnopq")])
+    assert secret_scan.scan_unseen(paths, newer, ledger).count() == ledger.count()  # but for another version of the rules
+    more = secret_scan.blob_paths(frame(spark, [(1, DOCS[0][1]), (2, "token = abcdefghijklmnopq")]))
     assert secret_scan.scan_unseen(more, ledger=ledger).count() == 1
-    assert secret_scan.scan_unseen(empty(spark)).count() == 0
+    assert secret_scan.scan_unseen(secret_scan.blob_paths(empty(spark))).count() == 0
+
+
+def test_secret_query_scans_a_second_version_for_unseen_blobs_only(spark, tmp_path, monkeypatch):
+    twice = [*DOCS, *((1000 + i, t) for i, (_, t) in enumerate(DOCS))]
+    frame(spark, twice).write.parquet(str(tmp_path / "documents.parquet"))
+    scan, new = secret_scan.scan_unseen, []
+
+    def watched(paths, rules, ledger):
+        out = scan(paths, rules, ledger)
+        new.append({bytes(r.blob) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(secret_scan, "scan_unseen", watched)
+    got = rows(queries.op2_secret_scan(spark, str(tmp_path)), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    assert got == brute.secrets(twice)
+    assert len(new) == 2 and not new[0] & new[1]
+    assert len(new[0]) + len(new[1]) == len({t or "" for _, t in DOCS})
 
 
 def test_urls(spark):
@@ -97,6 +115,12 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_hosts_of_very_many_labels(spark):
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "net/x"), (2, "http://" + "." * 100_000 + "/y")], "page_id long, url string")
+    assert rows(url_filter.filter_urls(pages, rules), "page_id", "rule", "verdict") == [(1, "net/", "block"), (2, None, "allow")]
+
+
 def test_bloom_lets_no_listed_key_go(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 0)
     monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
@@ -112,14 +136,23 @@ def test_quality_stats(spark, docs):
     assert quality.text_stats(empty(spark)).count() == 0
 
 
+def prunes(spark, ids):
+    return {r.d: r.p for r in spark.createDataFrame([(i,) for i in ids], "d long").select("d", (F.pmod(F.xxhash64("d"), F.lit(3)) == 0).alias("p")).collect()}
+
+
 def test_decision_list(spark):
+    """Against a plain learner, with the labelled rows in one partition and in fifty."""
     rng = random.Random(2)
-    texts = [(i, sentence(rng, 60) if i % 4 else " ".join(f"#{rng.random()}" for _ in range(20)) + " " + sentence(rng, 40)) for i in range(400)]
-    labels = clashing(spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(300)] + [(1, None, 0), (9999, 0, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash")))
-    stats, rules = quality.judged(frame(spark, texts), labels)
-    assert rules.rules and "reject" in str(rules)
-    wrong = [r for r in stats.select("doc_id", "kept").collect() if r.doc_id >= 300 and r.kept != (r.doc_id % 4 > 0)]  # held out
-    assert len(wrong) <= 3
+    texts = [(i, sentence(rng, rng.randint(30, 90))) for i in range(210)] + junk(rng, range(210, 280)) + [(None, sentence(rng, 30))]
+    some = [(i, int(i < 210) if i % 13 else 1) for i in range(280) if i % 4] + [(1, None), (9999, 0)]
+    want, plain = brute.quality_kept(texts, some, prunes(spark, [d for d, _ in texts]))
+    assert plain
+    labels = clashing(spark.createDataFrame([(*x, 0) for x in some], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash")))
+    for n in (1, 50):
+        stats, rules = quality.judged(frame(spark, texts).repartition(n), labels)
+        assert [[(t.feature, t.above, t.bound) for t in r] for r in rules.rules] == plain
+        assert rows(stats, "doc_id", "kept") == sorted(((d, k) for (d, _), k in zip(texts, want, strict=True)), key=repr)
+    assert "reject" in str(rules)
     assert len(quality.judged(frame(spark, texts), labels.limit(0))[1].rules) == 0
     assert quality.kept_documents(empty(spark), labels).count() == 0
     kept = quality.kept_documents(clashing(frame(spark, DOCS)), labels.limit(0))
@@ -212,6 +245,20 @@ def test_anchors_of_documents_with_one_doc_id_stay_apart(spark, monkeypatch, ope
     assert all(r.ms and set(r.ms) <= own[r.ord, r.tie] for table in given for r in table)
 
 
+def test_null_comes_before_the_least_doc_id(spark):
+    """A null doc_id and the least number of its type are two documents."""
+    rng, least = random.Random(6), -(1 << 63)
+    text, other = sentence(rng, 60), sentence(rng, 70)
+    docs = [(least, text), (None, text), (5, text), (least, other), (6, other)]
+    df = frame(spark, docs)
+    got = {(r.doc_id, r.n_removed) for r in suffix_dedup.dedup_bytes(df).collect()}
+    assert got == {(None, 0), (least, len(text.encode())), (least, 0), (5, len(text.encode())), (6, len(other.encode()))}
+    got = {(r.doc_id, r.n_removed) for r in substring_dedup.dedup_in_batches(df, 2).collect()}
+    assert got == {(None, 0), (least, 60), (least, 0), (5, 60), (6, 70)}
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.component_report(df, near_dedup.Join()).collect()}
+    assert got == {(None, None, True), (least, None, False), (5, None, False), (least, least, True), (6, least, False)}
+
+
 def test_substring_query_compacts_its_index(spark, tmp_path, monkeypatch):
     frame(spark, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     compact, seen = substring_dedup.FingerprintIndex.compact, []

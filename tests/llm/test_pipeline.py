@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,24 +6,27 @@ import numpy as np
 import corpus_pipeline
 from catalog_jobs.llm.common import written
 from tests.llm import brute
-from tests.llm.data import BENCH, clashing, documents, frame
-from tests.llm.test_operators import tokens
+from tests.llm.data import BENCH, clashing, documents, frame, junk, sentence
+from tests.llm.test_operators import prunes, tokens
 
-DOCS = documents(seed=6)
+_rng = random.Random(7)
+#: With junk that only the learned list rejects.
+DOCS = documents(seed=6) + junk(_rng, range(200, 260)) + [(i, sentence(_rng, 30)) for i in range(260, 320)]
+LABELS = [(d, int(not 200 <= d < 260)) for d, _ in DOCS if d is not None and d % 5]
 ITEMS = [(0, " ".join(DOCS[4][1].split()[5:40])), (1, None), (2, DOCS[3][1].split("\n")[1])]
 
 
 def tables(spark, path, docs):
     frame(spark, docs).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(ITEMS, BENCH).write.parquet(f"{path}/benchmark.parquet")
-    # all labels are good: nothing is learned, and the base rules decide
-    spark.createDataFrame([(d, 1, 0) for d, _ in docs if d is not None], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(d, q, 0) for d, q in LABELS], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return str(path)
 
 
-def plain(docs):
-    keep = {s[0]: s[1] >= 10 and 100 * s[5] <= 20 * s[1] for s in brute.stats(docs)}
-    docs = [(d, t) for d, t in docs if keep[d]]
+def plain(docs, prune):
+    kept, rules = brute.quality_kept(docs, LABELS, prune)
+    assert rules  # the learned list acts
+    docs = [x for x, keep in zip(docs, kept, strict=True) if keep]
     cut = brute.line_report(docs)
     docs = [(d, cut[d, t]) for d, t in docs if cut[d, t] == t or brute.words(cut[d, t])]
     docs = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0))
@@ -39,7 +43,7 @@ def plain(docs):
 
 def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, tables(spark, tmp_path, DOCS)).collect()
-    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=repr) == plain(DOCS)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=repr) == plain(DOCS, prunes(spark, [d for d, _ in DOCS]))
 
 
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
