@@ -12,15 +12,18 @@ LIST_COLUMNS = ["tags", "language", "translations", "genre", "voice", "os", "pre
 
 
 def browse(catalog: DataFrame, listing: DataFrame, page: int | None = None, per_page: int = 25, columns: list[str] | None = None, title: str = "title", key: str = "catalog_id", collation: str | None = None, tie: list[str] | None = None) -> DataFrame:
-    """One page of the catalogue with its listing rows, by title, then key (or the columns of tie); page 0 or none is the first.
+    """One page of the catalogue with its listing rows, by title, then key (or the columns of tie, which with the key identify a row); page 0 or none is the first.
 
-    Shallow pages are a top-k of offset + page rows. For deep pages see ranked_browse().
+    Shallow pages are a top-k of offset + page rows over the keys alone; only the page's rows are then read whole. For deep pages see ranked_browse().
     """
-    joined = catalog.join(listing, key)
+    order, tie = F.collate(F.col(title), collation) if collation else F.col(title), tie or [key]
+    own = [c for c in tie if c in listing.columns and c not in catalog.columns]
+    keys = catalog.select(key, *dict.fromkeys([title, *(c for c in tie if c in catalog.columns)])).join(listing.select(key, *own), key)
+    page_keys = keys.orderBy(order, *tie).offset((max(page or 1, 1) - 1) * per_page).limit(per_page).select(key, *own).distinct()  # per_page rows at most
+    joined = listing.join(F.broadcast(page_keys), [key, *own], "left_semi").join(catalog.join(F.broadcast(page_keys.select(key).distinct()), key, "left_semi"), key)
     if columns:
         joined = joined.select(*columns)
-    order = F.collate(F.col(title), collation) if collation else F.col(title)
-    return joined.orderBy(order, *(tie or [key])).offset((max(page or 1, 1) - 1) * per_page).limit(per_page)
+    return joined.orderBy(order, *tie).limit(per_page)
 
 
 def ranked_browse(catalog: DataFrame, listing: DataFrame, columns: list[str], title: str = "title", key: str = "catalog_id") -> DataFrame:
@@ -80,12 +83,23 @@ def catalog_stats(catalog: DataFrame, title: str = "title", stamp: str = "last_r
     return catalog.agg(F.count(title).alias("titles"), F.max(stamp).alias("last_update"))
 
 
+def _numeric_text(text: Column) -> Column:
+    """JSON of a text: a number if it reads as one, else the text in quotes; null for null."""
+    trimmed = F.trim(text)
+    quoted = F.to_json(F.array(text))
+    return (
+        F.when(trimmed.rlike(r"^[+-]?[0-9]{1,18}$"), trimmed.try_cast("bigint").cast("string"))
+        .when(trimmed.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,2})?$"), trimmed.try_cast("double").cast("string"))
+        .otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    )
+
+
 def response_json(found: DataFrame, stats: DataFrame, numeric: list[str] = ()) -> DataFrame:
-    """One JSON text: games, status and totals. Numeric texts of the columns in `numeric` become numbers.
+    """One JSON text: games, status and totals. Texts of the columns in `numeric` that read as numbers become numbers, others stay texts.
 
     `found` is the bounded result of a lookup.
     """
-    fields = [F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(None)).alias(c) if c in numeric else F.col(c) for c in found.columns]
+    fields = [F.parse_json(_numeric_text(F.col(c).cast("string"))).alias(c) if c in numeric else F.col(c) for c in found.columns]
     games = found.agg(F.collect_list(F.struct(*fields)).alias("games"))
     both = games.crossJoin(stats)  # one row each
     body = F.struct("games", F.when(F.size("games") > 0, "ok").otherwise("not found").alias("status"), *stats.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog_jobs.functions.text import null_if_blank
+from catalog_jobs.sources.tables import written
 
 
 def drop_blank(df: DataFrame, keep: Iterable[str] = (), epochs: Iterable[str] = ()) -> DataFrame:
@@ -60,9 +61,9 @@ def dense_numbers(rows: DataFrame, by: list[str], name: str, start: Column | int
     """rows with consecutive numbers from `start` in the order of `by`, which must be unique.
 
     Ranges of the order are numbered each on their own, and shifted by the counts of the ranges before: no task holds all rows. The
-    rows are read twice, so give a written table where they are costly.
+    ranges are written once, so that a lost executor doesn't change which range a row is in.
     """
-    ranged = rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = written(rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("__part").count()
     # as many rows as partitions
     before = counts.withColumn("__before", F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select("__part", F.coalesce("__before", F.lit(0)).alias("__before"))

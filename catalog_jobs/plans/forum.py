@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalog_jobs.functions import text as tx
 from catalog_jobs.operators import changes, upsert
 from catalog_jobs.sources import html as pages
+from catalog_jobs.sources.tables import written
 
 CATALOG = (
     "catalog_id long, id_name string, title string, short_name string, original_name string, category string, engine string, status string, version string, developer string, creator string, "
@@ -37,8 +38,9 @@ class Merged:
 def merge_rows(catalog: DataFrame, listing: DataFrame, rows: DataFrame, order: list[str], now: int, key: str = "thread_id", catalog_fields: list[str] | None = None, listing_fields: list[str] | None = None, drop_blanks: bool = True) -> Merged:
     """Parsed rows into both tables: ids for new keys, column-wise upserts, one listing row for each entity.
 
-    Rows without a key go to rejects first, so that they don't gather in one group.
+    Rows without a key go to rejects first, so that they don't gather in one group. The rows are written once: all branches read that table.
     """
+    rows = written(rows, "rows")
     catalog_fields, listing_fields = catalog_fields or _CATALOG_FIELDS, listing_fields or _LISTING_FIELDS
     blank = F.col("id_name").isNull() | F.col("id_name").startswith("_") | F.col(key).isNull()
     good = rows.filter(~blank)
@@ -48,7 +50,7 @@ def merge_rows(catalog: DataFrame, listing: DataFrame, rows: DataFrame, order: l
         entity, entry = (upsert.drop_blank(df, keep=["id_name", key], epochs=[c for c in epochs if c in df.columns]) for df in (entity, entry))
     ids = upsert.assign_catalog_ids(catalog, entity)
     known = catalog.unionByName(ids, allowMissingColumns=True)
-    merged = upsert.upsert_merge(known, entity, "id_name", order).select(*catalog.columns)
+    merged = written(upsert.upsert_merge(known, entity, "id_name", order).select(*catalog.columns), "catalog")
     entry = upsert.resolve_catalog_id(entry, merged).drop("id_name")
     updated = upsert.upsert_merge(listing, entry, key, order)
     one, extra = upsert.unique_per_catalog(updated, key, ["last_record_update"])
@@ -57,12 +59,12 @@ def merge_rows(catalog: DataFrame, listing: DataFrame, rows: DataFrame, order: l
 
 
 def forum_crawl(catalog: DataFrame, listing: DataFrame, list_pages: DataFrame, detail_pages: DataFrame, now: int, base_url: str = "", stop_at_stale: bool = False, require_details: bool = False) -> Merged:
-    """Listing pages (page_no, html) and detail pages (url, html) into both tables; only changed threads' details are parsed."""
-    parsed, bad = pages.listing_rows(list_pages, base_url)
+    """Listing pages (page_no, html) and detail pages (url, html) into both tables; only changed threads' details are parsed, and each page once."""
+    parsed, bad = pages.listing_rows(written(pages.listing_items(list_pages), "items"), base_url)
     marked = changes.mark_changed(parsed, listing)
     rows = changes.page_prefix_until_stale(marked) if stop_at_stale else changes.exclude_readme(marked.filter("changed").drop("changed"))
     wanted = changes.wanted_details(detail_pages.withColumnRenamed("url", "site_url"), rows).withColumnRenamed("site_url", "url")
-    details, no_post = pages.detail_rows(wanted)
+    details, no_post = pages.detail_rows(written(pages.detail_items(wanted), "details"))
     full = changes.join_details(rows, details, require_details=require_details).withColumn("likes", F.col("likes").try_cast("long"))
     merged = merge_rows(catalog, listing, full, ["page_no", "pos"], now)
     more = bad.select(F.concat_ws("/", "page_no", "pos").alias("key"), F.lit("no date or links").alias("reason"))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_jobs.functions import text as tx
 from catalog_jobs.operators import changes, contracts, export, layout, serve, upsert
+from catalog_jobs.plans import forum
 from catalog_jobs.plans.sql import ORACLE_SQL
 from catalog_jobs.sources import frontier as front
 from catalog_jobs.sources import html, readers
+from catalog_jobs.sources.tables import new_path, written
+from catalog_jobs.streaming.ingest import VersionedTable, ingest_stream
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -27,7 +30,7 @@ LAYOUTS = {
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return readers.read_table(spark, f"{sf_dir}/{table}.parquet")
 
 
 def title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,12 +276,15 @@ def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = [r[0] for r in _read(spark, sf_dir, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # a handful of sections
     pages = front.frontier_pages(spark, 1, -(-n // 20), "/latest/").select(F.lit("page").alias("kind"), F.col("page_no").cast("string").alias("key"), "url")
     products = front.frontier_products(spark, "RJ", 0, top + 1, "/info?id=").select(F.lit("product"), "product_id", "url")
-    makers = front.frontier_makers(spark, segments, ["A", "B"], "/m/").select(F.lit("maker"), F.concat_ws(":", "section", "header"), "url")
+    makers = front.frontier_makers(spark, segments, None, "/m/", "/by-letter/").select(F.lit("maker"), F.concat_ws(":", "section", "header"), "url")
     return pages.union(products).union(makers)
 
 
 def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([(e, x) for e, xs in LAYOUTS.items() for x in xs], "engine string, line string")
+    folder = new_path(spark, "layouts")
+    for engine, paths in LAYOUTS.items():
+        spark.createDataFrame([(x,) for x in paths], "line string").write.text(f"{folder}/Engine.{engine}.txt")
+    lines = readers.read_engine_layouts(spark, f"{folder}/Engine.*.txt")
     games = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("engine"), F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("folder"))
     return layout.plan_layout(games, layout.normalise_layout(lines))
 
@@ -293,11 +299,163 @@ def nested_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("event_id", F.explode("m").alias("outer", "i")).select("event_id", "outer", F.explode("i").alias("inner", "value"))
 
 
+def _tag(name: str, inner: Column | str, **attributes: Column | str) -> Column:
+    """An element of our own pages; values are columns or texts."""
+    parts = [F.lit(f"<{name}")]
+    for k, v in attributes.items():
+        parts += [F.lit(f' {k.rstrip("_")}="'), F.lit(v) if isinstance(v, str) else v, F.lit('"')]
+    return F.concat(*parts, F.lit(">"), F.lit(inner) if isinstance(inner, str) else inner, F.lit(f"</{name}>"))
+
+
+def _nth(column: str, values: list[str]) -> Column:
+    return F.get(F.array(*map(F.lit, values)), F.pmod(F.col(column), F.lit(len(values))).cast("int"))
+
+
+def _listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as listing pages of 20 ids: (page_no, html)."""
+    number, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+0000'")
+    name = F.concat(F.lit("Order &amp; Co "), number, F.lit(" [v"), F.col("o_custkey").cast("string"), F.lit("] ["), F.col("o_orderpriority"), F.lit("]"))
+    anchors = F.concat(
+        F.when(F.col("o_orderkey") % 3 == 0, _tag("a", _nth("o_orderkey", ["VN", "Unity", "Completed", "README"]), href="/l/")).otherwise(""),
+        _tag("a", name, href=F.concat(F.lit("/threads/order."), number, F.lit("/"))),
+    )
+    start = F.when(F.col("o_orderkey") % 10 == 0, F.lit("")).otherwise(_tag("ul", _tag("li", _tag("time", "x", datetime=day), class_="structItem-startDate")))
+    views = F.when(F.col("o_orderkey") >= 1000, F.concat(F.floor(F.col("o_orderkey") / 1000).cast("string"), F.lit("K"))).otherwise(number)
+    counts = _tag("div", F.concat(_tag("dl", _tag("dd", F.col("o_custkey").cast("string"))), _tag("dl", _tag("dd", views))), class_="structItem-cell--meta")
+    stars = _tag("span", F.concat((F.col("o_orderkey") % 5).cast("string"), F.lit(".50 star(s)")), class_="ratingStars")
+    item = _tag("div", F.concat(_tag("div", anchors, class_="structItem-title"), start, _tag("time", "", class_="structItem-latestDate", datetime=day), counts, stars), class_="structItem x")
+    rows = _read(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 20).cast("int").alias("page_no"), F.struct(F.col("o_orderkey").alias("k"), item.alias("item")).alias("i"))
+    # a page holds the items of 20 ids
+    return rows.groupBy("page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["item"]), "").alias("html"))
+
+
+def listing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.listing_rows(html.listing_items(_listing_pages(spark, sf_dir)), "/base")[0]
+
+
+def listing_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.listing_rows(html.listing_items(_listing_pages(spark, sf_dir)))[1].select("page_no", "pos")
+
+
+def _detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as detail pages: (url, html); each seventh has no post."""
+    number = F.col("c_custkey").cast("string")
+    first = F.when(F.col("c_custkey") % 5 == 0, "Overview: -").otherwise(F.concat(F.lit("Overview: Tale of "), F.col("c_name"), F.lit(".\n\n\nMore")))
+    extras = _tag("div", F.concat(_tag("dl", _tag("dd", "1")), _tag("dl", _tag("dd", "2")), _tag("dl", _tag("dd", F.concat(F.lit("1,"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"))))), class_="message-userExtras")
+    tags = _tag("span", F.concat(_tag("a", F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" "))), _tag("a", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))), class_="js-tagList")
+    fields = F.concat(
+        F.lit("<b>Release Date</b>: 2023-1-"), (F.col("c_custkey") % 28 + 1).cast("string"), F.lit("<br><b>Censorship:</b> No<br><b>"), _nth("c_custkey", ["OS", "Platforms:"]), F.lit("</b>: Win<br><b>Language</b><i>x</i><b>Language:</b> "),
+        F.col("c_mktsegment"), F.lit("<br><b>Voice:</b> <br><b>VNDB:</b> v"), number,
+    )
+    links = F.concat(_tag("a", "s", href=F.concat(F.lit("/attachments/"), number)), _tag("a", "n", href="/other"))
+    post = _tag("div", F.concat(_tag("div", first), _tag("div", F.concat(F.lit("Second "), number)), F.lit('<img class="bbImage" src="/thumb/'), number, F.lit('.jpg">'), fields, links), class_="bbWrapper")
+    body = F.concat(extras, tags, F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(post))
+    return _read(spark, sf_dir, "customer").select(F.concat(F.lit("/threads/c."), number, F.lit("/")).alias("url"), body.alias("html"))
+
+
+def detail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    details, rejects = html.detail_rows(written(html.detail_items(_detail_pages(spark, sf_dir)), "details"))
+    return details.withColumn("has_post", F.lit(True)).unionByName(rejects.withColumn("has_post", F.lit(False)), allowMissingColumns=True)
+
+
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detail_pages(spark, sf_dir).select("url", html.labelled_field(F.col("html"), ["OS", "Platforms:"]).alias("os"), html.labelled_field(F.col("html"), ["None", "Language", "Language:"]).alias("language"))
+
+
+def maker_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("s_suppkey").cast("string")
+    third = F.when(F.col("s_suppkey") % 6 == 0, F.lit("")).otherwise(_tag("td", F.concat(_tag("a", F.concat(F.lit('<img src="/i/'), number, F.lit('.jpg">')), href=F.concat(F.lit("/u/"), number)))))
+    row = _tag("tr", F.concat(_tag("td", F.concat(F.lit("RG"), number)), _tag("td", F.col("s_name")), third))
+    rows = _read(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 50).alias("page")).agg(F.array_join(F.collect_list(row), "").alias("rows"))  # 50 ids a page
+    return html.maker_rows(rows.select(_tag("div", _tag("table", _tag("tbody", F.col("rows"))), id="maker_list_body").alias("html")))
+
+
+def crawl_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a crawl table of two kinds, a fifth of them not found; the listing kind is read."""
+    kind, status = F.when(F.col("page_id") % 2 == 0, "listing").otherwise("detail"), F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
+    pages = _read(spark, sf_dir, "pages").select("url", kind.alias("kind"), F.col("page_id").cast("int").alias("page_no"), status.alias("status"), F.lit(1700000000).cast("long").alias("fetched_at"), "html")
+    path = new_path(spark, "crawl")
+    pages.write.parquet(path)
+    return readers.read_crawl(spark, path, "listing").select("page_no", "url", "status", F.length("html").cast("long").alias("n_chars"))
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("catalog_id")).agg(F.unix_timestamp(F.max(F.when(F.col("event_id") % 4 > 0, F.col("ts")))).alias("last_record_update"), F.count("*").alias("n"))
+
+
+def package_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily package after a base one: its rows read back from the files, and what its manifest says."""
+    path = new_path(spark, "package")
+    users = written(_users(spark, sf_dir), "users")
+    first = export.package_kind(spark.createDataFrame([], export.MANIFEST))
+    manifest = export.rebuild_master({"catalog": users}, f"{path}/base", 100, first[0], {"catalog": "catalog_id"})
+    kinds = export.package_kind(manifest)
+    export.write_package({"catalog": users}, f"{path}/daily", 1706500000, {"catalog": "catalog_id"})
+    sums = export.package_checksum(spark, f"{path}/daily").first()
+    manifest = export.register_package(manifest, 200, kinds[1], sums["md5"])
+    least = spark.read.json(f"{path}/daily/header").first()["min_ver"]
+    listed = manifest.orderBy("date").collect()  # two packages
+    names = ",".join(r["name"] for r in listed)
+    rows = spark.read.schema(users.schema).json(f"{path}/daily/catalog")
+    return rows.select("*", F.lit(names).alias("packages"), F.lit(least).alias("min_ver"), F.lit(len({r["md5"] for r in listed})).alias("n_checksums"))
+
+
+def backup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_custkey")
+    path = export.write_backup({"orders": orders}, new_path(spark, "backup"), "2024-01-05")
+    return spark.read.schema("o_orderkey long, o_orderdate string, o_orderstatus string, o_custkey long").json(f"{path}/orders").withColumn("day", F.lit(path.rpartition("/")[2]))
+
+
+def response_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("n_nationkey") % 4 == 0, F.col("n_name")).when(F.col("n_nationkey") % 4 == 1, F.concat(F.col("n_nationkey").cast("string"), F.lit(".50"))).otherwise(F.col("n_nationkey").cast("string"))
+    nation = _read(spark, sf_dir, "nation")
+    found = nation.filter("n_nationkey = 4 or n_nationkey = 5 or n_nationkey = 6").select(F.col("n_nationkey").alias("catalog_id"), text.alias("rating"))
+    one = [serve.response_json(found.filter(F.col("catalog_id") == i), serve.catalog_stats(nation, "n_name", "n_regionkey"), ["rating"]).withColumn("asked", F.lit(i)) for i in (4, 5, 6)]
+    return one[0].unionByName(one[1]).unionByName(one[2])
+
+
+def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    game = F.struct(F.struct(F.array(F.struct(
+        F.col("event_id").alias("thread_id"), F.concat(F.col("event_type"), F.lit(" no. "), k).alias("title"), F.lit("Blue Fox").alias("creator"), F.lit("v1").alias("version"), F.col("user_id").alias("views"),
+    )).alias("data")).alias("msg"))
+    return readers.read_latest_feed(_read(spark, sf_dir, "events").select(F.to_json(game).alias("html")), base_url="/threads/")
+
+
+def feed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' feed into empty tables: one entity for each title, one listing row for each entity."""
+    made = forum.latest_feed(spark.createDataFrame([], forum.CATALOG), spark.createDataFrame([], forum.FORUM_LISTING), _games(spark, sf_dir), 1700000000, ["thread_id"])
+    return made.catalog.select("catalog_id", "id_name", "title", "version", "creator").join(made.listing.select("catalog_id", "thread_id", "views", "site_url", "last_record_update"), "catalog_id")
+
+
+def crawl_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' listing pages and details of some of them into empty tables."""
+    pages = _listing_pages(spark, sf_dir)
+    details = _read(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(
+        F.concat(F.lit("/threads/order."), F.col("o_orderkey").cast("string"), F.lit("/")).alias("url"),
+        _tag("div", F.concat(_tag("div", F.concat(F.lit("Overview: by clerk "), F.col("o_custkey").cast("string"))), F.lit("<b>OS</b>: Win")), class_="bbWrapper").alias("html"),
+    )
+    made = forum.forum_crawl(spark.createDataFrame([], forum.CATALOG), spark.createDataFrame([], forum.FORUM_LISTING), pages, details, 1700000000)
+    return made.catalog.select("catalog_id", "id_name", "title", "overview", "os").join(made.listing.select("catalog_id", "thread_id", "views", "last_thread_comment"), "catalog_id")
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as crawl files, read by the stream into a table of a few key ranges."""
+    crawl, schema = new_path(spark, "crawl"), "thread_id long, last_thread_comment long, title string"
+    at = F.unix_timestamp("ts")
+    events = _read(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("thread_id"), at.alias("last_thread_comment"), F.col("event_type").alias("title"), at.alias("fetched_at"), "event_id")
+    events.write.parquet(crawl)
+    table = VersionedTable(spark, new_path(spark, "threads"), schema, width=200)
+    ingest_stream(spark, crawl, f"{schema}, fetched_at long, event_id long", table, new_path(spark, "run"), order=["fetched_at", "event_id"]).awaitTermination()
+    return table.read()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         title_parse, compact_counts, epoch_parse, url_scalars, browse_page, browse_ranks, page_total, catalog_stats, lookup_nested, lookup_first, lookup_all, detail_unpivot, response_json,
         upsert_merge, upsert_replace, resolve_ids, assign_ids, unique_listing, maker_lookup, changed_rows, prefix_until_stale, exclude_label, details_join, feed_explode, product_explode, app_explode,
         delta_export, snapshot_diff, list_packages, union_sources, page_links, page_labels, contract_violations, frontier, layout_plan, asset_plan, nested_drop,
+        listing_items, listing_rejects, detail_fields, page_fields, maker_pages, crawl_read, package_rows, backup_rows, response_numbers, feed_merge, crawl_merge, stream_ingest,
     )
 }

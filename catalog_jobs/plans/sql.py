@@ -21,6 +21,13 @@ _LAYOUTS = """rows_(engine, item, kind, conflict) AS (VALUES
 ('Brand#2', 'assets\\img\\a.png', 'file', false), ('Brand#2', 'assets\\img', 'folder', false), ('Brand#2', 'readme.txt', 'file', false), ('Brand#2', 'assets', 'folder', false),
 ('Brand#3', 'x\\y\\z\\w.bin', 'file', false), ('Brand#3', 'tools', 'folder', false), ('Brand#3', 'x', 'folder', false), ('Brand#3', 'x\\y', 'folder', false), ('Brand#3', 'x\\y\\z', 'folder', false))""".replace("\\\\", "\\")
 
+_ITEMS = f"""o AS (SELECT *, o_orderkey // 20 AS page_no, row_number() OVER (PARTITION BY o_orderkey // 20 ORDER BY o_orderkey) - 1 AS pos, o_orderkey % 10 <> 0 AS good,
+CASE WHEN o_orderkey % 3 = 0 THEN (['VN', 'Unity', 'Completed', 'README'])[o_orderkey % 4 + 1] ELSE '' END AS label FROM orders),
+items AS (SELECT page_no::INTEGER AS page_no, pos::INTEGER AS pos, good, CASE WHEN label IN ('VN', 'README') THEN label ELSE '' END AS category, CASE WHEN label = 'Unity' THEN label ELSE '' END AS engine,
+CASE WHEN label = 'Completed' THEN label ELSE '' END AS status, 'Order & Co ' || o_orderkey || ' ' AS title, 'v' || o_custkey AS version, o_orderpriority AS creator, '/base/threads/order.' || o_orderkey || '/' AS site_url,
+epoch(date_trunc('second', o_orderdate))::BIGINT AS stamp, o_custkey AS replies, CASE WHEN o_orderkey >= 1000 THEN o_orderkey // 1000 * 1000 ELSE o_orderkey END AS views, (o_orderkey % 5)::DOUBLE + 0.5 AS rating,
+o_orderkey AS thread_id, 'ORDERCO' || o_orderkey AS short_name, 'ORDERCO' || o_orderkey || '_' || upper(o_orderpriority) AS id_name FROM o)"""
+
 ORACLE_SQL = {
     "title_parse": f"""
 WITH t AS (SELECT p_partkey, string_split(p_name || (['', ' [' || p_brand || ']', ' [v' || p_size || '] [' || p_brand || ']', ' [Final]'])[p_partkey % 4 + 1], '[') AS s FROM part),
@@ -95,7 +102,8 @@ UNION ALL SELECT 'orders', 'max_bytes', 'o_orderpriority', strlen(o_orderpriorit
     "frontier": """
 SELECT 'page' AS kind, p::VARCHAR AS key, '/latest/' || CASE WHEN p > 1 THEN 'page-' || p ELSE '' END || '?order=post_date&direction=desc' AS url FROM (SELECT unnest(range(1, (count(*) + 19) // 20 + 1)) AS p FROM orders)
 UNION ALL SELECT 'product', 'RJ' || lpad(p::VARCHAR, 6, '0'), '/info?id=RJ' || lpad(p::VARCHAR, 6, '0') FROM (SELECT unnest(range(0, max(p_partkey) + 1)) AS p FROM part)
-UNION ALL SELECT 'maker', s || ':' || h, '/m/' || s || '/circle/list/=/name_header/' || h FROM (SELECT DISTINCT c_mktsegment AS s FROM customer), (VALUES ('A'), ('B')) t(h)""",
+UNION ALL SELECT 'maker', s || ':' || h, '/m/' || s || '/by-letter/' || h FROM (SELECT DISTINCT c_mktsegment AS s FROM customer),
+(SELECT unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZあいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをん', '')) AS h) WHERE h <> ''""",
     "layout_plan": f"WITH {_LAYOUTS} SELECT 'g' || p_partkey AS folder, 'g' || p_partkey || '\\' || item AS path, kind, conflict FROM part JOIN rows_ ON engine = p_brand",
     "asset_plan": """
 WITH a AS (SELECT p_partkey::VARCHAR AS app_id, '/games/' || p_brand || '/' || p_name || p_type || '/' || p_partkey AS folder, p_name FROM part)
@@ -104,4 +112,30 @@ UNION ALL SELECT app_id, 'https://img.example/' || app_id || '/' || r, folder ||
     "nested_drop": """
 SELECT event_id, 'first' AS "outer", event_type AS "inner", value FROM events WHERE event_type <> 'click'
 UNION ALL SELECT event_id, 'first', 'k', (props->>'$.k')::DOUBLE FROM events UNION ALL SELECT event_id, 'second', 'z', 2.0 FROM events""",
+    "listing_items": f"""WITH {_ITEMS}
+SELECT page_no, pos, category, engine, status, title, version, creator, site_url, stamp AS thread_publish_date, stamp AS last_thread_comment, replies, views, rating, thread_id, short_name, id_name FROM items WHERE good""",
+    "listing_rejects": f"WITH {_ITEMS} SELECT page_no, pos FROM items WHERE NOT good",
+    "detail_fields": """
+SELECT '/threads/c.' || c_custkey || '/' AS site_url, g AS has_post,
+CASE WHEN g THEN CASE WHEN c_custkey % 5 = 0 THEN 'Second ' || c_custkey ELSE 'Tale of ' || c_name || '.' END END AS overview, CASE WHEN g THEN c_mktsegment || ',n' || c_nationkey END AS tags,
+CASE WHEN g THEN '/attachments/' || c_custkey END AS screens, CASE WHEN g THEN '1' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') END AS likes, CASE WHEN g THEN '/' || c_custkey || '.jpg' END AS banner_url,
+CASE WHEN g THEN epoch(make_date(2023, 1, (c_custkey % 28 + 1)::INTEGER))::BIGINT END AS release_date, CASE WHEN g THEN 'No' END AS censored, CASE WHEN g THEN 'Win' END AS os, CASE WHEN g THEN c_mktsegment END AS language,
+CASE WHEN g THEN '' END AS translations, CASE WHEN g THEN '' END AS length, CASE WHEN g THEN '' END AS voice, CASE WHEN g THEN 'v' || c_custkey END AS vndb
+FROM (SELECT *, c_custkey % 7 <> 0 AS g FROM customer)""",
+    "page_fields": "SELECT '/threads/c.' || c_custkey || '/' AS url, CASE WHEN c_custkey % 7 <> 0 THEN 'Win' END AS os, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS language FROM customer",
+    "maker_pages": "SELECT 'RG' || s_suppkey AS maker_id, s_name AS name, '/u/' || s_suppkey AS url, '/i/' || s_suppkey || '.jpg' AS img FROM supplier WHERE s_suppkey % 6 <> 0",
+    "crawl_read": "SELECT page_id::INTEGER AS page_no, url, 200 AS status, len(html)::BIGINT AS n_chars FROM pages WHERE page_id % 2 = 0 AND page_id % 5 <> 0",
+    "package_rows": """WITH u AS (SELECT user_id AS catalog_id, epoch(date_trunc('second', max(ts) FILTER (event_id % 4 > 0)))::BIGINT AS last_record_update, count(*) AS n FROM events GROUP BY user_id)
+SELECT *, 'base,daily' AS packages, '0.0.0' AS min_ver, 2 AS n_checksums FROM u WHERE last_record_update > 1706500000""",
+    "backup_rows": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderstatus, o_custkey, '20240105' AS day FROM orders",
+    "response_numbers": """
+SELECT n_nationkey AS asked, '{"games":[{"catalog_id":' || n_nationkey || ',"rating":' || (['"' || n_name || '"', n_nationkey || '.5', n_nationkey::VARCHAR])[n_nationkey - 3] || '}],"status":"ok","titles":'
+|| (SELECT count(*) FROM nation) || ',"last_update":' || (SELECT max(n_regionkey) FROM nation) || '}' AS body FROM nation WHERE n_nationkey BETWEEN 4 AND 6""",
+    "feed_merge": f"""WITH g AS (SELECT event_type || ' no. ' || (props->>'$.k') AS title, event_id, user_id FROM events),
+m AS (SELECT {norm("title")} || '_BLUEFOX' AS id_name, arg_max(title, event_id) AS title, max(event_id) AS thread_id, arg_max(user_id, event_id) AS views FROM g GROUP BY 1)
+SELECT row_number() OVER (ORDER BY id_name) AS catalog_id, id_name, title, 'v1' AS version, 'Blue Fox' AS creator, thread_id, views, '/threads/' || thread_id AS site_url, 1700000000::BIGINT AS last_record_update FROM m""",
+    "crawl_merge": f"""WITH {_ITEMS}
+SELECT row_number() OVER (ORDER BY id_name) AS catalog_id, id_name, title, CASE WHEN thread_id % 2 = 0 THEN 'by clerk ' || replies END AS overview, CASE WHEN thread_id % 2 = 0 THEN 'Win' END AS os, thread_id, views, stamp AS last_thread_comment
+FROM items WHERE good AND category <> 'README'""",
+    "stream_ingest": """SELECT event_id % 500 AS thread_id, max(epoch(date_trunc('second', ts)))::BIGINT AS last_thread_comment, arg_max(event_type, (date_trunc('second', ts), event_id)) AS title FROM events GROUP BY 1""",
 }

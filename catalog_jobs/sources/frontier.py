@@ -16,10 +16,10 @@ def frontier_pages(spark: SparkSession, first: int, last: int, base: str, order:
     return spark.range(first, last + 1).select(page.alias("page_no"), url.alias("url"))
 
 
-def frontier_makers(spark: SparkSession, sections: list[str], headers: list[str] | None, base: str) -> DataFrame:
-    """(section, header, url): both lists are short literals, so every section meets every header; None is all of MAKER_HEADERS."""
+def frontier_makers(spark: SparkSession, sections: list[str], headers: list[str] | None, base: str, path: str) -> DataFrame:
+    """(section, header, url = base + section + path + header): both lists are short literals, so every section meets every header; None is all of MAKER_HEADERS."""
     pairs = spark.range(1).select(F.explode(F.array(*map(F.lit, sections))).alias("section")).withColumn("header", F.explode(F.array(*map(F.lit, MAKER_HEADERS if headers is None else headers))))
-    return pairs.withColumn("url", F.concat(F.lit(base), F.col("section"), F.lit("/circle/list/=/name_header/"), F.col("header")))
+    return pairs.withColumn("url", F.concat(F.lit(base), F.col("section"), F.lit(path), F.col("header")))
 
 
 def frontier_products(spark: SparkSession, prefix: str, start: int, end: int, base: str) -> DataFrame:

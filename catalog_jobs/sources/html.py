@@ -1,4 +1,4 @@
-"""Fields of listing, detail and maker pages: each page is parsed once, in Arrow batches; all else is left to Spark SQL."""
+"""Fields of listing, detail and maker pages: pages are parsed in Arrow batches; all else is left to Spark SQL."""
 
 from __future__ import annotations
 
@@ -217,9 +217,13 @@ def labelled_field(html: Column, labels: list[str]) -> Column:
     return run(html)
 
 
-def listing_rows(crawl: DataFrame, base_url: str = "", version_match: str = "whole", label_brackets: bool = False, creator_rule: str = "keep_spaces") -> tuple[DataFrame, DataFrame]:
-    """Listing pages (page_no, html) -> (rows, rejects): parsed items by page_no, pos; rejects lack a start date or links."""
-    items = crawl.select("page_no", F.explode(extract_listing_items(F.col("html"))).alias("i")).select("page_no", "i.*")
+def listing_items(crawl: DataFrame) -> DataFrame:
+    """Listing pages (page_no, html) -> a row for each item, as it stands there: write it once where it is used more than once."""
+    return crawl.select("page_no", F.explode(extract_listing_items(F.col("html"))).alias("i")).select("page_no", "i.*")
+
+
+def listing_rows(items: DataFrame, base_url: str = "", version_match: str = "whole", label_brackets: bool = False, creator_rule: str = "keep_spaces") -> tuple[DataFrame, DataFrame]:
+    """listing_items() -> (rows, rejects): parsed items by page_no, pos; rejects lack a start date or links."""
     labels = tx.parse_thread_labels(F.col("anchors"), version_match, label_brackets)
     good = F.col("start_date").isNotNull() & (F.size("anchors") > 0)
     rows = items.filter(good).select("*", labels.alias("l")).select(
@@ -235,9 +239,13 @@ def listing_rows(crawl: DataFrame, base_url: str = "", version_match: str = "who
     return rows, items.filter(~good).select("page_no", "pos", F.to_json("anchors").alias("anchors"))
 
 
-def detail_rows(crawl: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Detail pages (url, html) -> (details by site_url, rejects: pages without a post)."""
-    parsed = crawl.select(F.col("url").alias("site_url"), _extract(DETAILS, _details)(F.col("html")).alias("d")).select("site_url", "d.*")
+def detail_items(crawl: DataFrame) -> DataFrame:
+    """Detail pages (url, html) -> a row for each page with its texts: write it once where it is used more than once."""
+    return crawl.select(F.col("url").alias("site_url"), _extract(DETAILS, _details)(F.col("html")).alias("d")).select("site_url", "d.*")
+
+
+def detail_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """detail_items() -> (details by site_url, rejects: pages without a post)."""
     fields = [F.coalesce(F.col(f), F.lit("")).alias(f) for f in FIELD_LABELS if f not in ("release_date", "updated")]
     rows = parsed.filter("has_post").select(
         "site_url", tx.overview(F.col("overview_1"), F.col("overview_2")).alias("overview"), tx.tag_list(F.col("tags")).alias("tags"), tx.attachment_links(F.col("hrefs")).alias("screens"),

@@ -55,9 +55,9 @@ def read_app_json(df: DataFrame, body: str = "html") -> DataFrame:
 
 
 def read_engine_layouts(spark: SparkSession, glob: str) -> DataFrame:
-    """(engine, path, line) of text files named Engine.<engine>.txt, one path a line."""
-    lines = spark.read.text(glob).select("*", "_metadata.file_name", "_metadata.file_path")
-    return lines.select(F.regexp_extract("file_name", r"^Engine\.(.+)\.txt$", 1).alias("engine"), F.col("file_path").alias("path"), F.col("value").alias("line"))
+    """(engine, path, line) of text files, or folders of them, named Engine.<engine>.txt, one path a line."""
+    lines = spark.read.text(glob).select("*", F.url_decode("_metadata.file_path").alias("path"))
+    return lines.select(F.regexp_extract("path", r"/Engine\.([^/]+)\.txt(?:/[^/]*)?$", 1).alias("engine"), "path", F.col("value").alias("line"))
 
 
 def read_table(spark: SparkSession, path: str | None = None, url: str | None = None, table: str | None = None, key: str = "catalog_id", bounds: tuple[int, int] | None = None, partitions: int = 8, **options: str) -> DataFrame:

@@ -2,50 +2,89 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from catalog_jobs.operators.changes import changed_threads
 from catalog_jobs.operators.upsert import upsert_merge
+from catalog_jobs.sources.tables import written
+
+#: One row for each key range that a version wrote: the range, and the run and batch that it came from.
+LOG = "version long, source string, batch long, part long"
 
 
 class VersionedTable:
-    """Parquet folders base/v=<n>; a version is written once and never changed, and one that was written in part isn't read."""
+    """Parquet folders base/v=<version>/__part=<key range>, and a log of what each version wrote.
+
+    A version writes only the key ranges that it changes and is read with the latest folder of all others. What the log doesn't name
+    isn't read, so that a version that was written in part counts for nothing. The log has a row for each range and version: keep ranges wide.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, schema: str, key: str = "thread_id", width: int = 1_000_000):
+        self.spark, self.base, self.schema, self.key, self.width = spark, base.rstrip("/"), schema, key, width
+
+    def log(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(LOG).parquet(f"{self.base}/log")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], LOG)
 
-    def __init__(self, spark: SparkSession, base: str, schema: str):
-        self.spark, self.base, self.schema = spark, base.rstrip("/"), schema
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
+    def part(self):
+        return F.floor(F.col(self.key) / self.width)
 
     def latest(self) -> int:
         """The last complete version, -1 if there is none."""
-        if not self._fs.exists(self._path(self.base)):
-            return -1
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.base))]
-        done = [int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.base}/{n}/_SUCCESS"))]
-        return max(done, default=-1)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.latest() if version is None else version
-        if version < 0:
+        return self.log().agg(F.coalesce(F.max("version"), F.lit(-1)).alias("v")).first()["v"]
+
+    def has(self, source: str, batch: int) -> bool:
+        """Whether a version came from this batch of this run already."""
+        return not self.log().filter((F.col("source") == source) & (F.col("batch") == batch)).isEmpty()
+
+    def read(self, version: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        """A version, the latest by default: all of it, or some key ranges."""
+        log = self.log()
+        if version is not None:
+            log = log.filter(F.col("version") <= version)
+        if parts is not None:
+            log = log.filter(F.col("part").isin(parts))
+        last = log.groupBy("part").agg(F.max("version").alias("version")).collect()  # a row for each key range
+        if not last:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.base}/v={version}")
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.base}/v={r['version']}/__part={r['part']}" for r in last))
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/v={version}")
+    def write(self, df: DataFrame, source: str, batch: int) -> int:
+        """A new version, whose rows replace the key ranges that they lie in."""
+        version = self.latest() + 1
+        path = f"{self.base}/v={version}"
+        df.withColumn("__part", self.part()).write.mode("overwrite").partitionBy("__part").parquet(path)
+        parts = self.spark.read.parquet(path).select("__part").distinct()
+        rows = parts.select(F.lit(version).cast("long").alias("version"), F.lit(source).alias("source"), F.lit(batch).cast("long").alias("batch"), F.col("__part").cast("long").alias("part"))
+        rows.coalesce(1).write.mode("append").parquet(f"{self.base}/log")
+        return version
 
 
-def ingest_stream(spark: SparkSession, crawl_dir: str, crawl_schema: str, table: VersionedTable, checkpoint: str, key: str = "thread_id", stamp: str = "last_thread_comment", order: list[str] = ("fetched_at",), files_per_batch: int = 1000) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, crawl_dir: str, crawl_schema: str, table: VersionedTable, checkpoint: str, stamp: str = "last_thread_comment", order: list[str] = ("fetched_at",), files_per_batch: int = 1000) -> StreamingQuery:
     """Starts a run over all new files: changed rows are merged into the next version of the table.
 
-    Batch n always makes version n from version n - 1, so that a repeated batch gives the same version. Late rows lose
+    A version records the checkpoint folder and batch that it came from, so that a repeated batch is left out, and a run with a fresh
+    checkpoint goes on from the latest version. Only key ranges that a batch has rows in are read, and only those with changed rows written. Late rows lose
     by the change test. Of one batch's rows for a key the last by `order` counts.
     """
     def merge(batch: DataFrame, n: int) -> None:
-        stored = table.read(n - 1)
-        rows = changed_threads(batch, stored, key, stamp)
-        table.write(upsert_merge(stored, rows, key, list(order)).select(*stored.columns), n)
+        if table.has(checkpoint, n):
+            return
+
+        def ranges(df: DataFrame) -> list[int]:
+            return [r["p"] for r in df.select(table.part().alias("p")).distinct().collect()]
+
+        rows = written(changed_threads(batch, table.read(parts=ranges(batch)), table.key, stamp), "changed")
+        if parts := ranges(rows):
+            stored = table.read(parts=parts)
+            table.write(upsert_merge(stored, rows, table.key, list(order)).select(*stored.columns), checkpoint, n)
 
     source = spark.readStream.schema(crawl_schema).option("maxFilesPerTrigger", files_per_batch).parquet(crawl_dir)
-    return source.filter(F.col(key).isNotNull()).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.filter(F.col(table.key).isNotNull()).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -107,7 +107,7 @@ def test_unique_per_catalog(spark):
 def test_frontier(spark):
     assert [r.url for r in frontier.frontier_pages(spark, 1, 2, "/l/", "o=1").collect()] == ["/l/?o=1", "/l/page-2?o=1"]
     assert [r.product_id for r in frontier.frontier_products(spark, "RJ", 1704, 1705, "/").union(frontier.frontier_products(spark, "", 20000, 20001, "/")).union(frontier.frontier_products(spark, "", 1234567, 1234568, "/")).collect()] == ["RJ001704", "020000", "1234567"]
-    assert frontier.frontier_makers(spark, ["a", "b"], ["x", "y", "z"], "/").count() == 6
+    assert frontier.frontier_makers(spark, ["a", "b"], ["x", "y", "z"], "/", "/by/").count() == 6
 
 
 def test_layouts(spark, tmp_path):
@@ -156,6 +156,8 @@ def test_forum_crawl(spark):
     assert (line[11].likes, line[11].views, line[11].rating, line[11].tags, line[11].screens, line[11].banner_url) == (1234, 1500, 4.5, "x,y", "/attachments/1", "/i.jpg")
     assert line[11].catalog_id == got["alpha "].catalog_id and line[12].likes is None
     assert first.rejects.count() == 1
+    for df in (first.catalog, first.listing, first.rejects):  # pages are parsed into tables, once, and not by the branches that read those
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
     again = forum.forum_crawl(first.catalog, first.listing, pages, details, now=2000)
     assert rows(again.catalog) == rows(first.catalog)  # nothing has changed
     newer = spark.createDataFrame([(1, ITEM.format("alpha", 11, "2024-02-01"))], "page_no int, html string")
@@ -183,20 +185,59 @@ def test_maker_rows(spark):
 
 def test_stream(spark, tmp_path):
     schema, crawl = "thread_id long, last_thread_comment long, title string", "thread_id long, last_thread_comment long, title string, fetched_at long"
-    table = VersionedTable(spark, f"{tmp_path}/t", schema)
+    table = VersionedTable(spark, f"{tmp_path}/t", schema, width=10)
 
     def put(*values):
         spark.createDataFrame(list(values), crawl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
 
-    def run():
-        ingest_stream(spark, f"{tmp_path}/in", crawl, table, f"{tmp_path}/cp").awaitTermination(120)
-        return rows(table.read())
+    def run(checkpoint="cp"):
+        ingest_stream(spark, f"{tmp_path}/in", crawl, table, f"{tmp_path}/{checkpoint}").awaitTermination(120)
+        return sorted(rows(table.read()))
 
-    put((1, 5, "a", 1), (1, 6, "b", 2), (2, 1, "c", 1), (None, 1, "x", 1))
-    assert run() == [(1, 6, "b"), (2, 1, "c")]
+    assert (table.latest(), rows(table.read())) == (-1, [])
+    put((1, 5, "a", 1), (1, 6, "b", 2), (2, 1, "c", 1), (15, 1, "e", 1), (None, 1, "x", 1))
+    assert run() == [(1, 6, "b"), (2, 1, "c"), (15, 1, "e")]
     put((1, 4, "late", 3), (2, 2, "d", 3))
-    assert run() == [(1, 6, "b"), (2, 2, "d")]
-    assert run() == [(1, 6, "b"), (2, 2, "d")]  # each file counts once
+    assert run() == [(1, 6, "b"), (2, 2, "d"), (15, 1, "e")]
+    assert rows(table.log(), "version", "part") == [(0, 0), (0, 1), (1, 0)]  # the range without a row of the batch isn't written again
+    assert sorted(rows(table.read(0))) == [(1, 6, "b"), (2, 1, "c"), (15, 1, "e")]
+    assert run() == [(1, 6, "b"), (2, 2, "d"), (15, 1, "e")]  # each file counts once
+    put((30, 9, "new", 4))
+    assert run("fresh") == [(1, 6, "b"), (2, 2, "d"), (15, 1, "e"), (30, 9, "new")]  # a fresh checkpoint reads all files again and goes on from the table
+    assert table.latest() == 2 and table.has(f"{tmp_path}/cp", 0) and table.has(f"{tmp_path}/fresh", 0) and not table.has(f"{tmp_path}/fresh", 1)
+
+
+def test_crawl_pages_are_filtered_in_the_scan(spark, tmp_path):
+    values = [("/a", "listing", 1, 200, 5, "x"), ("/b", "listing", 2, 404, 5, None), ("/c", "detail", None, 200, 5, "y")]
+    spark.createDataFrame(values, readers.CRAWL).write.parquet(f"{tmp_path}/crawl")
+    assert rows(readers.read_crawl(spark, f"{tmp_path}/crawl"), "url") == [("/a",), ("/c",)]
+    found = readers.read_crawl(spark, f"{tmp_path}/crawl", "listing")
+    assert rows(found, "url") == [("/a",)]
+    assert "EqualTo(status,200)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_a_database_are_read_in_ranges(spark):
+    url, t = "jdbc:derby:memory:games;create=true", spark.createDataFrame([(i, f"t{i}") for i in range(50)], "catalog_id long, title string")
+    t.write.format("jdbc").options(url=url, dbtable="catalog", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    whole = readers.read_table(spark, url=url, table="catalog", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    ranges = readers.read_table(spark, url=url, table="catalog", bounds=(0, 50), partitions=4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert rows(whole) == rows(ranges) == rows(t)
+    assert (whole.rdd.getNumPartitions(), ranges.rdd.getNumPartitions()) == (1, 4)
+
+
+def test_latest_feed(spark):
+    body = '{"msg": {"data": [{"thread_id": 3, "title": "A b", "creator": "Blue Fox", "version": "v2", "views": 7, "cover": "/preview/x"}, {"thread_id": 4, "title": "a B", "creator": "bluefox", "version": "", "views": 9}]}}'
+    games = readers.read_latest_feed(spark.createDataFrame([(1, body), (2, "{broken"), (3, None)], "n int, html string"), base_url="/threads/")
+    got = forum.latest_feed(spark.createDataFrame([], forum.CATALOG), spark.createDataFrame([], forum.FORUM_LISTING), games, 50, ["n", "pos"])
+    assert rows(got.catalog, "catalog_id", "id_name", "title", "version", "creator") == [(1, "AB_BLUEFOX", "a B", "v2", "bluefox")]  # a blank version overwrites nothing
+    assert rows(got.listing, "thread_id", "catalog_id", "views", "site_url") == [(4, 1, 9, "/threads/4")]
+    assert rows(got.rejects) == [("3", "entity has another row")]
+
+
+def test_numeric_texts_of_responses(spark):
+    found = spark.createDataFrame([(1, "4.50"), (2, "12"), (3, 'a "b"'), (4, ""), (5, None), (6, "1e3"), (7, " -7 "), (8, "0x1A")], "catalog_id int, rating string")
+    body = json.loads(serve.response_json(found.orderBy("catalog_id").coalesce(1), spark.sql("SELECT 1 AS titles"), ["rating"]).first()["body"])
+    assert [g.get("rating") for g in body["games"]] == [4.5, 12, 'a "b"', "", None, 1000.0, -7, "0x1A"]
 
 
 def test_feed_pages_are_bounded(spark, tmp_path, monkeypatch):
@@ -218,6 +259,6 @@ def test_feed_pages_are_bounded(spark, tmp_path, monkeypatch):
 
 
 def test_makers_of_all_headers(spark):
-    urls = [r.url for r in frontier.frontier_makers(spark, ["a", "b"], None, "/").collect()]
+    urls = [r.url for r in frontier.frontier_makers(spark, ["a", "b"], None, "/", "/by/").collect()]
     assert len(set(urls)) == 2 * 72
-    assert {"/a/circle/list/=/name_header/Z", "/b/circle/list/=/name_header/ん"} <= set(urls)
+    assert {"/a/by/Z", "/b/by/ん"} <= set(urls)
