@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalog_jobs.sources.tables import new_path
+
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: What separates words made of ASCII letters, ASCII digits and everything beyond ASCII.
@@ -25,21 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as named in spark.checkpoint.dir; a temporary one only where that is unset, in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalog_jobs.llm.common import NON_WORD, lower_ascii, split_words
+from catalog_jobs.llm.common import NON_WORD, lower_ascii, split_words, written
 
 #: Words in a window, and in a shingle (windows of fewer words have one shingle, all of their words).
 WINDOW, SHINGLE = 13, 4
@@ -99,10 +99,14 @@ def _met_by_shuffle(keyed: DataFrame, index: DataFrame, lengths: list[int]) -> D
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, share: int) -> DataFrame:
-    """(doc_id, h, copies, n_words, n_hit, n_items, items_sha256, contaminated) for each doc_id and text (h: its hash)."""
+    """(doc_id, h, copies, n_words, n_hit, n_items, items_sha256, contaminated) for each doc_id and text (h: its hash).
+
+    Null texts count as empty, but for h, which is that of a null; rows of one doc_id and text are one row with their number as copies. A very long text
+    gives a row for each of its words before the join, which meets only those whose shingle is some window's rarest.
+    """
     documents = docs.select("doc_id", "text", words_of(F.col("text")).alias("w"))
     index, lengths = window_index(item_windows(benchmark, window), documents, shingle)
-    index = index.cache()
+    index = written(index, "windows")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("w"))
     small = index.count() <= BROADCAST_ROWS
     met = (_met_by_broadcast if small else _met_by_shuffle)(keyed, index, lengths)
@@ -138,7 +142,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
+    """The rows of docs that aren't contaminated, with all their columns.
+
+    Null and empty texts stay, as do all rows if the benchmark is empty; rows with equal doc_id and text stay or go together; a null doc_id is a value like others.
+    """
     found = _hits(docs, benchmark, window, shingle, share).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__h"))
     return docs.join(found, same, "left_anti")

@@ -195,8 +195,9 @@ def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words"
 def judged(docs: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DecisionList]:
     """(*keys, statistics, base_failed, kept) for every row of docs, and the list learned from labels (doc_id, quality).
 
-    Labels with a null quality or of no document aren't used; a document with several labels counts once for each.
-    The texts are read once: their statistics are written as a narrow table, which the learner and the verdicts read.
+    Labels with a null quality or of no document aren't used; a document with several labels counts once for each. Null and empty
+    texts have no words, so that they fail the base rules; repeated rows are judged each on their own, alike; a row with a null doc_id has no
+    label but is judged; without labels the list is empty. A very long text is one row of work, n log n in its words. The texts are read once: their statistics are written as a narrow table, which the learner and the verdicts read.
     """
     stats = written(text_stats(docs, keys), "stats")
     labelled = stats.join(labels.filter("quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad")), "doc_id")
@@ -206,7 +207,10 @@ def judged(docs: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("doc_id"
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that neither the base rules nor the learned list reject, with all their columns."""
+    """The rows of docs that neither the base rules nor the learned list reject, with all their columns.
+
+    As judged(): null and empty texts go, repeated rows stay or go together, an empty table gives an empty one.
+    """
     marked = docs.withColumn("__tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     stats, _ = judged(marked.select("doc_id", "text", "__tie"), labels, ("doc_id", "__tie"))
     kept = stats.filter("kept").select(F.col("doc_id").alias("__id"), F.col("__tie").alias("__t"))

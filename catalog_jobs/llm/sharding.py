@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hexadecimal digits of the first probes and of each refinement, and of a whole key.
-FIRST, STEP, WHOLE = 3, 2, 48
+FIRST, STEP, WHOLE = 3, 2, 55
 
 
 @dataclass
@@ -21,15 +21,17 @@ class Cell:
 
 
 def sort_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, size, text_crc32, k): k orders rows by a hash of the text, then by key, as 48 hexadecimal digits.
+    """(key, size, text_crc32, k): k orders rows by a hash of the text, then by key, then by where the row lies, as 55 hexadecimal digits.
 
     Equal texts are neighbours in the order, and stay in one shard unless a boundary must cut their group. Rows with
-    equal key and text have equal k. A null text counts as empty, a null key as one more value.
+    equal key and text differ in their last digits, so that a group of them, however large, can be cut: write the keys before use, which fixes
+    those digits. A null text counts as empty, a null key as one more value; a very long text is read once.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     digits = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(t), F.xxhash64(F.lit(7), F.coalesce(F.col(key).cast("string"), F.lit(""))))]
     exact = F.lpad(F.hex(F.coalesce(F.col(key).cast("long"), F.lit(0))), 16, "0")
-    return docs.select(key, (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.concat(*digits, exact).alias("k"))
+    place = F.substring(F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0"), 1, 7)
+    return docs.select(key, (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.concat(*digits, exact, place).alias("k"))
 
 
 def _histogram(keys: DataFrame, length: int) -> dict[str, Cell]:

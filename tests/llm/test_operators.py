@@ -359,6 +359,17 @@ def test_shards_are_even_with_a_group_of_a_third(spark):
     assert len({r.shard for r in got if r.doc_id % 3 == 0}) <= 6  # equal texts are neighbours
 
 
+def test_shards_cut_a_group_of_one_repeated_row(spark):
+    rng = random.Random(4)
+    texts = [(7, "the same row")] * 3000 + [(100 + i, sentence(rng, 3)) for i in range(3000)]
+    keys = written(sharding.sort_keys(frame(spark, texts)), "keys")
+    assert max(c.n_rows for c in sharding.find_splitters(keys, 24)) <= 1000
+    got = sharding.shard_by_bytes(keys, 24).collect()
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(24)]
+    assert max(sizes) - min(sizes) < 0.05 * sum(sizes) / 24
+    assert sorted((r.shard, r.slot) for r in got) == sorted((s, i) for s in range(24) for i in range(sum(r.shard == s for r in got)))
+
+
 def tokens(text):
     from tokenizers import Tokenizer
 
