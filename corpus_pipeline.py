@@ -11,12 +11,18 @@ from catalog_jobs.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the decision list learned from labels reject go."""
+    """Documents that the base rules or the decision list learned from labels reject go.
+
+    Null and empty texts go, as they have too few words; repeated rows stay or go together; other columns aren't touched.
+    """
     return quality.kept_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines in repeated windows go, and documents that have no word left because of it; n_chars follows the text."""
+    """Lines in repeated windows go, and documents that have no word left because of it; n_chars follows the text.
+
+    Null and empty texts, and those of under three lines, stay as they are; repeated rows of one doc_id and text are cut alike.
+    """
     cut = line_dedup.dedup_lines(docs)
     emptied = (F.col("n_lines_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.when(F.col("n_lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -24,17 +30,26 @@ def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: shingles of five words, similarity 0.8 or more."""
+    """One document of each group of near duplicates stays: shingles of five words, similarity 0.8 or more.
+
+    That is the one with the least doc_id, null first, and once if its row is repeated. Texts without words, null ones too, are near nothing and all stay.
+    """
     return near_dedup.one_of_each_group(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go."""
+    """Documents contaminated by benchmark items go.
+
+    Null and empty texts stay; repeated rows stay or go together; with an empty benchmark all stay.
+    """
     return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their sequence and offset."""
+    """Pieces of at most 4096 tokens with their sequence and offset.
+
+    A null or empty text is one token, its end; longer texts than 4096 tokens are cut; repeated rows are packed each on their own; an empty table gives an empty one.
+    """
     return packing.packed_documents(docs, tokenizer_path())
 
 
