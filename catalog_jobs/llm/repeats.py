@@ -181,6 +181,26 @@ def _digests(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=8).digest() for p in parts]), np.int64)
 
 
+def text_runs(documents: DataFrame, unit: Unit) -> DataFrame:
+    """keyed() rows -> (ord, tie, n_units, whole_sha256, runs): all runs of each row's windows, array of struct(m, rh, start, n, tied)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, "t", unit.batch_bytes):
+            texts = _whole(b.column("t"))
+            units, bounds = unit.units(texts)
+            raw = texts.cast(pa.binary()).to_pylist()
+            w, grams = winnow.windows(units, bounds, unit.size, unit.gram)
+            first, n = winnow.runs(w)
+            rh = _digests(unit.parts(raw, w.doc[first], w.place[first], n - 1 + unit.size))
+            fields = {"m": w.least[first].view(np.int64), "rh": rh, "start": w.place[first].astype(np.int32), "n": n.astype(np.int32), "tied": winnow.tied(w, grams, first, n, unit.width)}
+            runs = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields))
+            ends = np.searchsorted(w.doc[first], np.arange(len(raw) + 1)).astype(np.int32)
+            shas = pa.array([hashlib.sha256(unit.whole(x)).hexdigest() for x in raw])
+            yield pa.RecordBatch.from_arrays([b.column("ord"), b.column("tie"), pa.array(np.diff(bounds)), shas, pa.ListArray.from_arrays(pa.array(ends), runs)], ["ord", "tie", "n_units", "whole_sha256", "runs"])
+
+    return documents.mapInArrow(scan, "ord long, tie long, n_units long, whole_sha256 string, runs array<struct<m: long, rh: long, start: int, n: int, tied: boolean>>")
+
+
 def repeated_runs(rows: DataFrame, unit: Unit) -> DataFrame:
     """Runs of windows of suspects() rows whose anchor is in their ms; rh is the digest of all units that a run covers."""
 
@@ -304,10 +324,10 @@ def settle(contents: DataFrame, unit: Unit, step: int) -> tuple[DataFrame, DataF
     return gone, rest
 
 
-def removed_report(documents: DataFrame, prints: DataFrame, copies: DataFrame, removed: DataFrame, unit: Unit) -> DataFrame:
+def removed_report(documents: DataFrame, prints: DataFrame, removed: DataFrame, unit: Unit, copies: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept_sha256) for each row of prints.
 
-    removed: (ord, tie, start, n), windows that go with all their units; copies(blob, first): the first document of each text; the
+    removed: (ord, tie, start, n), windows that go with all their units; copies(blob, first), if given: the first document of each text; the
     texts of other documents go whole if they have a window. Texts are read again only where something goes in part.
     """
     places = removed.groupBy("ord", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
@@ -324,9 +344,11 @@ def removed_report(documents: DataFrame, prints: DataFrame, copies: DataFrame, r
             yield pa.RecordBatch.from_arrays([b.column("ord"), b.column("tie"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["ord", "tie", "gone", "spans", "sha"])
 
     parts = documents.join(places, ["ord", "tie"]).mapInArrow(cut, "ord long, tie long, gone long, spans long, sha string").dropDuplicates(["ord", "tie"])
-    rows = prints.select("ord", "tie", "blob", "n_units", "whole_sha256").join(copies.select("blob", "first"), "blob").join(parts, ["ord", "tie"], "left")
-    copy = F.struct("ord", "tie") != F.col("first")
-    whole = copy & (F.col("n_units") >= unit.size)
+    rows = prints.select("ord", "tie", "n_units", "whole_sha256", *([] if copies is None else ["blob"])).join(parts, ["ord", "tie"], "left")
+    whole = F.lit(False)
+    if copies is not None:
+        rows = rows.join(copies.select("blob", "first"), "blob")
+        whole = (F.struct("ord", "tie") != F.col("first")) & (F.col("n_units") >= unit.size)
     return rows.select(
         doc_id_of().alias("doc_id"), "n_units",
         F.when(whole, F.col("n_units")).otherwise(F.coalesce("gone", F.lit(0).cast("long"))).alias("n_removed"),

@@ -1,8 +1,10 @@
-"""Substring dedup with a log-structured fingerprint index: sorted runs of anchors are merge-joined with each new batch."""
+"""Substring dedup with a log-structured fingerprint index: sorted runs of window fingerprints are merge-joined with each new batch."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -11,18 +13,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog_jobs.llm import repeats
-from catalog_jobs.llm.common import discard, new_path, remove, without, written
+from catalog_jobs.llm.common import discard, remove, written
 from catalog_jobs.llm.repeats import WORDS20, Unit
+from catalog_jobs.sources.tables import new_path
 
-RUN = T.StructType().add("m", "long").add("k", "integer")
+PLACE = ["ord", "tie", "start"]
+#: A row of the index: windows around one anchor m, the digest rh of their words, the place where that content came first, how many windows.
+ENTRY = T.StructType().add("m", "long").add("rh", "long").add("ord", "long").add("tie", "long").add("start", "integer").add("n", "integer").add("tied", "boolean")
+
+
+@contextmanager
+def _joined_by_bucket(spark: SparkSession) -> Iterator[None]:
+    """Joins by (m, rh) meet in buckets by m, without a shuffle."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 @dataclass
 class FingerprintIndex:
-    """Immutable runs, each a table (m, k) in buckets by m, sorted by m: the anchors m of every text seen, with the key k of its first document.
+    """Immutable runs of ENTRY rows, each in buckets by m and sorted by it; a content is in one run only, under its first place.
 
-    All runs have the same buckets, so that they meet each other and a new batch without being shuffled again. When `fan_in` runs have piled up on a
-    level, they are merged into one run on the next level.
+    All runs have the same buckets, so that they meet each other and a new batch in merge joins without being shuffled. When `fan_in` runs have
+    piled up on a level, they are merged into one run on the next level.
     """
 
     spark: SparkSession
@@ -35,35 +52,47 @@ class FingerprintIndex:
         self.n_buckets = self.n_buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, (self.spark.table(t) for _, t, _ in self.runs), self.spark.createDataFrame([], RUN))
+        return reduce(DataFrame.unionByName, self.tables(), self.spark.createDataFrame([], ENTRY))
+
+    def tables(self) -> list[DataFrame]:
+        return [self.spark.table(t) for _, t, _ in self.runs]
 
-    def _sorted(self, rows: DataFrame, name: str) -> tuple[str, str]:
-        """(table, folder) of rows in buckets by m, one sorted file each."""
+    def bucketed(self, rows: DataFrame, name: str, dealt: bool = False) -> tuple[str, str]:
+        """(table, folder) of rows in buckets by m, sorted by m; rows that are dealt by m already stay where they are."""
         table, path = f"{name}_{uuid.uuid4().hex}", new_path(self.spark, name)
-        dealt = rows.repartition(self.n_buckets, "m").sortWithinPartitions("m")
-        dealt.write.bucketBy(self.n_buckets, "m").sortBy("m").option("path", path).format("parquet").saveAsTable(table)
+        with _joined_by_bucket(self.spark):
+            rows = rows if dealt else rows.repartition(self.n_buckets, "m")
+            rows.write.bucketBy(self.n_buckets, "m").sortBy("m").option("path", path).format("parquet").saveAsTable(table)
         return table, path
 
-    def _remove(self, table: str, path: str, schema: T.StructType = RUN) -> None:
+    def drop(self, table: str, path: str) -> None:
+        schema = self.spark.table(table).schema
         self.spark.sql(f"DROP TABLE {table}")  # leaves the files
         remove(self.spark, path, schema)
 
-    def add(self, batch: DataFrame) -> None:
-        self.runs.append((0, *self._sorted(batch, "run0")))
-
-    def holders(self) -> DataFrame:
-        """(k, ms) of the documents, new and old ones, that hold anchors of the run added last which occur at two places or more: a merge join of runs."""
-        *older, last = (self.spark.table(t) for _, t, _ in self.runs)
-        met = last.groupBy("m").agg(F.count("*").alias("n"))
-        for i, run in enumerate(older):
-            met = met.join(run.groupBy("m").agg(F.count("*").alias(f"n{i}")).hint("merge"), "m", "left")
-        places = sum((F.coalesce(f"n{i}", F.lit(0)) for i in range(len(older))), F.col("n"))
-        table, path = self._sorted(met.filter(places > 1).select("m"), "met")
-        matched = self.spark.table(table)
-        pairs = [run.join(matched.hint("merge"), "m") for run in (*older, last)]
-        out = written(reduce(DataFrame.unionByName, pairs).groupBy("k").agg(F.collect_set("m").alias("ms")), "holders")
-        self._remove(table, path, matched.schema)
-        return out
+    def meet(self, batch: DataFrame) -> DataFrame:
+        """batch (a bucketed table of m, rh and more) with `old`: the place where the index has its content, null for new ones."""
+        old = []
+        for i, run in enumerate(self.tables()):
+            batch = batch.join(run.select("m", "rh", F.struct(*PLACE).alias(f"__{i}")).hint("merge"), ["m", "rh"], "left")
+            old.append(F.col(f"__{i}"))
+        none = F.lit(None).cast("struct<ord: long, tie: long, start: int>")
+        return batch.withColumn("old", F.coalesce(*old, none)).drop(*(f"__{i}" for i in range(len(old))))
+
+    def disputed(self, fresh: DataFrame) -> DataFrame:
+        """(m, ord, tie, start, n): new contents (fresh, a bucketed table) whose anchor has others, or occurs twice inside, with those others of the index."""
+        anchors = fresh.groupBy("m").agg(F.count("*").alias("k"), F.max("tied").alias("t"))
+        for i, run in enumerate(self.tables()):
+            anchors = anchors.join(run.groupBy("m").agg(F.count("*").alias(f"k{i}")).hint("merge"), "m", "left")
+        k = sum((F.coalesce(f"k{i}", F.lit(0)) for i in range(len(self.runs))), F.col("k"))
+        anchors = anchors.filter((k > 1) | F.col("t")).select("m")
+        parts = [t.join(anchors.hint("merge"), "m").select("m", *PLACE, "n") for t in (fresh, *self.tables())]
+        with _joined_by_bucket(self.spark):
+            return written(reduce(DataFrame.unionByName, parts), "disputed")
+
+    def add(self, table: str, path: str) -> None:
+        """One more run: a bucketed() table of ENTRY rows."""
+        self.runs.append((0, table, path))
 
     def compact(self) -> None:
         """Merges the runs of a level that has fan_in of them, level by level."""
@@ -72,10 +101,10 @@ class FingerprintIndex:
             full = [r for r in self.runs if r[0] == level]
             if len(full) >= self.fan_in:
                 merged = reduce(DataFrame.unionByName, (self.spark.table(t) for _, t, _ in full))
-                made = self._sorted(merged, f"run{level + 1}")
+                made = self.bucketed(merged, f"run{level + 1}")
                 self.runs = [r for r in self.runs if r not in full] + [(level + 1, *made)]
                 for _, table, path in full:
-                    self._remove(table, path)
+                    self.drop(table, path)
             level += 1
 
 
@@ -84,51 +113,47 @@ class SubstringDedup:
 
     Batches must come in the order of doc_id. Null and empty texts have no words; texts shorter than a window lose
     nothing; repeated rows of one doc_id and text are one document and get equal results; a null doc_id comes before all others. A
-    very long text is read whole by one task. What the index matches is verified on the words: runs are the same if their words have one BLAKE2b
-    digest, and where runs of one anchor differ, so are their pieces, down to single windows.
+    very long text is read whole by one task.
+
+    Only a batch's own texts are fingerprinted. What the index matches is verified on the words: contents are the same if their words have one BLAKE2b
+    digest. Where contents of one anchor differ, their words are fetched, from older texts too, and compared in pieces in the same way, down to single windows.
     """
 
     def __init__(self, spark: SparkSession, unit: Unit = WORDS20, fan_in: int = 2):
         self.unit, self.index = unit, FingerprintIndex(spark, fan_in)
         self.history: DataFrame | None = None  # keyed documents of all batches so far
-        self.firsts: DataFrame | None = None  # first document of each text so far: blob, first
 
     def add(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_units, n_removed, n_spans, kept_sha256) for each row of docs, a new batch, as a table."""
         documents = repeats.keyed(docs)
-        prints = written(repeats.fingerprints(documents, self.unit), "prints")
-        texts = repeats.first_texts(prints)
-        if self.firsts is not None:
-            known = self.firsts.withColumnRenamed("first", "known")
-            texts = texts.join(known, "blob", "left").withColumn("new", F.col("known").isNull()).withColumn("first", F.coalesce("known", "first")).drop("known")
-        else:
-            texts = texts.withColumn("new", F.lit(True))
-        texts = written(texts.withColumn("ms", F.when(F.col("new"), F.col("ms"))), "texts")
-        prints = without(prints, "ms")
-        self.index.add(texts.filter("new").select(F.explode("ms").alias("m"), repeats.document_key("first.")))
-        texts = without(texts, "ms")
-        # anchors that occur again choose the documents to look at: new ones and those of the runs
-        holders = self.index.holders()
-        everything = documents if self.history is None else self.history.unionByName(documents)
-        rows = repeats.suspects(everything, holders)
-        discard(holders)
-        found = written(repeats.repeated_runs(rows, self.unit), "found")
-        firsts = repeats.first_runs(found)
-        gone = [written(repeats.later_runs(found, firsts), "later")]
-        discard(found)
-        contents = written(repeats.run_contents(rows, repeats.differing(firsts), self.unit), "contents")
-        discard(firsts)
+        prints = written(repeats.text_runs(documents, self.unit), "prints")
+        runs = prints.select("ord", "tie", F.explode("runs").alias("r")).select("ord", "tie", "r.*")
+        contents = runs.groupBy("m", "rh").agg(F.min(F.struct(*PLACE)).alias("first"), F.max("n").alias("n"), F.max("tied").alias("tied"), F.count("*").alias("c"))
+        batch = self.index.bucketed(contents.select("m", "rh", "first.*", "n", "tied", "c"), "batch")
+        met = self.index.bucketed(self.index.meet(docs.sparkSession.table(batch[0])), "met", dealt=True)
+        self.index.drop(*batch)
+        found = docs.sparkSession.table(met[0])
+        fresh = self.index.bucketed(found.filter("old is null").select(*ENTRY.names), "run0", dealt=True)
+        wanted = self.index.disputed(docs.sparkSession.table(fresh[0]))
+        again = found.filter("c > 1 or old is not null").select("m", "rh", F.coalesce("old", F.struct(*PLACE)).alias("first"))
+        later = runs.join(again.hint("merge"), ["m", "rh"]).filter(F.struct(*PLACE) != F.col("first"))
+        gone = [written(later.select(*PLACE, "n"), "later")]
+        self.index.drop(*met)
+        narrow = written(prints.drop("runs"), "prints")
+        discard(prints)
+
+        self.history = documents if self.history is None else self.history.unionByName(documents)
+        contents = written(repeats.run_contents(self.history, wanted, self.unit), "contents")
+        discard(wanted)
         for step in self.unit.steps:
             more, left = repeats.settle(contents, self.unit, step)
             gone.append(more)
             discard(contents)
             contents = left
-        copies = texts.select("blob", "first")
-        out = written(repeats.removed_report(rows, prints, copies, reduce(DataFrame.unionByName, gone), self.unit), "report")
-        discard(rows, prints, *gone)
+        out = written(repeats.removed_report(documents, narrow, reduce(DataFrame.unionByName, gone), self.unit), "report")
+        discard(narrow, *gone)
+        self.index.add(*fresh)
         self.index.compact()
-        self.history = everything
-        self.firsts = copies if self.firsts is None else self.firsts.unionByName(texts.filter("new").select("blob", "first"))
         return out
 
 

@@ -177,4 +177,4 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
         contents = left.filter(~small)
         if contents.isEmpty():
             break
-    return repeats.removed_report(rows, prints, texts, gone, unit)
+    return repeats.removed_report(rows, prints, gone, unit, texts)

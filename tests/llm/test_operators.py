@@ -239,10 +239,9 @@ def test_anchors_of_documents_with_one_doc_id_stay_apart(spark, monkeypatch, ope
     else:
         got = rows(suffix_dedup.dedup_bytes(df), "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
         assert got == brute.byte_report(docs)
-    unit = repeats.WORDS20 if operator == "words" else repeats.BYTES100
-    own = {(r.ord, r.tie): set(r.ms) for r in repeats.fingerprints(repeats.keyed(df), unit).collect()}
-    assert any(given)
-    assert all(r.ms and set(r.ms) <= own[r.ord, r.tie] for table in given for r in table)
+        own = {(r.ord, r.tie): set(r.ms) for r in repeats.fingerprints(repeats.keyed(df), repeats.BYTES100).collect()}
+        assert any(given)
+        assert all(r.ms and set(r.ms) <= own[r.ord, r.tie] for table in given for r in table)
 
 
 def test_null_comes_before_the_least_doc_id(spark):
@@ -275,6 +274,23 @@ def test_substring_query_compacts_its_index(spark, tmp_path, monkeypatch):
     assert seen[0][2] < seen[1][2] < seen[2][2]  # and every batch is indexed
 
 
+def test_index_runs_meet_a_batch_without_a_shuffle(spark):
+    job = substring_dedup.SubstringDedup(spark, WORDS20, fan_in=9)
+    for i in (0, 30):
+        job.add(frame(spark, DOCS[i : i + 30]))
+    held = job.index.rows().count()
+    assert held == job.index.rows().select("m", "rh").distinct().count()  # a content is held once, under its first place
+    batch = spark.table(job.index.bucketed(job.index.tables()[0], "batch")[0])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with substring_dedup._joined_by_bucket(spark):
+            plan = job.index.meet(batch)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_fingerprint_index_is_compacted(spark):
     job = substring_dedup.SubstringDedup(spark, WORDS20, fan_in=2)
     parts = [job.add(frame(spark, DOCS[i : i + 15])).select("doc_id", "n_removed") for i in range(0, 60, 15)]
