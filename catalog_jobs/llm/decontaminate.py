@@ -135,7 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     docs: doc_id, text; benchmark: item_id, text; other columns aren't read. A word is hit inside any occurrence of a window; a document
     is contaminated if share * n_hit >= n_words and n_hit > 0. Null and empty texts have no words and aren't
-    contaminated; an empty benchmark hits nothing; rows with equal doc_id and text give equal rows, as many as there are.
+    contaminated; an empty benchmark hits nothing; rows with equal doc_id and text give equal rows, as many as there are. A very long text
+    gives a row for each of its words before the join.
     """
     found = _hits(docs, benchmark, window, shingle, share).drop("h")
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")

@@ -32,7 +32,7 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     A line ends at each \\n. A window is three consecutive lines, not all blank; each line in a window that also
     starts earlier (smaller doc_id, or the same document and an earlier line) is removed. Windows are judged on the input and may overlap. Texts
     of under three lines lose nothing; a null text has no lines and stays null; texts without a removed line stay as they are; repeated rows of one doc_id
-    and text are one document and get equal results. Null doc_ids come first.
+    and text are one document and get equal results. Null doc_ids come first. A very long text is one row for each of its lines on the way.
     """
     windows = _windows(keyed(docs, text))
     place = F.struct("ord", "tie", "i")

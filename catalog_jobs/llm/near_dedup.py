@@ -283,7 +283,8 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa:
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets. Null texts and texts without words have
     no set and are linked with nothing. Documents with equal sets are one class from the start, so that copies
-    cost one row; repeated rows of one doc_id are linked like other documents.
+    cost one row; repeated rows of one doc_id are linked like other documents; a null doc_id comes first. A very long text is read
+    whole by one task, in some hundred bytes of memory for each of its words.
     """
     documents = keyed(docs)
     rows = written(sketches(documents, join), "sketches")

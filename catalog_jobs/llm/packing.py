@@ -126,7 +126,8 @@ def _tokenizer(path: str) -> WordTokenizer:
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece, start, length, ids_crc32) for every piece of every document: its ids, then end_id, cut where longer than capacity.
 
-    Null and empty texts are the end id alone. Only the last piece of a document may be shorter than capacity.
+    Null and empty texts are the end id alone. Only the last piece of a document may be shorter than capacity. Repeated rows give repeated
+    pieces; a very long text is tokenized whole by one task.
     """
     key_type = docs.schema[key].dataType.simpleString()
 
