@@ -240,9 +240,13 @@ def differing(firsts: DataFrame) -> DataFrame:
     return firsts.join(shared, "m").select("m", "first.*", "n")
 
 
-def run_contents(suspects: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
-    """(m, ord, tie, start, n, seg) for runs (m, ord, tie, start, n) of suspects(): the units that each covers, joined."""
-    wanted = runs.groupBy("ord", "tie").agg(F.collect_list(F.struct("m", "start", "n")).alias("runs"))  # a document's own runs
+def runs_by_document(runs: DataFrame) -> DataFrame:
+    """(ord, tie, runs) for runs (m, ord, tie, start, n): each document's own."""
+    return runs.groupBy("ord", "tie").agg(F.collect_list(F.struct("m", "start", "n")).alias("runs"))
+
+
+def run_contents(texts: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
+    """(m, ord, tie, start, n, seg) for runs_by_document() of texts (ord, tie, t: each document once): the units that each run covers, joined."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, "t", unit.batch_bytes):
@@ -257,7 +261,6 @@ def run_contents(suspects: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
                 ["m", "ord", "tie", "start", "n", "seg"],
             )
 
-    texts = suspects.select("ord", "tie", "t").dropDuplicates(["ord", "tie"])
     return texts.join(wanted, ["ord", "tie"]).mapInArrow(scan, f"m long, ord long, tie long, start int, n int, seg {unit.part}")
 
 

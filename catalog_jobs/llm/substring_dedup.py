@@ -34,6 +34,22 @@ def _joined_by_bucket(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def bucketed(rows: DataFrame, name: str, by: list[str], n_buckets: int, dealt: bool = False) -> tuple[str, str]:
+    """(table, folder) of rows in buckets by some columns, sorted by them; rows that are dealt by these already stay where they are."""
+    spark, table = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = new_path(spark, name)
+    with _joined_by_bucket(spark):
+        rows = rows if dealt else rows.repartition(n_buckets, *by)
+        rows.write.bucketBy(n_buckets, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(table)
+    return table, path
+
+
+def drop(spark: SparkSession, table: str, path: str) -> None:
+    schema = spark.table(table).schema
+    spark.sql(f"DROP TABLE {table}")  # leaves the files
+    remove(spark, path, schema)
+
+
 @dataclass
 class FingerprintIndex:
     """Immutable runs of ENTRY rows, each in buckets by m and sorted by it; a content is in one run only, under its first place.
@@ -58,17 +74,7 @@ class FingerprintIndex:
         return [self.spark.table(t) for _, t, _ in self.runs]
 
     def bucketed(self, rows: DataFrame, name: str, dealt: bool = False) -> tuple[str, str]:
-        """(table, folder) of rows in buckets by m, sorted by m; rows that are dealt by m already stay where they are."""
-        table, path = f"{name}_{uuid.uuid4().hex}", new_path(self.spark, name)
-        with _joined_by_bucket(self.spark):
-            rows = rows if dealt else rows.repartition(self.n_buckets, "m")
-            rows.write.bucketBy(self.n_buckets, "m").sortBy("m").option("path", path).format("parquet").saveAsTable(table)
-        return table, path
-
-    def drop(self, table: str, path: str) -> None:
-        schema = self.spark.table(table).schema
-        self.spark.sql(f"DROP TABLE {table}")  # leaves the files
-        remove(self.spark, path, schema)
+        return bucketed(rows, name, ["m"], self.n_buckets, dealt)
 
     def meet(self, batch: DataFrame) -> DataFrame:
         """batch (a bucketed table of m, rh and more) with `old`: the place where the index has its content, null for new ones."""
@@ -104,7 +110,7 @@ class FingerprintIndex:
                 made = self.bucketed(merged, f"run{level + 1}")
                 self.runs = [r for r in self.runs if r not in full] + [(level + 1, *made)]
                 for _, table, path in full:
-                    self.drop(table, path)
+                    drop(self.spark, table, path)
             level += 1
 
 
@@ -115,42 +121,47 @@ class SubstringDedup:
     nothing; repeated rows of one doc_id and text are one document and get equal results; a null doc_id comes before all others. A
     very long text is read whole by one task.
 
-    Only a batch's own texts are fingerprinted. What the index matches is verified on the words: contents are the same if their words have one BLAKE2b
+    Only a batch's own texts are fingerprinted and shuffled: they are stored in buckets by document, each once. What the index matches is verified on the words: contents are the same if their words have one BLAKE2b
     digest. Where contents of one anchor differ, their words are fetched, from older texts too, and compared in pieces in the same way, down to single windows.
     """
 
     def __init__(self, spark: SparkSession, unit: Unit = WORDS20, fan_in: int = 2):
         self.unit, self.index = unit, FingerprintIndex(spark, fan_in)
-        self.history: DataFrame | None = None  # keyed documents of all batches so far
+        self.texts: list[str] = []  # a table (ord, tie, t) in buckets by document for each batch so far
 
     def add(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_units, n_removed, n_spans, kept_sha256) for each row of docs, a new batch, as a table."""
+        spark, by, n = docs.sparkSession, ["ord", "tie"], self.index.n_buckets
         documents = repeats.keyed(docs)
+        store = bucketed(documents.groupBy(*by).agg(F.first("t").alias("t")), "texts", by, n, dealt=True)[0]
+        self.texts.append(store)
         prints = written(repeats.text_runs(documents, self.unit), "prints")
         runs = prints.select("ord", "tie", F.explode("runs").alias("r")).select("ord", "tie", "r.*")
         contents = runs.groupBy("m", "rh").agg(F.min(F.struct(*PLACE)).alias("first"), F.max("n").alias("n"), F.max("tied").alias("tied"), F.count("*").alias("c"))
         batch = self.index.bucketed(contents.select("m", "rh", "first.*", "n", "tied", "c"), "batch")
-        met = self.index.bucketed(self.index.meet(docs.sparkSession.table(batch[0])), "met", dealt=True)
-        self.index.drop(*batch)
-        found = docs.sparkSession.table(met[0])
+        met = self.index.bucketed(self.index.meet(spark.table(batch[0])), "met", dealt=True)
+        drop(spark, *batch)
+        found = spark.table(met[0])
         fresh = self.index.bucketed(found.filter("old is null").select(*ENTRY.names), "run0", dealt=True)
-        wanted = self.index.disputed(docs.sparkSession.table(fresh[0]))
+        wanted = self.index.disputed(spark.table(fresh[0]))
         again = found.filter("c > 1 or old is not null").select("m", "rh", F.coalesce("old", F.struct(*PLACE)).alias("first"))
         later = runs.join(again.hint("merge"), ["m", "rh"]).filter(F.struct(*PLACE) != F.col("first"))
         gone = [written(later.select(*PLACE, "n"), "later")]
-        self.index.drop(*met)
+        drop(spark, *met)
         narrow = written(prints.drop("runs"), "prints")
         discard(prints)
 
-        self.history = documents if self.history is None else self.history.unionByName(documents)
-        contents = written(repeats.run_contents(self.history, wanted, self.unit), "contents")
+        holders = bucketed(repeats.runs_by_document(wanted), "holders", by, n, dealt=True)
         discard(wanted)
+        fetched = [repeats.run_contents(spark.table(t).hint("merge"), spark.table(holders[0]), self.unit) for t in self.texts]
+        contents = written(reduce(DataFrame.unionByName, fetched), "contents")
+        drop(spark, *holders)
         for step in self.unit.steps:
             more, left = repeats.settle(contents, self.unit, step)
             gone.append(more)
             discard(contents)
             contents = left
-        out = written(repeats.removed_report(documents, narrow, reduce(DataFrame.unionByName, gone), self.unit), "report")
+        out = written(repeats.removed_report(spark.table(store), narrow, reduce(DataFrame.unionByName, gone), self.unit), "report")
         discard(narrow, *gone)
         self.index.add(*fresh)
         self.index.compact()

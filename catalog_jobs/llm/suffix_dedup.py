@@ -165,7 +165,7 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
     gone = written(repeats.later_runs(found, firsts), "later")
     discard(found)
 
-    contents = written(repeats.run_contents(rows, repeats.differing(firsts), unit), "contents")
+    contents = written(repeats.run_contents(rows.select("ord", "tie", "t").dropDuplicates(["ord", "tie"]), repeats.runs_by_document(repeats.differing(firsts)), unit), "contents")
     discard(firsts)
     for step in unit.steps:
         more, left = repeats.settle(contents, unit, step)
