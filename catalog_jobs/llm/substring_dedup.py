@@ -22,25 +22,34 @@ PLACE = ["ord", "tie", "start"]
 ENTRY = T.StructType().add("m", "long").add("rh", "long").add("ord", "long").add("tie", "long").add("start", "integer").add("n", "integer").add("tied", "boolean")
 
 
+#: Joins by (m, rh) meet in buckets by m, each bucket is read by one task, and one that is a single file counts as sorted.
+_BY_BUCKET = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+}
+
+
 @contextmanager
 def _joined_by_bucket(spark: SparkSession) -> Iterator[None]:
-    """Joins by (m, rh) meet in buckets by m, without a shuffle."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    """What is run inside joins bucketed tables without a shuffle or a sort of theirs."""
+    before = {key: spark.conf.get(key) for key in _BY_BUCKET}
+    for key, value in _BY_BUCKET.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
-def bucketed(rows: DataFrame, name: str, by: list[str], n_buckets: int, dealt: bool = False) -> tuple[str, str]:
-    """(table, folder) of rows in buckets by some columns, sorted by them; rows that are dealt by these already stay where they are."""
+def bucketed(rows: DataFrame, name: str, by: list[str], n_buckets: int, dealt: bool = False, then: tuple[str, ...] = ()) -> tuple[str, str]:
+    """(table, folder) of rows in buckets by some columns, sorted by them and `then` others; rows that are dealt by these already stay where they are."""
     spark, table = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = new_path(spark, name)
     with _joined_by_bucket(spark):
         rows = rows if dealt else rows.repartition(n_buckets, *by)
-        rows.write.bucketBy(n_buckets, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(table)
+        rows.write.bucketBy(n_buckets, *by).sortBy(*by, *then).option("path", path).format("parquet").saveAsTable(table)
     return table, path
 
 
@@ -52,9 +61,9 @@ def drop(spark: SparkSession, table: str, path: str) -> None:
 
 @dataclass
 class FingerprintIndex:
-    """Immutable runs of ENTRY rows, each in buckets by m and sorted by it; a content is in one run only, under its first place.
+    """Immutable runs of ENTRY rows, each in buckets by m and sorted by (m, rh); a content is in one run only, under its first place.
 
-    All runs have the same buckets, so that they meet each other and a new batch in merge joins without being shuffled. When `fan_in` runs have
+    All runs have the same buckets, so that they meet each other and a new batch in merge joins in the order they are stored in, neither shuffled nor sorted. When `fan_in` runs have
     piled up on a level, they are merged into one run on the next level.
     """
 
@@ -74,7 +83,7 @@ class FingerprintIndex:
         return [self.spark.table(t) for _, t, _ in self.runs]
 
     def bucketed(self, rows: DataFrame, name: str, dealt: bool = False) -> tuple[str, str]:
-        return bucketed(rows, name, ["m"], self.n_buckets, dealt)
+        return bucketed(rows, name, ["m"], self.n_buckets, dealt, ("rh",))
 
     def meet(self, batch: DataFrame) -> DataFrame:
         """batch (a bucketed table of m, rh and more) with `old`: the place where the index has its content, null for new ones."""
@@ -154,7 +163,8 @@ class SubstringDedup:
         holders = bucketed(repeats.runs_by_document(wanted), "holders", by, n, dealt=True)
         discard(wanted)
         fetched = [repeats.run_contents(spark.table(t).hint("merge"), spark.table(holders[0]), self.unit) for t in self.texts]
-        contents = written(reduce(DataFrame.unionByName, fetched), "contents")
+        with _joined_by_bucket(spark):
+            contents = written(reduce(DataFrame.unionByName, fetched), "contents")
         drop(spark, *holders)
         for step in self.unit.steps:
             more, left = repeats.settle(contents, self.unit, step)
