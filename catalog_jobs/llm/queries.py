@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_jobs.llm import decontaminate, line_dedup, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter
+from catalog_jobs.llm import conversation, decontaminate, fim, line_dedup, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, url_filter, warc
 from catalog_jobs.llm.common import read, written
 from catalog_jobs.llm.sql import ORACLE_SQL
+from catalog_jobs.sources.tables import new_path
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -74,6 +75,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as whole-file gzip, those as archives with a member for each record, and what reading these back gives."""
+    whole, cut = new_path(spark, "whole"), new_path(spark, "warc")
+    warc.write_monolithic(warc.with_revisits(read(spark, sf_dir, "pages")), whole)
+    warc.normalise(spark, whole, cut)
+    spark.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(whole)  # not read any more
+    found = warc.read_archives(spark, cut)
+    return found.select(warc.urn_key("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.urn_key("refers_to").cast("long").alias("refers_to"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fim_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation.repair_report(conversation.repair_rows(conversation.damaged(conversations)), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
@@ -85,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_histogram_shards": op8_histogram_shards,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_warc_normaliser": op11_warc_normaliser,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
