@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,23 +14,26 @@ def check_contract(df: DataFrame, table: str, unique: Iterable[list[str]] = (),
 
     unique: key columns without repeated values (nulls don't count); required: columns without nulls; references: (column, other
     table, its column) where every value must exist; max_bytes: most UTF-8 bytes of a text.
+
+    The table is scanned once: a row becomes one item for each rule that it can break, and all items meet the keys of all referenced tables in one aggregation, which
+    sums up within tasks before its one shuffle. Values are compared as texts, key columns one by one.
     """
-    def report(rows: DataFrame, rule: str, column: str, value, n) -> DataFrame:
-        return rows.select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.lit(column).alias("column"), value.cast("string").alias("value"), n.cast("long").alias("n"))
-
-    found = []
-    for key in unique:
-        counts = df.filter(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key))).groupBy(*key).count().filter("count > 1")
-        found.append(report(counts, "unique", ",".join(key), F.concat_ws("|", *(F.col(c).cast("string") for c in key)), F.col("count")))
-    if required := list(required):
-        nulls = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in required))
-        for c in required:
-            found.append(report(nulls.filter(F.col(c) > 0), "not_null", c, F.lit(None), F.col(c)))
-    for column, other, key in references:
-        counts = df.filter(F.col(column).isNotNull()).groupBy(column).count()
-        orphans = counts.join(other.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_anti")
-        found.append(report(orphans, "reference", column, F.col(column), F.col("count")))
-    for column, most in (max_bytes or {}).items():
-        long = df.filter(F.octet_length(column) > most).groupBy(F.octet_length(column).alias("__size")).count()
-        found.append(report(long, "max_bytes", column, F.col("__size"), F.col("count")))
-    return reduce(DataFrame.unionByName, found)
+    def item(rule: str, column: str, values: list[Column], holds: Column, at: int = 0) -> Column:
+        key = F.array(*(v.cast("string") for v in values))
+        return F.when(holds, F.struct(F.lit(rule).alias("rule"), F.lit(at).alias("at"), F.lit(column).alias("column"), key.alias("key")))
+
+    def there(columns: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
+
+    references = list(references)  # numbered: one column may have to exist in two tables
+    items = [item("unique", ",".join(key), [F.col(c) for c in key], there(key)) for key in unique]
+    items += [item("not_null", c, [F.lit(None)], F.col(c).isNull()) for c in required]
+    items += [item("reference", c, [F.col(c)], F.col(c).isNotNull(), i) for i, (c, _, _) in enumerate(references)]
+    items += [item("max_bytes", c, [F.octet_length(c)], F.octet_length(c) > most) for c, most in (max_bytes or {}).items()]
+    own = df.select(F.explode(F.array_compact(F.array(*items))).alias("i")).select("i.*", F.lit(1).alias("own"))
+    known = [other.filter(F.col(key).isNotNull()).select(F.lit("reference").alias("rule"), F.lit(i).alias("at"), F.lit(c).alias("column"), F.array(F.col(key).cast("string")).alias("key"), F.lit(0).alias("own")) for i, (c, other, key) in enumerate(references)]
+    counts = reduce(DataFrame.unionByName, [own, *known]).groupBy("rule", "at", "column", "key").agg(F.sum("own").alias("n"), F.bool_or(F.col("own") == 0).alias("known"))
+    least = F.when(F.col("rule") == "unique", 2).otherwise(1)
+    broken = counts.filter((F.col("n") >= least) & ~F.col("known"))
+    value = F.when(F.col("rule") != "not_null", F.array_join("key", "|"))
+    return broken.select(F.lit(table).alias("table"), "rule", "column", value.alias("value"), F.col("n").cast("long").alias("n"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_jobs.operators.upsert import upsert_merge
+from catalog_jobs.sources.tables import create_new
 
 MANIFEST = "date long, name string, md5 string"
 MIN_VERSION = "0.0.0"
@@ -35,17 +39,49 @@ def write_backup(tables: dict[str, DataFrame], folder: str, day: str) -> str:
 
 
 def package_checksum(spark: SparkSession, path: str) -> DataFrame:
-    """(md5, n_files): MD5 over the sorted MD5 of all files below path; file contents are hashed where they are read."""
-    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select(F.md5("content").alias("m"))
-    return parts.agg(F.md5(F.array_join(F.array_sort(F.collect_list("m")), "")).alias("md5"), F.count("*").alias("n_files"))
+    """(md5, n_rows) of all lines of the part files below path, each with the name of its table's folder.
+
+    Files are read as streams of lines, so that their size doesn't matter and large plain ones are hashed in pieces. Each line's MD5 is taken as four numbers;
+    their sums over all lines, with their count, are the digest's text. So it doesn't depend on how rows lie in files or on their compression,
+    and tells any lost, added or changed row. It guards against faults, not against forgery.
+    """
+    table = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/part-[^/]*$", 1)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").text(path).select(F.md5(F.concat(table, F.lit(":"), "value")).alias("m"))
+    sums = [F.coalesce(F.sum(F.conv(F.substring("m", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for i in range(4)]
+    return lines.agg(F.md5(F.concat_ws(":", F.count("*").cast("string"), *sums)).alias("md5"), F.count("*").alias("n_rows"))
 
 
 def register_package(manifest: DataFrame, date: int, name: str, md5: str) -> DataFrame:
-    """The manifest with one more package; of two in one second the later counts."""
+    """The manifest with one more package; of two in one second the later counts. See publish_package() for a stored one."""
     new = manifest.sparkSession.createDataFrame([(date, name, md5, 0)], MANIFEST + ", seq int")
     return upsert_merge(manifest, new, "date", ["seq"])
 
 
+def read_manifest(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """(version, rows) of the latest manifest that publish_package() wrote below path; version 0 and no rows if there is none."""
+    empty = spark.createDataFrame([], MANIFEST)
+    try:
+        rows = spark.read.schema(MANIFEST).json(path).withColumn("file", F.col("_metadata.file_name"))
+        last = rows.agg(F.max("file").alias("f")).first()["f"]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    return (0, empty) if last is None else (int(last.partition(".")[0]), rows.filter(F.col("file") == last).drop("file"))
+
+
+def publish_package(spark: SparkSession, path: str, date: int, name: str, md5: str, only: bool = False) -> int:
+    """The manifest's next version, with one more package, or with it alone after a rebuild: one whole file, which readers see at once. Of two jobs at a time the later one starts from the other's version.
+
+    A manifest has a row for each package, a few a day, and is written by the driver.
+    """
+    while True:
+        version, manifest = read_manifest(spark, path)
+        rows = register_package(manifest.limit(0) if only else manifest, date, name, md5).orderBy("date").collect()
+        if create_new(spark, f"{path}/{version + 1:012d}.json", "".join(json.dumps(r.asDict()) + "\n" for r in rows)):
+            return version + 1
+
+
 def package_kind(manifest: DataFrame) -> list[str]:
     """What a run makes, in order: the first a base package, then a backup; later ones a backup, then a daily package."""
     return ["base", "backup"] if manifest.isEmpty() else ["backup", "daily"]

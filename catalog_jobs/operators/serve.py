@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,21 +16,53 @@ LIST_COLUMNS = ["tags", "language", "translations", "genre", "voice", "os", "pre
 def browse(catalog: DataFrame, listing: DataFrame, page: int | None = None, per_page: int = 25, columns: list[str] | None = None, title: str = "title", key: str = "catalog_id", collation: str | None = None, tie: list[str] | None = None) -> DataFrame:
     """One page of the catalogue with its listing rows, by title, then key (or the columns of tie, which with the key identify a row); page 0 or none is the first.
 
-    Shallow pages are a top-k of offset + page rows over the keys alone; only the page's rows are then read whole. For deep pages see ranked_browse().
+    Shallow pages are a top-k of offset + page rows over the keys alone, which is run at once; its per_page keys then filter both scans. For deep pages see write_browse().
     """
     order, tie = F.collate(F.col(title), collation) if collation else F.col(title), tie or [key]
     own = [c for c in tie if c in listing.columns and c not in catalog.columns]
     keys = catalog.select(key, *dict.fromkeys([title, *(c for c in tie if c in catalog.columns)])).join(listing.select(key, *own), key)
-    page_keys = keys.orderBy(order, *tie).offset((max(page or 1, 1) - 1) * per_page).limit(per_page).select(key, *own).distinct()  # per_page rows at most
-    joined = listing.join(F.broadcast(page_keys), [key, *own], "left_semi").join(catalog.join(F.broadcast(page_keys.select(key).distinct()), key, "left_semi"), key)
+    page_keys = [r.asDict() for r in keys.orderBy(order, *tie).offset((max(page or 1, 1) - 1) * per_page).limit(per_page).select(key, *own).collect()]  # per_page rows at most
+
+    def there(df: DataFrame, names: list[str]) -> DataFrame:
+        for c in names:  # these reach the scan
+            df = df.filter(F.col(c).isin(list({r[c] for r in page_keys if r[c] is not None})) | (F.col(c).isNull() if any(r[c] is None for r in page_keys) else F.lit(False)))
+        return df
+
+    rows = there(listing, [key, *own])
+    if own and page_keys:
+        rows = rows.filter(reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(r[c])) for c in (key, *own))) for r in page_keys)))
+    joined = rows.join(there(catalog, [key]), key)
     if columns:
         joined = joined.select(*columns)
     return joined.orderBy(order, *tie).limit(per_page)
 
 
-def ranked_browse(catalog: DataFrame, listing: DataFrame, columns: list[str], title: str = "title", key: str = "catalog_id") -> DataFrame:
-    """The whole browse order with a `rank` from 0: write it once and filter by rank, so that deep pages need no sort."""
-    return dense_numbers(catalog.join(listing, key).select(*columns), [title, key], "rank")
+def ranked_browse(catalog: DataFrame, listing: DataFrame, columns: list[str], title: str = "title", key: str = "catalog_id", tie: list[str] | None = None) -> DataFrame:
+    """The whole browse order, by title, then key (or the columns of tie), with a `rank` from 0; see write_browse()."""
+    return dense_numbers(catalog.join(listing, key).select(*columns), [title, *(tie or [key])], "rank")
+
+
+def write_browse(ranked: DataFrame, path: str, group_bytes: int = 1 << 20) -> None:
+    """ranked_browse() rows as a table in order of rank, in small row groups: their statistics lead a page's filter to a few of them."""
+    rows = ranked.repartitionByRange("rank").sortWithinPartitions("rank")
+    rows.write.option("parquet.block.size", str(group_bytes)).option("parquet.page.size", str(group_bytes // 16)).parquet(path)
+
+
+def stored_page(ranks: DataFrame, page: int | None = None, per_page: int = 25) -> DataFrame:
+    """One page, however deep, of a write_browse() table: a range of ranks, no sort of other rows."""
+    first = (max(page or 1, 1) - 1) * per_page
+    return ranks.filter(F.col("rank").between(first, first + per_page - 1)).orderBy("rank")
+
+
+def page_after(ranks: DataFrame, last_title: object, last_key: object, per_page: int = 25, title: str = "title", key: str = "catalog_id") -> DataFrame:
+    """The page after a row, by its title and key: the row's rank is looked up by statistics of the title, which lies in the same order. If the row is gone, what comes next after its place follows."""
+    found = ranks.filter((F.col(title) == last_title) & (F.col(key) == last_key)).select((F.col("rank") + 1).alias("r")).first()
+    if found is None:
+        after = (F.col(title) > last_title) | ((F.col(title) == last_title) & (F.col(key) > last_key))
+        found = ranks.filter((F.col(title) >= last_title) & after).agg(F.min("rank").alias("r")).first()
+    if found["r"] is None:
+        return ranks.limit(0)
+    return ranks.filter(F.col("rank").between(found["r"], found["r"] + per_page - 1)).orderBy("rank")
 
 
 def page_total(catalog: DataFrame, page: int | None = None, per_page: int = 25) -> DataFrame:

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog_jobs.functions.text import null_if_blank
 from catalog_jobs.sources.tables import written
 
+if TYPE_CHECKING:
+    from catalog_jobs.operators.stored import IdMark
+
 
 def drop_blank(df: DataFrame, keep: Iterable[str] = (), epochs: Iterable[str] = ()) -> DataFrame:
     """Empty strings, and zeros of epoch columns, become null, so that upsert_merge leaves stored values alone."""
@@ -73,11 +78,17 @@ def dense_numbers(rows: DataFrame, by: list[str], name: str, start: Column | int
     return numbered.withColumn(name, (start + F.col("__before") + F.col("__local")).cast("long")).drop("__part", "__before", "__local")
 
 
-def assign_catalog_ids(catalog: DataFrame, new_rows: DataFrame, key: str = "id_name") -> DataFrame:
-    """(key, catalog_id) for keys that the catalogue lacks: numbers above its largest id, in key order. Stored ids never change."""
+def assign_catalog_ids(catalog: DataFrame, new_rows: DataFrame, key: str = "id_name", mark: IdMark | None = None) -> DataFrame:
+    """(key, catalog_id) for keys that the catalogue lacks: numbers above its largest id, in key order. Stored ids never change.
+
+    With a mark, ids are also above any that was ever given out, so that a deleted row's id isn't used again, and two jobs at a time get different ones.
+    """
     fresh = new_rows.select(key).filter(F.col(key).isNotNull()).distinct().join(catalog.select(key), key, "left_anti")
     top = catalog.agg(F.coalesce(F.max("catalog_id"), F.lit(0)).alias("m")).first()["m"]
-    return dense_numbers(fresh, [key], "catalog_id", top + 1)
+    if mark is None:
+        return dense_numbers(fresh, [key], "catalog_id", top + 1)
+    fresh = written(fresh, "fresh")  # as many ids are reserved as rows are numbered
+    return dense_numbers(fresh, [key], "catalog_id", mark.reserve(fresh.count(), top))
 
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
@@ -103,3 +114,44 @@ def unique_per_catalog(listing: DataFrame, key: str, order: list[str]) -> tuple[
     joined = with_id.join(last, "catalog_id").withColumn("__is", rank == F.col("__last"))
     rejects = joined.filter(~F.col("__is")).drop("__is", "__last").unionByName(listing.filter("coalesce(catalog_id, 0) <= 0"))
     return joined.filter("__is").drop("__is", "__last").dropDuplicates(["catalog_id"]), rejects
+
+
+def merge_two_keys(stored: DataFrame, batch: DataFrame, key: str, order: list[str], second: str = "catalog_id") -> tuple[DataFrame, DataFrame]:
+    """(stored with the batch's values, rejects) where both keys are unique: a batch row updates the stored row that has either of its keys, column by column, keys too.
+
+    So a row with a new `key` for a stored entity takes that row over, with all columns that the batch leaves null, and a stored row that comes with another
+    entity moves there. A batch row whose keys are those of two different stored rows is a reject (reason "keys of two rows"), and stored rows then stay as they are. Stored keys are those before the
+    batch. A row that moves away by its `key` leaves its entity free for others. Of rows for an entity that isn't stored the first by `order` decides which stored row they update,
+    if any. Rows without one of the keys (null, or entity 0) are rejects with reason "no key". Rejects hold the batch's columns.
+
+    Rows of one entity are only ever aggregated with partial maxima; stored rows are moved once, and only their two keys besides.
+    """
+    seq, names = F.struct(*(F.col(c) for c in order)), [c for c in batch.columns if c not in (key, second) and (c not in order or c in stored.columns)]
+    complete = F.coalesce(F.col(key).isNotNull() & (F.col(second) != 0), F.lit(False))
+    rows = written(batch.withColumn("__seq", seq), "batch")
+    good = rows.filter(complete)
+    # of one key's rows the last entity counts, and each column's last value
+    one = good.groupBy(key).agg(F.max_by(second, "__seq").alias(second), F.max("__seq").alias("__seq"), *(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__seq"))).alias(f"__{c}") for c in names))
+    by_key = stored.select(F.col(key).alias("__a"))
+    by_second = stored.filter(F.col(second).isNotNull()).select(F.col(key).alias("__b"), F.col(second).alias("__entity"))
+    found = one.join(by_key, F.col(key) == F.col("__a"), "left").join(by_second, F.col(second) == F.col("__entity"), "left").drop("__entity")
+    found = written(found, "found")
+    # rows that move: their key is stored, their entity isn't; of several for one entity only the first may
+    first = found.filter("__b is null").groupBy(second).agg(F.min_by("__a", "__seq").alias("__first"))
+    moved = written(first.filter("__first is not null").select(F.col("__first").alias("__moved")), "moved")
+    placed = found.join(first.withColumnRenamed(second, "__entity"), F.col(second) == F.col("__entity"), "left").join(moved, F.col("__b") == F.col("__moved"), "left")
+    left = F.col("__b").isNotNull() & F.col("__moved").isNotNull()  # the stored row of this entity goes elsewhere
+    target = F.when(F.col("__b").isNull(), F.col("__first")).when(~left, F.col("__b"))
+    two = F.col("__a").isNotNull() & ~F.col("__a").eqNullSafe(target)
+    judged = written(placed.select(key, second, "__seq", *(f"__{c}" for c in names), target.alias("__target"), two.alias("__two")), "judged")
+    good_rows = judged.filter("not __two")
+    value = [F.max_by(F.col(f"__{c}"), F.when(F.col(f"__{c}").isNotNull(), F.col("__seq"))).alias(f"__{c}") for c in names]
+    update = good_rows.groupBy(second).agg(F.max_by(key, "__seq").alias("__key"), F.max("__target").alias("__target"), *value).withColumnRenamed(second, "__second")
+    both = stored.join(update, F.col(key) == F.col("__target"), "full_outer")
+    columns = dict.fromkeys([*stored.columns, *names])
+    shown = {key: F.coalesce("__key", key), second: F.coalesce("__second", second)}
+    shown |= {c: F.coalesce(F.col(f"__{c}"), F.col(c)) if c in stored.columns else F.col(f"__{c}") for c in names}
+    merged = both.select(*(shown.get(c, F.col(c)).alias(c) for c in columns))
+    clash = rows.filter(complete).join(judged.filter("__two").select(F.col(key).alias("__bad")), F.col(key) == F.col("__bad"), "left_semi").withColumn("reason", F.lit("keys of two rows"))
+    rejects = clash.unionByName(rows.filter(~complete).withColumn("reason", F.lit("no key"))).drop("__seq")
+    return merged, rejects

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog_jobs.functions import text as tx
 from catalog_jobs.operators import changes, upsert
+from catalog_jobs.operators.stored import IdMark
 from catalog_jobs.sources import html as pages
 from catalog_jobs.sources.tables import written
 
@@ -35,10 +36,11 @@ class Merged:
     rejects: DataFrame
 
 
-def merge_rows(catalog: DataFrame, listing: DataFrame, rows: DataFrame, order: list[str], now: int, key: str = "thread_id", catalog_fields: list[str] | None = None, listing_fields: list[str] | None = None, drop_blanks: bool = True) -> Merged:
-    """Parsed rows into both tables: ids for new keys, column-wise upserts, one listing row for each entity.
+def merge_rows(catalog: DataFrame, listing: DataFrame, rows: DataFrame, order: list[str], now: int, key: str = "thread_id", catalog_fields: list[str] | None = None, listing_fields: list[str] | None = None, drop_blanks: bool = True, mark: IdMark | None = None) -> Merged:
+    """Parsed rows into both tables: ids for new keys (above `mark`'s, if there is one), column-wise upserts by both unique keys of a listing.
 
-    Rows without a key go to rejects first, so that they don't gather in one group. The rows are written once: all branches read that table.
+    A batch row that names a stored entity takes its listing row over, other columns stay; one whose keys are those of two stored rows is a reject. Rows of the batch
+    that another one for their entity replaced are listed with the rejects: their values count, their key names no row. Rows without a key go to rejects first, so that they don't gather in one group. The rows are written once: all branches read that table.
     """
     rows = written(rows, "rows")
     catalog_fields, listing_fields = catalog_fields or _CATALOG_FIELDS, listing_fields or _LISTING_FIELDS
@@ -48,14 +50,16 @@ def merge_rows(catalog: DataFrame, listing: DataFrame, rows: DataFrame, order: l
     if drop_blanks:
         epochs = [c for c in ("release_date", "thread_publish_date", "last_thread_comment") if c in entity.columns or c in entry.columns]
         entity, entry = (upsert.drop_blank(df, keep=["id_name", key], epochs=[c for c in epochs if c in df.columns]) for df in (entity, entry))
-    ids = upsert.assign_catalog_ids(catalog, entity)
+    ids = upsert.assign_catalog_ids(catalog, entity, mark=mark)
     known = catalog.unionByName(ids, allowMissingColumns=True)
     merged = written(upsert.upsert_merge(known, entity, "id_name", order).select(*catalog.columns), "catalog")
     entry = upsert.resolve_catalog_id(entry, merged).drop("id_name")
-    updated = upsert.upsert_merge(listing, entry, key, order)
-    one, extra = upsert.unique_per_catalog(updated, key, ["last_record_update"])
-    rejects = rows.filter(blank).select(F.col(key).cast("string").alias("key"), F.lit("no key").alias("reason"))
-    return Merged(merged, one.select(*listing.columns), rejects.unionByName(extra.select(F.col(key).cast("string").alias("key"), F.lit("entity has another row").alias("reason"))))
+    updated, clash = upsert.merge_two_keys(listing, entry, key, order)
+    updated = written(updated.select(*listing.columns), "listing")
+    named = lambda df, reason: df.select(F.col(key).cast("string").alias("key"), reason.alias("reason"))
+    replaced = entry.select(key).distinct().join(updated.select(key), key, "left_anti").join(clash.select(key), key, "left_anti")
+    rejects = named(rows.filter(blank), F.lit("no key")).unionByName(named(clash.dropDuplicates([key]), F.col("reason"))).unionByName(named(replaced, F.lit("entity has another row")))
+    return Merged(merged, updated, rejects)
 
 
 def forum_crawl(catalog: DataFrame, listing: DataFrame, list_pages: DataFrame, detail_pages: DataFrame, now: int, base_url: str = "", stop_at_stale: bool = False, require_details: bool = False) -> Merged:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog_jobs.functions import text as tx
 from catalog_jobs.operators import changes, contracts, export, layout, serve, upsert
+from catalog_jobs.operators.stored import BucketedTable, IdMark, delta_stored, snapshot_diff_stored, write_snapshot
 from catalog_jobs.plans import forum
 from catalog_jobs.plans.sql import ORACLE_SQL
 from catalog_jobs.sources import frontier as front
@@ -450,6 +452,136 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+def stream_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as two folders of crawl files, read by two streams at a time into one table: the later stamp of each thread stays, whoever comes first."""
+    schema = "thread_id long, last_thread_comment long, title string"
+    at = F.unix_timestamp("ts")
+    events = _read(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("thread_id"), at.alias("last_thread_comment"), F.concat(F.lit("t"), at.cast("string")).alias("title"), at.alias("fetched_at"), "event_id")
+    base = new_path(spark, "threads")
+    runs = []
+    for half in (0, 1):
+        crawl = new_path(spark, "crawl")
+        events.filter(F.col("event_id") % 2 == half).write.parquet(crawl)
+        runs.append(ingest_stream(spark, crawl, f"{schema}, fetched_at long, event_id long", VersionedTable(spark, base, schema, width=200), new_path(spark, "run"), order=["fetched_at", "event_id"]))
+    for run in runs:
+        run.awaitTermination()
+    return VersionedTable(spark, base, schema, width=200).read()
+
+
+def _two_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as a listing of threads and entities, and a batch that updates, takes over, moves and clashes with its rows."""
+    k = F.col("c_custkey").cast("long")
+    customer = _read(spark, sf_dir, "customer")
+    stored = customer.select(k.alias("thread_id"), (k + 1_000_000).alias("catalog_id"), F.col("c_name").alias("banner_url"), F.col("c_nationkey").cast("long").alias("views"))
+    kind = k % 5
+    thread = F.when(kind == 0, k + 10_000_000).when(kind == 4, k + 20_000_000).otherwise(k)
+    entity = F.when(kind < 2, k + 1_000_000).when(kind == 2, k + 1_000_001).when(kind == 3, k + 5_000_000).otherwise(k + 20_000_000)
+    banner = F.when(kind == 1, F.concat(F.lit("new "), F.col("c_name")))
+    batch = customer.select(thread.alias("thread_id"), entity.alias("catalog_id"), banner.alias("banner_url"), k.alias("views"), F.lit(1).alias("seq"))
+    # entities that the third kind leaves, and entities given twice
+    more = customer.filter(k % 10 == 3).select((k + 30_000_000).alias("thread_id"), (k + 1_000_000).alias("catalog_id"), F.lit(None).cast("string").alias("banner_url"), (-k).alias("views"), F.lit(2).alias("seq"))
+    again = customer.filter(k % 10 == 4).select((k + 40_000_000).alias("thread_id"), (k + 20_000_000).alias("catalog_id"), F.lit("again").alias("banner_url"), F.lit(None).cast("long").alias("views"), F.lit(3).alias("seq"))
+    none = customer.filter(k % 50 == 0).select((k + 50_000_000).alias("thread_id"), F.lit(0).cast("long").alias("catalog_id"), F.lit("none").alias("banner_url"), k.alias("views"), F.lit(4).alias("seq"))
+    return stored, batch.unionByName(more).unionByName(again).unionByName(none)
+
+
+def two_key_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.merge_two_keys(*_two_keys(spark, sf_dir), "thread_id", ["seq"])[0]
+
+
+def two_key_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.merge_two_keys(*_two_keys(spark, sf_dir), "thread_id", ["seq"])[1].select("thread_id", "catalog_id", "views", "reason")
+
+
+def _bucketed(spark: SparkSession, df: DataFrame, key: str) -> BucketedTable:
+    table = BucketedTable(spark, f"stored_{uuid.uuid4().hex}", key, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table.save(df)
+    return table
+
+
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, batch = _halves(spark, sf_dir)
+    return _bucketed(spark, old, "user_id").upsert(upsert.drop_blank(batch), ["ts", "event_id"])
+
+
+def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing, stored = _listing(spark, sf_dir)
+    return _bucketed(spark, stored, "thread_id").changed(listing)
+
+
+def _states(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Two snapshots of snapshot_diff()'s states, with digests for ranges of ten users."""
+    paths = [new_path(spark, "snapshot") for _ in range(2)]
+    for path, (to, least) in zip(paths, (("2024-01-05", 0), (CUT, 3)), strict=True):
+        rows = _read(spark, sf_dir, "events").filter((F.col("ts") < to) & (F.col("user_id") >= least)).groupBy(F.col("user_id").alias("catalog_id"))
+        state = rows.agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.count_if(F.col("event_type") == "purchase").alias("n_bought"))
+        write_snapshot(state, path, width=10, stamp=None)
+    return paths
+
+
+def snapshot_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_diff_stored(spark, *_states(spark, sf_dir))
+
+
+def delta_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "snapshot")
+    write_snapshot(_users(spark, sf_dir), path, width=10)
+    return delta_stored(spark, path, 1706500000)
+
+
+def assign_ids_durable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids for new keys after the catalogue's upper half was deleted: none of the deleted ids comes again."""
+    customer = _read(spark, sf_dir, "customer").select(tx.norm(F.col("c_name")).alias("id_name"), F.col("c_custkey").alias("catalog_id"), "c_nationkey")
+    mark = IdMark(spark, new_path(spark, "mark"))
+    mark.reserve(0, customer.agg(F.max("catalog_id")).first()[0] or 0)
+    half = customer.filter("c_nationkey < 10")
+    return upsert.assign_catalog_ids(half, customer.select(F.concat("id_name", F.lit("B")).alias("id_name")), mark=mark)
+
+
+def manifest_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published manifest of a base and a daily package, with the checksums of their rows."""
+    path, manifest = new_path(spark, "package"), new_path(spark, "manifest")
+    users = written(_users(spark, sf_dir), "users")
+    for date, start, kind in ((100, 0, "base"), (200, 1706500000, "daily")):
+        export.write_package({"catalog": users}, f"{path}/{kind}", start, {"catalog": "catalog_id"})
+        export.publish_package(spark, manifest, date, kind, export.package_checksum(spark, f"{path}/{kind}").first()["md5"])
+    version, rows = export.read_manifest(spark, manifest)
+    return rows.withColumn("version", F.lit(version))
+
+
+def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as bodies of a feed, a fifth of each kind of fault, and how many games and rejects each gives."""
+    kind, number = F.col("event_id") % 6, F.col("event_id").cast("string")
+    def page(game: str) -> Column:
+        return F.concat(F.lit('{"msg": {"data": [' + game), number, F.lit("}]}}"))
+
+    body = F.when(kind == 0, page('{"thread_id": ')).when(kind == 1, F.lit("{broken")).when(kind == 2, F.lit('{"msg": {}}')).when(kind == 3, page('{"views": ')).when(kind == 4, page('{"views": "many", "thread_id": '))
+    events = _read(spark, sf_dir, "events").select("event_id", body.alias("html"))
+    games, rejects = readers.split_latest_feed(events)
+    both = games.select("event_id", F.lit(None).cast("string").alias("reason"), "pos", "thread_id", "views")
+    return both.unionByName(rejects.select("event_id", "reason", "pos"), allowMissingColumns=True)
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = serve.ranked_browse(_customers(spark, sf_dir), _orders(spark, sf_dir), ["title", "creator", "catalog_id", "thread_id", "tags", "stamp"], tie=["thread_id"])
+    path = new_path(spark, "browse")
+    serve.write_browse(ranked, path)
+    return spark.read.parquet(path)
+
+
+def browse_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page from the middle of the stored order."""
+    ranks = _ranks(spark, sf_dir)
+    return serve.stored_page(ranks, ranks.count() // 50 + 1)
+
+
+def browse_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after the last row of the second one."""
+    ranks = _ranks(spark, sf_dir)
+    last = serve.stored_page(ranks, 2).orderBy(F.desc("rank")).first()
+    return serve.page_after(ranks, last["title"], last["thread_id"], key="thread_id") if last else ranks
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -457,5 +589,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         upsert_merge, upsert_replace, resolve_ids, assign_ids, unique_listing, maker_lookup, changed_rows, prefix_until_stale, exclude_label, details_join, feed_explode, product_explode, app_explode,
         delta_export, snapshot_diff, list_packages, union_sources, page_links, page_labels, contract_violations, frontier, layout_plan, asset_plan, nested_drop,
         listing_items, listing_rejects, detail_fields, page_fields, maker_pages, crawl_read, package_rows, backup_rows, response_numbers, feed_merge, crawl_merge, stream_ingest,
+        stream_writers, two_key_merge, two_key_rejects, stored_upsert, stored_changes, snapshot_ranges, delta_ranges, assign_ids_durable, manifest_sums, feed_rejects, browse_deep, browse_after,
     )
 }

@@ -28,6 +28,17 @@ CASE WHEN label = 'Completed' THEN label ELSE '' END AS status, 'Order & Co ' ||
 epoch(date_trunc('second', o_orderdate))::BIGINT AS stamp, o_custkey AS replies, CASE WHEN o_orderkey >= 1000 THEN o_orderkey // 1000 * 1000 ELSE o_orderkey END AS views, (o_orderkey % 5)::DOUBLE + 0.5 AS rating,
 o_orderkey AS thread_id, 'ORDERCO' || o_orderkey AS short_name, 'ORDERCO' || o_orderkey || '_' || upper(o_orderpriority) AS id_name FROM o)"""
 
+_TWO = """k AS (SELECT c_custkey::BIGINT AS k, c_name AS name, c_nationkey::BIGINT AS nation, c_custkey % 5 AS kind FROM customer), s AS (SELECT max(k) AS top FROM k)"""
+_LINES = """u AS (SELECT user_id AS c, epoch(date_trunc('second', max(ts) FILTER (event_id % 4 > 0)))::BIGINT AS l, count(*) AS n FROM events GROUP BY user_id),
+lines AS (SELECT l, 'catalog:{"catalog_id":' || c || ',"last_record_update":' || l || ',"n":' || n || '}' AS line FROM u WHERE l > 0 UNION ALL SELECT NULL, 'header:{"min_ver":"0.0.0"}')"""
+
+
+def _sums(where: str) -> str:
+    """The checksum of some lines."""
+    parts = " || ':' || ".join(f"sum(('0x' || substr(md5(line), {8 * i + 1}, 8))::BIGINT)" for i in range(4))
+    return f"(SELECT md5(count(*) || ':' || {parts}) FROM lines WHERE {where})"
+
+
 ORACLE_SQL = {
     "title_parse": f"""
 WITH t AS (SELECT p_partkey, string_split(p_name || (['', ' [' || p_brand || ']', ' [v' || p_size || '] [' || p_brand || ']', ' [Final]'])[p_partkey % 4 + 1], '[') AS s FROM part),
@@ -138,4 +149,24 @@ SELECT row_number() OVER (ORDER BY id_name) AS catalog_id, id_name, title, 'v1'
 SELECT row_number() OVER (ORDER BY id_name) AS catalog_id, id_name, title, CASE WHEN thread_id % 2 = 0 THEN 'by clerk ' || replies END AS overview, CASE WHEN thread_id % 2 = 0 THEN 'Win' END AS os, thread_id, views, stamp AS last_thread_comment
 FROM items WHERE good AND category <> 'README'""",
     "stream_ingest": """SELECT event_id % 500 AS thread_id, max(epoch(date_trunc('second', ts)))::BIGINT AS last_thread_comment, arg_max(event_type, (date_trunc('second', ts), event_id)) AS title FROM events GROUP BY 1""",
+    "stream_writers": "SELECT event_id % 500 AS thread_id, max(epoch(date_trunc('second', ts)))::BIGINT AS last_thread_comment, 't' || max(epoch(date_trunc('second', ts)))::BIGINT AS title FROM events GROUP BY 1",
+    "two_key_merge": f"""WITH {_TWO}
+SELECT CASE kind WHEN 0 THEN k + 10000000 ELSE k END AS thread_id, CASE WHEN kind = 3 THEN k + 5000000 WHEN kind = 2 AND k = top THEN k + 1000001 ELSE k + 1000000 END AS catalog_id,
+CASE kind WHEN 1 THEN 'new ' || name ELSE name END AS banner_url, CASE WHEN kind IN (0, 1, 3) OR kind = 2 AND k = top THEN k ELSE nation END AS views FROM k, s
+UNION ALL SELECT CASE WHEN k % 10 = 4 THEN k + 40000000 ELSE k + 20000000 END, k + 20000000, CASE WHEN k % 10 = 4 THEN 'again' END, k FROM k WHERE kind = 4
+UNION ALL SELECT k + 30000000, k + 1000000, NULL, -k FROM k WHERE k % 10 = 3""",
+    "two_key_rejects": f"""WITH {_TWO} SELECT k AS thread_id, k + 1000001 AS catalog_id, k AS views, 'keys of two rows' AS reason FROM k, s WHERE kind = 2 AND k < top
+UNION ALL SELECT k + 50000000, 0, k, 'no key' FROM k WHERE k % 50 = 0""",
+    "assign_ids_durable": f"""WITH n AS (SELECT DISTINCT {norm("c_name")} || 'B' AS id_name FROM customer)
+SELECT id_name, (SELECT coalesce(max(c_custkey), 0) FROM customer) + row_number() OVER (ORDER BY id_name) AS catalog_id FROM n""",
+    "manifest_sums": f"""WITH {_LINES} SELECT 100::BIGINT AS date, 'base' AS name, {_sums("l > 0 OR l IS NULL")} AS md5, 2 AS version UNION ALL SELECT 200, 'daily', {_sums("l > 1706500000 OR l IS NULL")}, 2""",
+    "feed_rejects": """WITH e AS (SELECT event_id, event_id % 6 AS kind FROM events)
+SELECT event_id, NULL AS reason, 0 AS pos, event_id AS thread_id, NULL::BIGINT AS views FROM e WHERE kind IN (0, 4)
+UNION ALL SELECT event_id, CASE kind WHEN 1 THEN 'broken' WHEN 2 THEN 'no list' WHEN 3 THEN 'no thread' WHEN 4 THEN 'unread fields' ELSE 'no body' END, CASE WHEN kind = 3 THEN 0 END, NULL, NULL FROM e WHERE kind IN (1, 2, 3, 4, 5)""",
+    "browse_deep": f"""WITH {_CUSTOMERS}, {_ORDERS}, r AS (SELECT title, creator, catalog_id, thread_id, tags, stamp, row_number() OVER (ORDER BY title, thread_id) - 1 AS rank, count(*) OVER () AS n FROM cu JOIN o USING (catalog_id))
+SELECT * EXCLUDE n FROM r WHERE rank >= n // 50 * 25 AND rank < n // 50 * 25 + 25 ORDER BY rank""",
+    "browse_after": f"""WITH {_CUSTOMERS}, {_ORDERS}, r AS (SELECT title, creator, catalog_id, thread_id, tags, stamp, row_number() OVER (ORDER BY title, thread_id) - 1 AS rank FROM cu JOIN o USING (catalog_id))
+SELECT * FROM r WHERE rank BETWEEN 50 AND 74 ORDER BY rank""",
 }
+#: The same results by another way.
+ORACLE_SQL |= {"stored_upsert": ORACLE_SQL["upsert_merge"], "stored_changes": ORACLE_SQL["changed_rows"], "snapshot_ranges": ORACLE_SQL["snapshot_diff"], "delta_ranges": ORACLE_SQL["delta_export"]}

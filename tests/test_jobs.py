@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog_jobs.operators import changes, contracts, export, layout, serve, upsert
 from catalog_jobs.plans import forum
 from catalog_jobs.sources import frontier, html, readers
-from catalog_jobs.streaming.ingest import VersionedTable, ingest_stream
+from catalog_jobs.streaming.ingest import VersionedTable, ingest_stream, run_id
 
 
 def rows(df, *columns):
@@ -204,7 +204,8 @@ def test_stream(spark, tmp_path):
     assert run() == [(1, 6, "b"), (2, 2, "d"), (15, 1, "e")]  # each file counts once
     put((30, 9, "new", 4))
     assert run("fresh") == [(1, 6, "b"), (2, 2, "d"), (15, 1, "e"), (30, 9, "new")]  # a fresh checkpoint reads all files again and goes on from the table
-    assert table.latest() == 2 and table.has(f"{tmp_path}/cp", 0) and table.has(f"{tmp_path}/fresh", 0) and not table.has(f"{tmp_path}/fresh", 1)
+    cp, fresh = (run_id(spark, f"{tmp_path}/{c}") for c in ("cp", "fresh"))
+    assert table.latest() == 2 and table.has(cp, 0) and table.has(fresh, 0) and not table.has(fresh, 1)
 
 
 def test_crawl_pages_are_filtered_in_the_scan(spark, tmp_path):
