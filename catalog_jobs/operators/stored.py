@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,26 @@ from catalog_jobs.operators.changes import mark_changed
 from catalog_jobs.operators.export import delta, snapshot_diff
 from catalog_jobs.sources.tables import create_new
 
+if TYPE_CHECKING:
+    from catalog_jobs.plans.forum import Merged
+
+
+def upsert_joined(stored: DataFrame, batch: DataFrame, key: str, order: list[str], buckets: int | None = None) -> DataFrame:
+    """upsert_merge() where `stored` has each key once: of each column the batch's last value that isn't null, else the stored one.
+
+    The stored side is joined and not aggregated, so that it stays where it lies if it is bucketed by the key; buckets: deals the batch to as many.
+    """
+    seq = F.struct(*order)
+    names = [c for c in batch.columns if c != key and (c not in order or c in stored.columns)]
+    # one row a key, by partial maxima, before the batch is dealt to the buckets: common keys don't gather
+    last = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(*(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), seq)).alias(f"__{c}") for c in names))
+    last = last.repartition(buckets, key) if buckets else last
+    both = stored.join(last.withColumnRenamed(key, "__key").hint("merge"), F.col(key) == F.col("__key"), "full_outer")
+    columns = dict.fromkeys([*stored.columns, *names])
+    shown = {key: F.coalesce(key, "__key")}
+    shown |= {c: F.coalesce(F.col(f"__{c}"), F.col(c)) if c in stored.columns else F.col(f"__{c}") for c in names}
+    return both.select(*(shown.get(c, F.col(c)).alias(c) for c in columns))
+
 
 class BucketedTable:
     """A table of the catalogue in buckets of its key, sorted within each.
@@ -40,16 +63,8 @@ class BucketedTable:
         return batch.filter(F.col(self.key).isNotNull()).repartition(self.buckets, self.key)
 
     def upsert(self, batch: DataFrame, order: list[str]) -> DataFrame:
-        """What upsert_merge() of the table and the batch gives: of each column the last value that isn't null, the stored one before the batch's."""
-        stored, seq = self.read(), F.struct(*order)
-        names = [c for c in batch.columns if c != self.key and (c not in order or c in stored.columns)]
-        # one row a key, by partial maxima, before the batch is dealt to the buckets: common keys don't gather
-        last = batch.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(*(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), seq)).alias(f"__{c}") for c in names))
-        both = stored.join(self.dealt(last).withColumnRenamed(self.key, "__key").hint("merge"), F.col(self.key) == F.col("__key"), "full_outer")
-        columns = dict.fromkeys([*stored.columns, *names])
-        shown = {self.key: F.coalesce(self.key, "__key")}
-        shown |= {c: F.coalesce(F.col(f"__{c}"), F.col(c)) if c in stored.columns else F.col(f"__{c}") for c in names}
-        return both.select(*(shown.get(c, F.col(c)).alias(c) for c in columns))
+        """What upsert_merge() of the table and the batch gives."""
+        return upsert_joined(self.read(), batch, self.key, order, self.buckets)
 
     def changed(self, listing: DataFrame, stamp: str = "last_thread_comment") -> DataFrame:
         """The changed or new rows of a listing; those without a key are new."""
@@ -135,3 +150,57 @@ class IdMark:
             first = max(top, above) + 1
             if create_new(self.spark, f"{self.path}/{seq + 1:012d}.json", json.dumps({"seq": seq + 1, "top": first + n - 1}) + "\n"):
                 return first
+
+
+class CatalogStore:
+    """The catalogue and a listing as bucketed tables of successive versions, and a log with a file for each: `<path>/<version>.json` names the two tables.
+
+    A run merges into the latest version and saves the next one; it counts once its log file exists, which only one run can create. A run that another
+    one gets ahead of starts again from that one's version. New ids come from a mark beside the log, so that they stay unique. Stored rows are read in the partitioning that they were saved in.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, catalog_schema: str, listing_schema: str, key: str = "thread_id", entity: str = "id_name", buckets: int = 200):
+        self.spark, self.path, self.buckets, self.keys = spark, path.rstrip("/"), buckets, {"catalog": entity, "listing": key}
+        self.schemas = {"catalog": catalog_schema, "listing": listing_schema}
+        self.mark = IdMark(spark, f"{self.path}/ids")
+
+    def _versions(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema("version long, catalog string, listing string").json(f"{self.path}/log")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def latest(self) -> int:
+        log = self._versions()
+        return 0 if log is None else log.agg(F.max("version")).first()[0]
+
+    def read(self, version: int | None = None) -> dict[str, DataFrame]:
+        """The catalogue and listing of a version, the latest by default; empty ones before the first."""
+        version = self.latest() if version is None else version
+        if not version:
+            return {name: self.spark.createDataFrame([], schema) for name, schema in self.schemas.items()}
+        named = self._versions().filter(F.col("version") == version).first()
+        return {name: self.spark.table(named[name]) for name in self.keys}
+
+    def apply(self, merge: Callable[[DataFrame, DataFrame, IdMark], Merged]) -> tuple[int, DataFrame]:
+        """(version, rejects) of one run: merge(catalog, listing, mark) gives .catalog, .listing and .rejects, as the jobs of plans/forum.py do."""
+        while True:
+            version = self.latest()
+            stored = self.read(version)
+            made = merge(stored["catalog"], stored["listing"], self.mark)
+            tables = {name: BucketedTable(self.spark, f"{name}_{uuid.uuid4().hex}", key, self.buckets) for name, key in self.keys.items()}
+            for name, table in tables.items():
+                table.save(getattr(made, name))
+            entry = {"version": version + 1} | {name: table.name for name, table in tables.items()}
+            if create_new(self.spark, f"{self.path}/log/{version + 1:012d}.json", json.dumps(entry) + "\n"):
+                return version + 1, made.rejects
+            for table in tables.values():
+                table.drop()
+
+    def forget(self, before: int) -> None:
+        """Drops the tables of versions before one: those can't be read any more."""
+        for r in self._versions().filter(F.col("version") < before).collect():  # a row for each version
+            for name in self.keys:
+                self.spark.sql(f"DROP TABLE IF EXISTS {r[name]}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog_jobs.functions import text as tx
 from catalog_jobs.operators import changes, upsert
-from catalog_jobs.operators.stored import IdMark
+from catalog_jobs.operators.stored import IdMark, upsert_joined
 from catalog_jobs.sources import html as pages
 from catalog_jobs.sources.tables import written
 
@@ -51,8 +51,8 @@ def merge_rows(catalog: DataFrame, listing: DataFrame, rows: DataFrame, order: l
         epochs = [c for c in ("release_date", "thread_publish_date", "last_thread_comment") if c in entity.columns or c in entry.columns]
         entity, entry = (upsert.drop_blank(df, keep=["id_name", key], epochs=[c for c in epochs if c in df.columns]) for df in (entity, entry))
     ids = upsert.assign_catalog_ids(catalog, entity, mark=mark)
-    known = catalog.unionByName(ids, allowMissingColumns=True)
-    merged = written(upsert.upsert_merge(known, entity, "id_name", order).select(*catalog.columns), "catalog")
+    entity = entity.join(ids.withColumnRenamed("catalog_id", "__new_id"), "id_name", "left").withColumn("catalog_id", F.col("__new_id")).drop("__new_id")  # null for known ones, which keep theirs
+    merged = written(upsert_joined(catalog, entity, "id_name", order).select(*catalog.columns), "catalog")
     entry = upsert.resolve_catalog_id(entry, merged).drop("id_name")
     updated, clash = upsert.merge_two_keys(listing, entry, key, order)
     updated = written(updated.select(*listing.columns), "listing")
@@ -62,7 +62,7 @@ def merge_rows(catalog: DataFrame, listing: DataFrame, rows: DataFrame, order: l
     return Merged(merged, updated, rejects)
 
 
-def forum_crawl(catalog: DataFrame, listing: DataFrame, list_pages: DataFrame, detail_pages: DataFrame, now: int, base_url: str = "", stop_at_stale: bool = False, require_details: bool = False) -> Merged:
+def forum_crawl(catalog: DataFrame, listing: DataFrame, list_pages: DataFrame, detail_pages: DataFrame, now: int, base_url: str = "", stop_at_stale: bool = False, require_details: bool = False, mark: IdMark | None = None) -> Merged:
     """Listing pages (page_no, html) and detail pages (url, html) into both tables; only changed threads' details are parsed, and each page once."""
     parsed, bad = pages.listing_rows(written(pages.listing_items(list_pages), "items"), base_url)
     marked = changes.mark_changed(parsed, listing)
@@ -70,20 +70,20 @@ def forum_crawl(catalog: DataFrame, listing: DataFrame, list_pages: DataFrame, d
     wanted = changes.wanted_details(detail_pages.withColumnRenamed("url", "site_url"), rows).withColumnRenamed("site_url", "url")
     details, no_post = pages.detail_rows(written(pages.detail_items(wanted), "details"))
     full = changes.join_details(rows, details, require_details=require_details).withColumn("likes", F.col("likes").try_cast("long"))
-    merged = merge_rows(catalog, listing, full, ["page_no", "pos"], now)
+    merged = merge_rows(catalog, listing, full, ["page_no", "pos"], now, mark=mark)
     more = bad.select(F.concat_ws("/", "page_no", "pos").alias("key"), F.lit("no date or links").alias("reason"))
     return Merged(merged.catalog, merged.listing, merged.rejects.unionByName(more).unionByName(no_post.select(F.col("site_url").alias("key"), F.lit("no post").alias("reason"))))
 
 
-def latest_feed(catalog: DataFrame, listing: DataFrame, games: DataFrame, now: int, order: list[str]) -> Merged:
+def latest_feed(catalog: DataFrame, listing: DataFrame, games: DataFrame, now: int, order: list[str], mark: IdMark | None = None) -> Merged:
     """read_latest_feed() rows into both tables."""
     fields = ["id_name", "title", "short_name", "version", "creator"]
-    return merge_rows(catalog, listing, games, order, now, catalog_fields=fields, listing_fields=["thread_id", "id_name", "views", "likes", "rating", "banner_url", "site_url", "screens"])
+    return merge_rows(catalog, listing, games, order, now, catalog_fields=fields, listing_fields=["thread_id", "id_name", "views", "likes", "rating", "banner_url", "site_url", "screens"], mark=mark)
 
 
-def store_feed(catalog: DataFrame, listing: DataFrame, products: DataFrame, makers: DataFrame, now: int, order: list[str]) -> Merged:
+def store_feed(catalog: DataFrame, listing: DataFrame, products: DataFrame, makers: DataFrame, now: int, order: list[str], mark: IdMark | None = None) -> Merged:
     """read_product_json() products into both tables; blank values overwrite here."""
     named = changes.lookup_maker(products, makers)
     named = named.withColumns({"short_name": tx.short_name(F.col("title")), "id_name": tx.entity_key(F.col("title"), F.col("creator"))})
     fields = ["id_name", "title", "short_name", "version", "creator"]
-    return merge_rows(catalog, listing, named, order, now, "product_id", fields, ["product_id", "id_name", "maker_id", "site_url", "banner_url", "work_type", "register_date"], drop_blanks=False)
+    return merge_rows(catalog, listing, named, order, now, "product_id", fields, ["product_id", "id_name", "maker_id", "site_url", "banner_url", "work_type", "register_date"], drop_blanks=False, mark=mark)

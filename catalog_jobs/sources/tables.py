@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +26,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folder of the current job by application, inside temporary_tables().
+_JOBS: dict[str, str] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    job = _JOBS.get(spark.sparkContext.applicationId)
+    return f"{shared_folder(spark)}/{job + '/' if job else ''}{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """All that a job writes for itself inside this block goes at its end: results must be written or collected by then. One job of an application at a time."""
+    job, app = f"job-{uuid.uuid4().hex}", spark.sparkContext.applicationId
+    before = _JOBS.get(app)
+    _JOBS[app] = job
+    try:
+        yield
+    finally:
+        if before is None:
+            del _JOBS[app]
+        else:
+            _JOBS[app] = before
+        delete(spark, f"{shared_folder(spark)}/{job}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark reaches; nothing if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

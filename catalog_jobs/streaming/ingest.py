@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from catalog_jobs.operators.changes import changed_threads
 from catalog_jobs.operators.upsert import upsert_merge
-from catalog_jobs.sources.tables import create_new, written
+from catalog_jobs.sources.tables import create_new, delete, written
 
 #: One file for each version: the run and batch that it came from, and the folder and key ranges that it wrote.
 LOG = "version long, source string, batch long, folder string, parts array<long>"
@@ -91,6 +91,22 @@ class VersionedTable:
                 return version
 
 
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Deletes the folders of failed tries, and those that the last `keep` versions don't read; run it while no writer is at work. Returns their names.
+
+        Older versions can't be read afterwards; the log stays whole, so that no batch counts twice.
+        """
+        log, last = self.log(), self.latest()
+        live = set()
+        for version in range(max(0, last - keep + 1), last + 1):
+            live |= {r["folder"] for r in log.filter(F.col("version") <= version).groupBy("part").agg(F.max_by("folder", "version").alias("folder")).collect()}  # a row for each key range
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.base}/data").select(F.regexp_extract("path", "/data/([^/]+)/", 1).alias("folder"))
+        old = sorted(r["folder"] for r in files.distinct().collect() if r["folder"] not in live)  # a name for each try
+        for folder in old:
+            delete(self.spark, f"{self.base}/data/{folder}")
+        return old
+
+
 def run_id(spark: SparkSession, checkpoint: str) -> str:
     """The id that a streaming query keeps in its checkpoint: a new checkpoint at an old path is another run."""
     return json.loads(spark.read.text(f"{checkpoint}/metadata").filter("value like '{%'").first()["value"])["id"]

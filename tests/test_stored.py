@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from catalog_jobs.operators import changes, contracts, export, serve, stored, upsert
 from catalog_jobs.plans import forum
 from catalog_jobs.sources import readers
-from catalog_jobs.sources.tables import create_new
+from catalog_jobs.sources.tables import create_new, new_path, temporary_tables, written
 from catalog_jobs.streaming import ingest
 from catalog_jobs.streaming.ingest import Conflict, VersionedTable, ingest_stream, run_id
 from tests.test_jobs import rows
@@ -72,6 +72,28 @@ def test_a_batch_that_is_logged_but_not_checkpointed(spark, tmp_path):
     assert run(spark, tmp_path, table) == [(1, 5, "a")] and table.latest() == 0
 
 
+def test_folders_that_nothing_reads_go(spark, tmp_path, monkeypatch):
+    table = VersionedTable(spark, f"{tmp_path}/t", ROWS, width=10)
+    frame = lambda *v: spark.createDataFrame(list(v), ROWS)
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "create_new", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            table.write(frame((1, 1, "failed")), "x", 0)
+    for n, v in enumerate([(1, 1, "a"), (15, 1, "b"), (1, 2, "c"), (1, 3, "d")]):
+        table.write(frame(v), "x", n)
+    assert len(table.vacuum(keep=2)) == 2  # the failed try, and the first version's
+    assert rows(table.read()) == [(1, 3, "d"), (15, 1, "b")] and rows(table.read(2)) == [(1, 2, "c"), (15, 1, "b")]
+    assert table.vacuum(keep=2) == [] and table.has("x", 0)
+
+
+def test_tables_of_a_job_go_at_its_end(spark):
+    with temporary_tables(spark):
+        kept = rows(written(spark.range(3), "a"))
+        folder = new_path(spark, "b").rpartition("/")[0]
+        assert Path(folder).is_dir()
+    assert kept == [(0,), (1,), (2,)] and not Path(folder).exists() and new_path(spark, "b").count("/job-") == 0
+
+
 def test_two_writers_of_one_table(spark, tmp_path):
     one, two = (VersionedTable(spark, f"{tmp_path}/t", ROWS, width=10) for _ in range(2))
     frame = lambda *v: spark.createDataFrame(list(v), ROWS)
@@ -383,3 +405,60 @@ def test_a_browse_page_filters_both_scans(spark, tmp_path):
     assert [(r.title, r.thread_id) for r in page.collect()] == [(f"T{i % 7}", i) for i in sorted(range(70), key=lambda i: (i % 7, i))][8:16]
     assert plan(page).count("PushedFilters: [In(catalog_id") + plan(page).count("In(catalog_id, [") >= 2
     assert serve.browse(catalog, listing, 100, tie=["thread_id"]).count() == 0
+
+
+FEED = "thread_id long, title string, creator string, version string, views long, likes long, rating double, banner_url string, site_url string, screens string, short_name string, id_name string, n int"
+
+
+def games(spark, *values):
+    return spark.createDataFrame([(t, name, "B", "v1", n, None, None, banner, f"/t/{t}", None, name.upper(), f"{name.upper()}_B", n) for t, name, banner, n in values], FEED)
+
+
+def test_runs_over_stored_versions(spark, tmp_path):
+    store = stored.CatalogStore(spark, f"{tmp_path}/store", forum.CATALOG, forum.FORUM_LISTING, buckets=5)
+    runs = [games(spark, (1, "a", "/x", 1), (2, "b", None, 2)), games(spark, (3, "a", None, 3), (4, "c", "/y", 4)), games(spark, (2, "c", None, 5))]
+    catalog, listing, plans = (spark.createDataFrame([], s) for s in (forum.CATALOG, forum.FORUM_LISTING)), None, []
+    catalog, listing = catalog
+    for k, batch in enumerate(runs):
+        def merge(c, o, mark, batch=batch, k=k):
+            made = forum.latest_feed(c, o, batch, 100 * k, ["n"], mark)
+            plans.append(made)
+            return made
+
+        version, rejects = store.apply(merge)
+        plain = forum.latest_feed(catalog, listing, batch, 100 * k, ["n"])
+        catalog, listing = plain.catalog, plain.listing
+        now = store.read()
+        assert version == k + 1 and rows(rejects) == rows(plain.rejects)
+        assert rows(now["catalog"], "catalog_id", "id_name", "title") == rows(catalog, "catalog_id", "id_name", "title") and rows(now["listing"]) == rows(listing)
+    assert rows(now["listing"], "thread_id", "catalog_id", "banner_url", "views") == [(2, 2, None, 2), (3, 1, "/x", 3), (4, 3, "/y", 4)]
+    assert rows(rejects) == [("2", "keys of two rows")]
+    assert len(rows(store.read(1)["listing"])) == 2
+    store.forget(3)
+    assert len(rows(store.read()["listing"])) == 3
+
+
+def test_a_run_that_another_gets_ahead_of(spark, tmp_path):
+    one, two = (stored.CatalogStore(spark, f"{tmp_path}/store", forum.CATALOG, forum.FORUM_LISTING, buckets=3) for _ in range(2))
+    tries = []
+
+    def merge(c, o, mark):
+        tries.append(1)
+        if len(tries) == 1:
+            assert two.apply(lambda c, o, mark: forum.latest_feed(c, o, games(spark, (1, "a", "/x", 1)), 1, ["n"], mark))[0] == 1
+        return forum.latest_feed(c, o, games(spark, (2, "b", None, 2)), 2, ["n"], mark)
+
+    assert one.apply(merge)[0] == 2 and len(tries) == 2
+    assert rows(one.read()["listing"], "thread_id") == [(1,), (2,)]
+    assert len({r[0] for r in rows(one.read()["catalog"], "catalog_id")}) == 2
+
+
+def test_a_stored_catalogue_is_not_shuffled_by_a_merge(spark, tmp_path):
+    table = stored.BucketedTable(spark, f"catalog_{random.randrange(1 << 40)}", "id_name", 4)
+    table.save(spark.createDataFrame([(i, f"N{i}_B") for i in range(50)], "catalog_id long, id_name string"))
+    batch = spark.createDataFrame([("N3_B", "t", None, 1), ("NEW_B", "u", 77, 2)], "id_name string, title string, catalog_id long, n int")
+    found = stored.upsert_joined(table.read(), batch, "id_name", ["n"])
+    assert rows(found.filter("title is not null"), "catalog_id", "id_name", "title") == [(3, "N3_B", "t"), (77, "NEW_B", "u")]
+    top = plan(found).split("== Initial Plan ==")[0]
+    assert "Exchange" not in top[top.index("SortMergeJoin") : top.index("Bucketed: true")]
+    table.drop()
