@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,12 +17,17 @@ from pyspark.sql import types as T
 from catalog_jobs.llm import repeats
 from catalog_jobs.llm.common import discard, remove, written
 from catalog_jobs.llm.repeats import WORDS20, Unit
-from catalog_jobs.sources.tables import new_path
+from catalog_jobs.sources.tables import create_new, new_path
 
 PLACE = ["ord", "tie", "start"]
 #: A row of the index: windows around one anchor m, the digest rh of their words, the place where that content came first, how many windows.
 ENTRY = T.StructType().add("m", "long").add("rh", "long").add("ord", "long").add("tie", "long").add("start", "integer").add("n", "integer").add("tied", "boolean")
 
+#: A row of the stored texts.
+TEXTS = T.StructType().add("ord", "long").add("tie", "long").add("t", "string")
+#: What a stored index consists of.
+MANIFEST = "version int, n_buckets int, size int, gram int, runs array<struct<level: int, path: string>>, texts array<string>"
+
 
 @contextmanager
 def _joined_by_bucket(spark: SparkSession) -> Iterator[None]:
@@ -34,16 +41,24 @@ def _joined_by_bucket(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def bucketed(rows: DataFrame, name: str, by: list[str], n_buckets: int, dealt: bool = False) -> tuple[str, str]:
-    """(table, folder) of rows in buckets by some columns, sorted by them; rows that are dealt by these already stay where they are."""
+def bucketed(rows: DataFrame, name: str, by: list[str], n_buckets: int, dealt: bool = False, base: str | None = None) -> tuple[str, str]:
+    """(table, folder) of rows in buckets by some columns, sorted by them; rows that are dealt by these already stay where they are. base: where the folder is made, the shared one by default."""
     spark, table = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    path = new_path(spark, name)
+    path = f"{base}/{table}" if base else new_path(spark, name)
     with _joined_by_bucket(spark):
         rows = rows if dealt else rows.repartition(n_buckets, *by)
         rows.write.bucketBy(n_buckets, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(table)
     return table, path
 
 
+def attached(spark: SparkSession, path: str, schema: T.StructType, by: list[str], n_buckets: int) -> str:
+    """The name of a new table over a folder of bucketed(), in whatever session that was written."""
+    table = f"{path.rpartition('/')[2].partition('_')[0]}_{uuid.uuid4().hex}"
+    columns, keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), ", ".join(by)  # an empty run has no files to tell
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {n_buckets} BUCKETS LOCATION '{path}'")
+    return table
+
+
 def drop(spark: SparkSession, table: str, path: str) -> None:
     schema = spark.table(table).schema
     spark.sql(f"DROP TABLE {table}")  # leaves the files
@@ -63,6 +78,10 @@ class FingerprintIndex:
     #: (level, table, folder) of each run.
     runs: list[tuple[int, str, str]] = field(default_factory=list)
     n_buckets: int = 0
+    #: Where runs are kept; the shared folder if it is None.
+    base: str | None = None
+    #: Merged runs, to be dropped once nothing names them.
+    retired: list[tuple[str, str]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.n_buckets = self.n_buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -74,7 +93,7 @@ class FingerprintIndex:
         return [self.spark.table(t) for _, t, _ in self.runs]
 
     def bucketed(self, rows: DataFrame, name: str, dealt: bool = False) -> tuple[str, str]:
-        return bucketed(rows, name, ["m"], self.n_buckets, dealt)
+        return bucketed(rows, name, ["m"], self.n_buckets, dealt, self.base if name.startswith("run") else None)
 
     def meet(self, batch: DataFrame) -> DataFrame:
         """batch (a bucketed table of m, rh and more) with `old`: the place where the index has its content, null for new ones."""
@@ -109,8 +128,7 @@ class FingerprintIndex:
                 merged = reduce(DataFrame.unionByName, (self.spark.table(t) for _, t, _ in full))
                 made = self.bucketed(merged, f"run{level + 1}")
                 self.runs = [r for r in self.runs if r not in full] + [(level + 1, *made)]
-                for _, table, path in full:
-                    drop(self.spark, table, path)
+                self.retired += [(table, path) for _, table, path in full]
             level += 1
 
 
@@ -123,17 +141,53 @@ class SubstringDedup:
 
     Only a batch's own texts are fingerprinted and shuffled: they are stored in buckets by document, each once. What the index matches is verified on the words: contents are the same if their words have one BLAKE2b
     digest. Where contents of one anchor differ, their words are fetched, from older texts too, and compared in pieces in the same way, down to single windows.
+
+    With a path, the index outlives the session: runs and texts are kept below it, and after each batch a new manifest names those that hold. A batch that fails before its manifest
+    leaves the index as it was, and is added again; see open(). Without one, the index lies in the shared folder and ends with the session.
     """
 
-    def __init__(self, spark: SparkSession, unit: Unit = WORDS20, fan_in: int = 2):
-        self.unit, self.index = unit, FingerprintIndex(spark, fan_in)
-        self.texts: list[str] = []  # a table (ord, tie, t) in buckets by document for each batch so far
+    def __init__(self, spark: SparkSession, unit: Unit = WORDS20, fan_in: int = 2, path: str | None = None):
+        self.path = path.rstrip("/") if path else None
+        self.unit, self.index = unit, FingerprintIndex(spark, fan_in, base=self.path and f"{self.path}/data")
+        self.texts: list[tuple[str, str]] = []  # (table, folder) of (ord, tie, t) in buckets by document for each batch so far
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, unit: Unit = WORDS20, fan_in: int = 2) -> SubstringDedup:
+        """The index that another session left below path, or a new one if there is none; its buckets stay as many as they were."""
+        job = cls(spark, unit, fan_in, path)
+        try:
+            manifests = spark.read.schema(MANIFEST).json(f"{job.path}/manifest")
+            last = manifests.filter(F.col("version") == manifests.agg(F.max("version")).first()[0]).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return job
+        if (last["size"], last["gram"]) != (unit.size, unit.gram):
+            raise ValueError(f"the index has windows of {last['size']} units with anchors of {last['gram']}")
+        job.version, job.index.n_buckets = last["version"], last["n_buckets"]
+        job.index.runs = [(r["level"], attached(spark, r["path"], ENTRY, ["m"], job.index.n_buckets), r["path"]) for r in last["runs"]]
+        job.texts = [(attached(spark, p, TEXTS, ["ord", "tie"], job.index.n_buckets), p) for p in last["texts"]]
+        return job
+
+    def _commit(self) -> None:
+        """The manifest of the index as it is now, which only one session can write; then merged runs go."""
+        index = self.index
+        if self.path:
+            runs = [{"level": level, "path": path} for level, _, path in index.runs]
+            entry = {"version": self.version + 1, "n_buckets": index.n_buckets, "size": self.unit.size, "gram": self.unit.gram, "runs": runs, "texts": [p for _, p in self.texts]}
+            if not create_new(index.spark, f"{self.path}/manifest/{self.version + 1:012d}.json", json.dumps(entry) + "\n"):
+                raise RuntimeError("another session has added a batch to this index: open it again")
+            self.version += 1
+        for table, path in index.retired:
+            drop(index.spark, table, path)
+        index.retired.clear()
 
     def add(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_units, n_removed, n_spans, kept_sha256) for each row of docs, a new batch, as a table."""
         spark, by, n = docs.sparkSession, ["ord", "tie"], self.index.n_buckets
         documents = repeats.keyed(docs)
-        store = bucketed(documents.groupBy(*by).agg(F.first("t").alias("t")), "texts", by, n, dealt=True)[0]
+        store = bucketed(documents.groupBy(*by).agg(F.first("t").alias("t")), "texts", by, n, dealt=True, base=self.index.base)
         self.texts.append(store)
         prints = written(repeats.text_runs(documents, self.unit), "prints")
         runs = prints.select("ord", "tie", F.explode("runs").alias("r")).select("ord", "tie", "r.*")
@@ -153,7 +207,7 @@ class SubstringDedup:
 
         holders = bucketed(repeats.runs_by_document(wanted), "holders", by, n, dealt=True)
         discard(wanted)
-        fetched = [repeats.run_contents(spark.table(t).hint("merge"), spark.table(holders[0]), self.unit) for t in self.texts]
+        fetched = [repeats.run_contents(spark.table(t).hint("merge"), spark.table(holders[0]), self.unit) for t, _ in self.texts]
         contents = written(reduce(DataFrame.unionByName, fetched), "contents")
         drop(spark, *holders)
         for step in self.unit.steps:
@@ -161,15 +215,19 @@ class SubstringDedup:
             gone.append(more)
             discard(contents)
             contents = left
-        out = written(repeats.removed_report(spark.table(store), narrow, reduce(DataFrame.unionByName, gone), self.unit), "report")
+        out = written(repeats.removed_report(spark.table(store[0]), narrow, reduce(DataFrame.unionByName, gone), self.unit), "report")
         discard(narrow, *gone)
         self.index.add(*fresh)
         self.index.compact()
+        self._commit()
         return out
 
 
 def dedup_in_batches(docs: DataFrame, n_batches: int = 3, unit: Unit = WORDS20) -> DataFrame:
-    """SubstringDedup over docs, in n_batches ranges of doc_id: doc_id, n_units, n_removed, n_spans, kept_sha256."""
+    """SubstringDedup over docs, in n_batches ranges of doc_id: doc_id, n_units, n_removed, n_spans, kept_sha256.
+
+    Null and empty texts, very long ones, ties and repeated rows are as there; an empty table gives an empty report.
+    """
     at = F.col("doc_id").cast("long")
     cuts = docs.select(F.percentile_approx(at, [i / n_batches for i in range(1, n_batches)], 1000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))

@@ -289,7 +289,7 @@ def test_index_runs_meet_a_batch_without_a_shuffle(spark):
             plan = job.index.meet(batch)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan
         holders = substring_dedup.bucketed(repeats.runs_by_document(batch), "holders", ["ord", "tie"], job.index.n_buckets)[0]
-        plan = repeats.run_contents(spark.table(job.texts[0]), spark.table(holders), WORDS20)._jdf.queryExecution().executedPlan().toString()
+        plan = repeats.run_contents(spark.table(job.texts[0][0]), spark.table(holders), WORDS20)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan  # nor are texts shuffled again
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
