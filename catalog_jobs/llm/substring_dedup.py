@@ -95,23 +95,25 @@ class FingerprintIndex:
     def bucketed(self, rows: DataFrame, name: str, dealt: bool = False) -> tuple[str, str]:
         return bucketed(rows, name, ["m"], self.n_buckets, dealt, self.base if name.startswith("run") else None)
 
-    def meet(self, batch: DataFrame) -> DataFrame:
-        """batch (a bucketed table of m, rh and more) with `old`: the place where the index has its content, null for new ones."""
-        old = []
-        for i, run in enumerate(self.tables()):
-            batch = batch.join(run.select("m", "rh", F.struct(*PLACE).alias(f"__{i}")).hint("merge"), ["m", "rh"], "left")
-            old.append(F.col(f"__{i}"))
-        none = F.lit(None).cast("struct<ord: long, tie: long, start: int>")
-        return batch.withColumn("old", F.coalesce(*old, none)).drop(*(f"__{i}" for i in range(len(old))))
-
-    def disputed(self, fresh: DataFrame) -> DataFrame:
-        """(m, ord, tie, start, n): new contents (fresh, a bucketed table) whose anchor has others, or occurs twice inside, with those others of the index."""
-        anchors = fresh.groupBy("m").agg(F.count("*").alias("k"), F.max("tied").alias("t"))
-        for i, run in enumerate(self.tables()):
-            anchors = anchors.join(run.groupBy("m").agg(F.count("*").alias(f"k{i}")).hint("merge"), "m", "left")
-        k = sum((F.coalesce(f"k{i}", F.lit(0)) for i in range(len(self.runs))), F.col("k"))
-        anchors = anchors.filter((k > 1) | F.col("t")).select("m")
-        parts = [t.join(anchors.hint("merge"), "m").select("m", *PLACE, "n") for t in (fresh, *self.tables())]
+    def near(self, batch: DataFrame) -> DataFrame:
+        """The index's rows around the anchors of a batch (a bucketed table): the one meeting of each run with it."""
+        anchors = batch.select("m").distinct().hint("merge")
+        return reduce(DataFrame.unionByName, (run.join(anchors, "m", "left_semi").select(*ENTRY.names) for run in self.tables()), self.spark.createDataFrame([], ENTRY))
+
+    def meet(self, batch: DataFrame, near: DataFrame | None = None) -> DataFrame:
+        """batch (a bucketed table of m, rh and more) with `old`: the place where the index has its content, null for new ones. near: near() of the batch, as a bucketed table."""
+        near = self.spark.table(self.bucketed(self.near(batch), "near", dealt=True)[0]) if near is None else near
+        return batch.join(near.select("m", "rh", F.struct(*PLACE).alias("old")).hint("merge"), ["m", "rh"], "left")
+
+    def disputed(self, fresh: DataFrame, near: DataFrame) -> DataFrame:
+        """(m, ord, tie, start, n): new contents (fresh, a bucketed table) whose anchor has others, or occurs twice inside, with those others of the index (near, a bucketed table).
+
+        New contents differ from the index's, so those of an anchor that the index has are always disputed, and the index's with them.
+        """
+        own = fresh.groupBy("m").agg(F.count("*").alias("k"), F.max("tied").alias("t"))
+        known = near.select("m").distinct().withColumn("known", F.lit(True))
+        anchors = own.join(known.hint("merge"), "m", "left").filter((F.col("k") > 1) | F.col("t") | F.col("known")).select("m")
+        parts = [fresh.join(anchors.hint("merge"), "m").select("m", *PLACE, "n"), near.join(own.select("m").hint("merge"), "m", "left_semi").select("m", *PLACE, "n")]
         with _joined_by_bucket(self.spark):
             return written(reduce(DataFrame.unionByName, parts), "disputed")
 
@@ -193,11 +195,13 @@ class SubstringDedup:
         runs = prints.select("ord", "tie", F.explode("runs").alias("r")).select("ord", "tie", "r.*")
         contents = runs.groupBy("m", "rh").agg(F.min(F.struct(*PLACE)).alias("first"), F.max("n").alias("n"), F.max("tied").alias("tied"), F.count("*").alias("c"))
         batch = self.index.bucketed(contents.select("m", "rh", "first.*", "n", "tied", "c"), "batch")
-        met = self.index.bucketed(self.index.meet(spark.table(batch[0])), "met", dealt=True)
+        near = self.index.bucketed(self.index.near(spark.table(batch[0])), "near", dealt=True)
+        met = self.index.bucketed(self.index.meet(spark.table(batch[0]), spark.table(near[0])), "met", dealt=True)
         drop(spark, *batch)
         found = spark.table(met[0])
         fresh = self.index.bucketed(found.filter("old is null").select(*ENTRY.names), "run0", dealt=True)
-        wanted = self.index.disputed(spark.table(fresh[0]))
+        wanted = self.index.disputed(spark.table(fresh[0]), spark.table(near[0]))
+        drop(spark, *near)
         again = found.filter("c > 1 or old is not null").select("m", "rh", F.coalesce("old", F.struct(*PLACE)).alias("first"))
         later = runs.join(again.hint("merge"), ["m", "rh"]).filter(F.struct(*PLACE) != F.col("first"))
         gone = [written(later.select(*PLACE, "n"), "later")]

@@ -286,8 +286,9 @@ def test_index_runs_meet_a_batch_without_a_shuffle(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         with substring_dedup._joined_by_bucket(spark):
-            plan = job.index.meet(batch)._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Exchange" not in plan
+            plans = [df._jdf.queryExecution().executedPlan().toString() for df in (job.index.near(batch), job.index.meet(batch))]
+        assert all("SortMergeJoin" in p and "Exchange" not in p for p in plans)
+        assert plans[0].count("Bucketed: true") == 2 * len(job.index.runs)  # each run is read once for a batch, with the batch's anchors
         holders = substring_dedup.bucketed(repeats.runs_by_document(batch), "holders", ["ord", "tie"], job.index.n_buckets)[0]
         plan = repeats.run_contents(spark.table(job.texts[0][0]), spark.table(holders), WORDS20)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan  # nor are texts shuffled again
