@@ -139,7 +139,9 @@ def merge_two_keys(stored: DataFrame, batch: DataFrame, key: str, order: list[st
     # rows that move: their key is stored, their entity isn't; of several for one entity only the first may
     first = found.filter("__b is null").groupBy(second).agg(F.min_by("__a", "__seq").alias("__first"))
     moved = written(first.filter("__first is not null").select(F.col("__first").alias("__moved")), "moved")
-    placed = found.join(first.withColumnRenamed(second, "__entity"), F.col(second) == F.col("__entity"), "left").join(moved, F.col("__b") == F.col("__moved"), "left")
+    placed = found.join(first.withColumnRenamed(second, "__entity"), F.col(second) == F.col("__entity"), "left")
+    # rows for entities that aren't stored, however many, have no key to meet: they stay out of the joins by stored keys
+    placed = placed.filter("__b is not null").join(moved, F.col("__b") == F.col("__moved"), "left").unionByName(placed.filter("__b is null").withColumn("__moved", F.lit(None).cast(moved.schema["__moved"].dataType)))
     left = F.col("__b").isNotNull() & F.col("__moved").isNotNull()  # the stored row of this entity goes elsewhere
     target = F.when(F.col("__b").isNull(), F.col("__first")).when(~left, F.col("__b"))
     two = F.col("__a").isNotNull() & ~F.col("__a").eqNullSafe(target)
@@ -147,11 +149,13 @@ def merge_two_keys(stored: DataFrame, batch: DataFrame, key: str, order: list[st
     good_rows = judged.filter("not __two")
     value = [F.max_by(F.col(f"__{c}"), F.when(F.col(f"__{c}").isNotNull(), F.col("__seq"))).alias(f"__{c}") for c in names]
     update = good_rows.groupBy(second).agg(F.max_by(key, "__seq").alias("__key"), F.max("__target").alias("__target"), *value).withColumnRenamed(second, "__second")
-    both = stored.join(update, F.col(key) == F.col("__target"), "full_outer")
+    update = written(update, "update")
+    both = stored.join(update.filter("__target is not null").hint("merge"), F.col(key) == F.col("__target"), "left")
     columns = dict.fromkeys([*stored.columns, *names])
     shown = {key: F.coalesce("__key", key), second: F.coalesce("__second", second)}
     shown |= {c: F.coalesce(F.col(f"__{c}"), F.col(c)) if c in stored.columns else F.col(f"__{c}") for c in names}
-    merged = both.select(*(shown.get(c, F.col(c)).alias(c) for c in columns))
+    inserted = update.filter("__target is null").select(F.col("__key").alias(key), F.col("__second").alias(second), *(F.col(f"__{c}").alias(c) for c in names))
+    merged = both.select(*(shown.get(c, F.col(c)).alias(c) for c in columns)).unionByName(inserted, allowMissingColumns=True)
     clash = rows.filter(complete).join(judged.filter("__two").select(F.col(key).alias("__bad")), F.col(key) == F.col("__bad"), "left_semi").withColumn("reason", F.lit("keys of two rows"))
     rejects = clash.unionByName(rows.filter(~complete).withColumn("reason", F.lit("no key"))).drop("__seq")
     return merged, rejects
