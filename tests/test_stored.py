@@ -257,6 +257,8 @@ def test_contracts_take_one_scan(spark, tmp_path):
     a, b = spark.createDataFrame([(1,), (9,), (None,)], "x int"), spark.createDataFrame([(1,)], "x int")
     found = contracts.check_contract(t, "t", unique=[["v", "w"], ["k"]], required=["v", "w", "k"], references=[("r", a, "x"), ("r", b, "x")], max_bytes={"v": 2})
     assert rows(found) == sorted([("t", "unique", "k", "1", 2), ("t", "not_null", "v", None, 1), ("t", "not_null", "w", None, 1), ("t", "reference", "r", "9", 1), ("t", "max_bytes", "v", "3", 1)], key=repr)
+    odd = spark.createDataFrame([("a\x00\x01b", "c"), ("a", "b\x00\x01c"), ("a\x00\x01b", "c")], "v string, w string")
+    assert rows(contracts.check_contract(odd, "odd", unique=[["v", "w"]])) == [("odd", "unique", "v,w", "a\x00\x01b|c", 2)]
     assert plan(found).split("== Initial Plan ==")[0].count("FileScan") == 1
     assert plan(found).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
 
