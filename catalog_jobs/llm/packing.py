@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from catalog_jobs.llm.common import written
 
-#: Parts in which the pieces of one length are ranked, so that a common length isn't one task's work.
-SALTS = 16
+#: Pieces of one length that are ranked together, about; a length that more pieces have is ranked in parts.
+RANKED = 50_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: What may follow a word's letters in a chunk and is one more word; neither an apostrophe nor a <, which begin words of their own rules.
 _TAIL = r"!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~"
@@ -269,38 +269,56 @@ def _runs(made: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str, n
     return {"code": (cols[0] << 44) + cols[1], "rank": cols[1], "sequence": cols[2], "per": cols[3], "offset": cols[4]}
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, key: str = "doc_id") -> DataFrame:
-    """pieces of token_pieces() with sequence_id and offset: sequences of at most capacity tokens, gapless from offset 0.
+def in_parts(pieces: DataFrame, parts: np.ndarray) -> DataFrame:
+    """pieces with salt, the part of its length that a piece belongs to: parts[l] parts for length l."""
+    common = [(length, int(parts[length])) for length in np.flatnonzero(parts > 1).tolist()]  # capacity rows at most
+    joined = pieces.join(F.broadcast(pieces.sparkSession.createDataFrame(common, "length long, parts long")), "length", "left")
+    return joined.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("place"), "parts"), F.lit(0)).cast("int")).drop("parts")
 
-    `pieces` is read twice: give a written table. Pieces of equal length change places freely, so repeated rows need no
-    special care. An empty table gives an empty one.
+
+def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
+    """Pieces of token_pieces() with sequence_id and offset: sequences of at most capacity tokens, gapless from offset 0.
+
+    `pieces` has one more column, place: numbers that differ from row to row, so that any group of rows can be ranked in parts. It is read
+    three times: give a written table, which fixes them. Pieces of equal length change places freely. A length is ranked in as many
+    parts as its count asks for, so that no task ranks much more than RANKED pieces; the driver sees a count for each length and
+    part. An empty table gives an empty one.
     """
-    salt = F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int")
-    salted = pieces.withColumn("salt", salt)
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in salted.groupBy("length", "salt").count().collect():  # capacity * SALTS rows at most
-        counts[r["length"], r["salt"]] = r["count"]
-    before = np.cumsum(counts, axis=1) - counts
-    histogram = counts.sum(axis=1)[1:]
+    histogram = np.zeros(capacity, np.int64)
+    for r in pieces.groupBy("length").count().collect():  # capacity rows at most
+        histogram[r["length"] - 1] = r["count"]
+    parts = np.append(0, -(-histogram // RANKED))
+    base = np.cumsum(parts) - parts  # where a length's parts begin
+    salted = in_parts(pieces, parts)
+    counts = np.zeros(int(parts.sum()), np.int64)
+    for r in salted.groupBy("length", "salt").count().collect():
+        counts[base[r["length"]] + r["salt"]] = r["count"]
+    total = np.cumsum(counts) - counts
+    before = total - np.repeat(total[base[parts > 0]], parts[parts > 0])
     made = round_configurations(solve_configurations(histogram, capacity), histogram, capacity)
     runs = _runs(made, capacity)
-    names = pieces.columns
+    names = [c for c in pieces.columns if c != "place"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, salt, rank = (b.column(c).to_numpy() for c in ("length", "salt", "rank"))
-            rank = before[length, salt] + rank - 1
+            rank = before[base[length] + salt] + rank - 1
             at = np.searchsorted(runs["code"], (length.astype(np.int64) << 44) + rank, "right") - 1
             n = rank - runs["rank"][at]
             sequence = runs["sequence"][at] + n // runs["per"][at]
             offset = runs["offset"][at] + n % runs["per"][at] * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(key, "piece", "ids_crc32")).cast("long"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("place")).cast("long"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "place")
     return ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, key: str = "doc_id") -> DataFrame:
-    """Tokenizes and packs docs; the texts are read once."""
-    return pack(written(token_pieces(docs, tokenizer_path, capacity, key=key), "pieces"), capacity, key)
+    """(key, piece, start, length, ids_crc32, sequence_id, offset): tokenizes and packs docs; the texts are read once.
+
+    A null or empty text is one token, its end; a text of over capacity tokens is cut, and is tokenized whole by one task; repeated rows, and
+    rows with a null key, are packed each on their own; an empty table gives an empty one. Other columns aren't returned.
+    """
+    pieces = token_pieces(docs, tokenizer_path, capacity, key=key).withColumn("place", F.monotonically_increasing_id())
+    return pack(written(pieces, "pieces"), capacity)

@@ -426,6 +426,27 @@ def test_packing(spark, docs, capacity):
     assert packing.packed_documents(empty(spark), queries.tokenizer_path()).count() == 0
 
 
+def test_common_lengths_are_ranked_in_parts(spark, monkeypatch):
+    """One repeated row, and one length, hold most pieces: they are ranked in parts of bounded size, and sequences stay whole."""
+    monkeypatch.setattr(packing, "RANKED", 50)
+    sizes = [(7, 0, 0, 64, 1)] * 600 + [(i, 0, 0, 40, 2) for i in range(300)] + [(i, 0, 0, 1 + i % 63, 3) for i in range(200)]
+    pieces = spark.createDataFrame(sizes, "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("place", F.monotonically_increasing_id())
+    pieces = written(pieces, "pieces")
+    packed = packing.pack(pieces, 64)
+    got = packed.collect()
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted((r.doc_id, r.length) for r in got) == sorted((s[0], s[3]) for s in sizes)
+    rooms = defaultdict(list)
+    for r in got:
+        rooms[r.sequence_id].append((r.offset, r.length))
+    for held in rooms.values():
+        assert [o for o, _ in sorted(held)] == list(np.cumsum([0] + [n for _, n in sorted(held)])[:-1])
+        assert sum(n for _, n in held) <= 64
+    assert len(rooms) <= -(-sum(s[3] for s in sizes) // 64) * 1.02 + 300 * 24 // 64  # a piece of 40 leaves 24 empty where no smaller one is left
+    parts = np.append(0, -(-np.bincount([s[3] for s in sizes], minlength=65)[1:] // 50))
+    assert packing.in_parts(pieces, parts).groupBy("length", "salt").count().agg(F.max("count")).first()[0] <= 100
+
+
 def test_configurations_cover_the_histogram():
     rng = np.random.default_rng(3)
     for n in (1, 7, 500, 20000):
