@@ -2,8 +2,8 @@
 
 A document's set of word shingles is reduced to a class (equal sets) and a sketch. In each of several independent
 trees, a node's documents branch by their two minwise tokens of the next level; small nodes are compared
-exhaustively, and nodes that stay large at full depth, which hold many copies of one text, against pivots and, for what no pivot reaches,
-in blocks. Candidates are confirmed on the full sets.
+exhaustively, and nodes that stay large at full depth, which hold many copies of one text, against pivots. Where no pivot reaches many
+documents of a group, it branches once more by all the tokens that a link needs to share, and what stays large even then is compared in blocks. Candidates are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -231,19 +231,72 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter("root_a <> root_b").select("a", "b")
 
 
+def necessary_tokens(rows: DataFrame, join: Join) -> DataFrame:
+    """rows(main, cid, out, set) -> (main, token, cid, out): for each document the rarest tokens of its set, of which any link inside its group shares one.
+
+    A link shares percent of each of its two sets, so the first token that they share, rarest in the group first, is among the first n - ceil(percent * n) + 1
+    of both. Tokens that one document alone has are left out.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, "set", 4_000_000):
+            held = _whole(b.column("set"))
+            sizes = pc.binary_length(held).to_numpy(zero_copy_only=False) // 8
+            tokens = np.frombuffer(b"".join(held.to_pylist()), np.int64)
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            n = pa.array(np.repeat(sizes, sizes).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(_whole(b.column(c)).take(at) for c in ("main", "cid", "out")), n, pa.array(tokens)], ["main", "cid", "out", "n", "token"])
+
+    tokens = rows.select("main", "cid", "out", "set").mapInArrow(scan, "main long, cid long, out boolean, n int, token long")
+    counts = tokens.groupBy("main", "token").count().filter("count > 1")
+    rank = F.row_number().over(Window.partitionBy("main", "cid").orderBy(F.coalesce("count", F.lit(1)), "token"))
+    ranked = tokens.join(counts, ["main", "token"], "left").withColumn("rank", rank)
+    return ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * join.percent / 100) + 1).filter("count > 1").select("main", "token", "cid", "out")
+
+
+def _branched(members: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """(links, members that may have more) of members(main, cid, root, n, s1, s2): groups branch once more, by all tokens that a link needs to share.
+
+    Branches of at most join.small documents are compared exhaustively on sketches, then on full sets; a document that no larger branch with one outside the main component
+    holds is done with.
+    """
+    rows = members.withColumn("out", F.col("root") != F.col("main")).join(sets, "cid")
+    tokens = written(necessary_tokens(rows, join), "tokens")
+    sizes = tokens.groupBy("main", "token").agg(F.count("*").alias("count"), F.count_if("out").alias("n_out")).filter("count > 1 and n_out > 0").drop("n_out")
+    branches = written(tokens.join(sizes, ["main", "token"]).select("main", F.xxhash64("main", "token").alias("node"), "cid", "count"), "branches")
+    small = branches.filter(F.col("count") <= join.small).select("node", "cid").join(members.select("cid", "n", "s1", "s2").dropDuplicates(["cid"]), "cid")
+    pairs = written(_exhaustive(small, join).distinct(), "pairs")
+    links = written(confirmed(_between(pairs, labels), sets, join), "links")
+    return links, written(members.join(branches.filter(F.col("count") > join.small).select("main", "cid").distinct(), ["main", "cid"]), "members")
+
+
 def _apart(large: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) in large nodes of documents outside the main component with documents of other components.
+    """Links (a, b) in large nodes (node, cid, n, s1, s2) of documents outside the main component with documents of other components.
 
-    A node's main component is that of its first pivot; nodes with one main component are one group here, since they hold mostly the same copies. Its
-    documents outside are compared with all of its documents on the full sets, in blocks: no pair is a row unless it is a link,
-    and no task holds more than join.block documents outside and four times as many others.
+    A node's main component is that of its first pivot; nodes with one main component are one group here, since they hold mostly the same copies. Where
+    more than a block of its documents are outside, the group branches by tokens first, and only what lies in large branches is left.
     """
     held = written(large.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "held")
     main = written(held.groupBy("node").agg(F.min_by("root", F.xxhash64("cid", F.lit(0))).alias("main")), "main")
-    members = written(held.join(main, "node").select("main", "cid", "root").distinct(), "members")
+    members = written(held.join(main, "node").select("main", "cid", "root", "n", "s1", "s2").distinct(), "members")
+    outside = written(members.groupBy("main").agg(F.count_if(F.col("root") != F.col("main")).alias("n_out")).filter("n_out > 0"), "outside")
+    few = members.join(outside.filter(F.col("n_out") <= join.block).select("main"), "main")
+    many = outside.filter(F.col("n_out") > join.block).select("main")
+    if many.isEmpty():
+        return _in_blocks(few, sets, join)
+    links, left = _branched(members.join(many, "main"), labels, sets, join)
+    return links.unionByName(_in_blocks(few.unionByName(left), sets, join)).distinct()
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) of documents outside their group's main component with all of the group (main, cid, root).
+
+    They are compared on the full sets, in blocks: no pair is a row unless it is a link, and no task holds more than join.block documents outside and four
+    times as many others.
+    """
     sizes = members.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("n_out")).filter("n_out > 0")
     sizes = written(sizes.select("main", F.ceil(F.col("n") / (4 * join.block)).cast("int").alias("chunks"), F.ceil(F.col("n_out") / join.block).cast("int").alias("parts")), "blocks")
-    rows = written(members.join(sizes, "main").join(sets, "cid"), "members")
+    rows = written(members.select("main", "cid", "root").join(sizes, "main").join(sets, "cid"), "members")
 
     def every(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -302,7 +355,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa:
     edges = edges.unionByName(written(confirmed(_between(pairs, labels), sets, join), "links"))
     labels = components(edges)
 
-    more = written(_apart(large.select("node", "cid"), labels, sets, join), "links")
+    more = written(_apart(large.select("node", "cid", "n", "s1", "s2"), labels, sets, join), "links")
     if not more.isEmpty():
         edges = edges.unionByName(more)
         labels = components(edges)
