@@ -186,42 +186,6 @@ def test_near_duplicates_in_large_groups(spark):
     assert got == {d: docs[r][0] for (d, _), r in zip(docs, root, strict=True)}
 
 
-def test_large_unlinked_groups_branch_by_necessary_tokens(spark, monkeypatch):
-    """Documents that share most of their text but aren't linked leave their group by tokens: work grows as the group, links between few of them are found."""
-    blocks, branched, tokens = near_dedup._in_blocks, near_dedup._branched, near_dedup.necessary_tokens
-    seen = []
-
-    def watched_blocks(members, *rest):
-        seen[-1]["blocks"] = members.count()
-        return blocks(members, *rest)
-
-    def watched_branched(members, *rest):
-        seen[-1]["group"] = members.count()
-        return branched(members, *rest)
-
-    def watched_tokens(*rest):
-        table = tokens(*rest)
-        seen[-1]["tokens"] = table.count()
-        return table
-
-    for name, watch in (("_in_blocks", watched_blocks), ("_branched", watched_branched), ("necessary_tokens", watched_tokens)):
-        monkeypatch.setattr(near_dedup, name, watch)
-    shared = sentence(random.Random(20), 150)
-    for n in (80, 160):
-        rng = random.Random(n)
-        docs = [(i, shared + " " + sentence(rng, 45)) for i in range(n)]  # 150 of 240 shingles in common
-        docs += [(n + i, docs[i][1] + " " + sentence(rng, 1)) for i in range(8)]  # each linked with one other
-        seen.append({})
-        root, _ = brute.components(docs, 2)
-        got = {r.doc_id: r.component_id for r in near_dedup.component_report(frame(spark, docs), near_dedup.Join(words=2, small=6, block=8)).collect()}
-        assert got == {d: docs[r][0] for (d, _), r in zip(docs, root, strict=True)}
-        assert len(set(got.values())) == n
-    assert [x["blocks"] for x in seen] == [0, 0]
-    assert seen[0]["group"] >= 80
-    assert seen[1]["group"] <= 2.5 * seen[0]["group"]
-    assert seen[1]["tokens"] <= 2.5 * seen[0]["tokens"] + 100
-
-
 def test_pairs_at_the_threshold_are_seldom_missed():
     join, p = near_dedup.Join(), 0.8 + 0.2 / 16  # a place of the sketch agrees, or its 4 bits do
     sketch = sum(math.comb(near_dedup.PERMS, k) * p**k * (1 - p) ** (near_dedup.PERMS - k) for k in range(join.agree))
