@@ -1,7 +1,8 @@
 """Suffix-array dedup of bytes: Burrows-Wheeler transforms of shards are merged by refining their interleave.
 
-Texts are cut down to what can repeat first (see repeats): pieces that share all the bytes around an anchor with another piece but differ
-from it further out. Their bytes are dealt by those shared bytes into buckets of bounded size, and by document into a bucket's shards. The
+Texts are cut down to what can repeat first (see repeats): the different runs of windows around an anchor that several runs share. Equal
+runs are one content, held under its first place. All other runs are dealt by their anchor into buckets of bounded size, and by document
+into a bucket's shards; only where one anchor has more different runs than a bucket should hold are they cut to pieces first, which share more bytes around it. The
 suffixes of each shard are sorted on their own, and the shards' transforms are merged without sorting suffixes again: the interleave by
 the first h bytes, and the links of each suffix to the one h bytes later, which the transforms hold, give the interleave by the first
 2 h bytes. Block bounds are the places with common prefixes shorter than h; a block of one suffix is settled and isn't refined.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_jobs.llm import repeats
@@ -21,8 +22,10 @@ from catalog_jobs.llm.common import discard, without, written
 from catalog_jobs.llm.repeats import BYTES100, Unit
 
 SHARDS = 2
-#: Bytes of pieces in a bucket, about. Pieces of one key that hold more than a quarter of it are cut again, around more shared bytes.
-BUCKET_BYTES = 500_000
+#: Bytes of different runs or pieces in a bucket, about.
+BUCKET_BYTES = 1_000_000
+#: Bytes of different runs of one anchor that go into a bucket as they are; more are cut to what shares more bytes around the anchor.
+KEY_BYTES = 500_000
 
 
 def _settled(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +114,7 @@ def merge_transforms(transforms: list[np.ndarray], size: int) -> np.ndarray:
 
 def _bucket(size: int):
     def merge(table: pa.Table) -> pa.Table:
-        """The pieces of one bucket (ord, tie, start, n, seg) -> (ord, tie, start, n = 1) of the windows that start earlier elsewhere."""
+        """The runs or pieces of one bucket (ord, tie, start, n, seg) -> (ord, tie, start, n = 1) of the windows that start earlier elsewhere."""
         dealt = pa.array(table.column("tie").to_numpy() % SHARDS)
         shards = [t for i in range(SHARDS) if (t := table.filter(pc.equal(dealt, i))).num_rows]
         made = [shard_transform(t.column("seg").to_pylist()) for t in shards]
@@ -137,11 +140,24 @@ def _bucket(size: int):
     return merge
 
 
-def merged_buckets(pieces: DataFrame, unit: Unit) -> DataFrame:
-    """(ord, tie, start, n) of the windows of settle()'s pieces that start earlier in another piece of their key."""
-    n_bytes = pieces.agg(F.sum(F.col("n") + unit.size)).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("key"), F.lit(n_bytes // BUCKET_BYTES + 1)).cast("int").alias("bucket")
-    return pieces.select(bucket, "ord", "tie", "start", "n", "seg").groupBy("bucket").applyInArrow(_bucket(unit.size), "ord long, tie long, start int, n int")
+def _n_buckets(rows: DataFrame, unit: Unit) -> Column:
+    """How many buckets hold the bytes of rows (n, size) whose key isn't cut again."""
+    n_bytes = rows.filter(F.col("size") <= KEY_BYTES).agg(F.sum(F.col("n").cast("long") + unit.size)).first()[0] or 0
+    return F.lit(n_bytes // BUCKET_BYTES + 1)
+
+
+def merged_buckets(rows: DataFrame, unit: Unit) -> DataFrame:
+    """(ord, tie, start, n) of the windows of rows (bucket, ord, tie, start, n, seg) that start earlier in another place of their bucket."""
+    return rows.select("bucket", "ord", "tie", "start", "n", "seg").groupBy("bucket").applyInArrow(_bucket(unit.size), "ord long, tie long, start int, n int")
+
+
+def dealt_runs(firsts: DataFrame, unit: Unit) -> DataFrame:
+    """differing() runs of firsts with m replaced by the bucket of their anchor, or -1 for those of anchors with more than KEY_BYTES of different runs."""
+    runs = repeats.differing(firsts)
+    sizes = runs.groupBy("m").agg(F.sum(F.col("n").cast("long") - 1 + unit.size).alias("size"))
+    runs = written(runs.join(sizes, "m"), "wanted")
+    bucket = F.pmod(F.xxhash64("m"), _n_buckets(runs, unit))
+    return runs.select(F.when(F.col("size") <= KEY_BYTES, bucket).otherwise(-1).alias("m"), "ord", "tie", "start", "n")
 
 
 def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
@@ -165,16 +181,19 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES100) -> DataFrame:
     gone = written(repeats.later_runs(found, firsts), "later")
     discard(found)
 
-    contents = written(repeats.run_contents(rows.select("ord", "tie", "t").dropDuplicates(["ord", "tie"]), repeats.runs_by_document(repeats.differing(firsts)), unit), "contents")
+    texts_of = rows.select("ord", "tie", "t").dropDuplicates(["ord", "tie"])
+    contents = written(repeats.run_contents(texts_of, repeats.runs_by_document(dealt_runs(firsts, unit)), unit), "contents")
     discard(firsts)
+    gone = gone.unionByName(written(merged_buckets(contents.filter("m >= 0").withColumnRenamed("m", "bucket"), unit), "merged"))
+    contents = contents.filter("m < 0")
     for step in unit.steps:
-        more, left = repeats.settle(contents, unit, step)
-        gone = gone.unionByName(more)
-        if left is None:
-            break
-        small = F.col("size") <= BUCKET_BYTES // 4
-        gone = gone.unionByName(merged_buckets(left.filter(small), unit))
-        contents = left.filter(~small)
         if contents.isEmpty():
             break
+        more, left = repeats.settle(contents, unit, step)
+        gone = gone.unionByName(more)
+        if left is not None:
+            small = F.col("size") <= KEY_BYTES
+            dealt = left.filter(small).withColumn("bucket", F.pmod(F.xxhash64("key"), _n_buckets(left, unit)))
+            gone = gone.unionByName(merged_buckets(dealt, unit))
+            contents = left.filter(~small)
     return repeats.removed_report(rows, prints, gone, unit, texts)

@@ -306,30 +306,56 @@ def test_fingerprint_index_is_compacted(spark):
 
 @pytest.mark.parametrize("bucket_bytes", [500_000, 1])
 def test_suffix_dedup(spark, docs, monkeypatch, bucket_bytes):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket_bytes)  # with 1, pieces are cut down to single windows
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(suffix_dedup, "KEY_BYTES", bucket_bytes)  # with 1, runs are cut down to single windows
     got = suffix_dedup.dedup_bytes(docs)
     assert rows(got, "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256") == brute.byte_report(DOCS)
     if bucket_bytes == 1:
         assert suffix_dedup.dedup_bytes(empty(spark)).count() == 0
 
 
-def test_pieces_in_a_bucket_are_of_bounded_size(spark, monkeypatch):
-    """Periodic texts, and one passage with other words around it in each of many documents: no key gives a bucket much more than its bytes."""
-    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
-    merge, dealt = suffix_dedup.merged_buckets, []
+def watched_buckets(monkeypatch):
+    """What goes into suffix_dedup.merged_buckets and comes out of it, from now on: ([bytes of a bucket], [rows that go])."""
+    merge, dealt, gone = suffix_dedup.merged_buckets, [], []
 
     def watched(pieces, unit):
-        dealt.extend(pieces.groupBy("key").agg(F.sum(F.length("seg")).alias("b")).collect())
-        return merge(pieces, unit)
+        dealt.extend(r.b for r in pieces.groupBy("bucket").agg(F.sum(F.length("seg")).alias("b")).collect())
+        gone.extend((merged := merge(pieces, unit)).collect())
+        return merged
 
     monkeypatch.setattr(suffix_dedup, "merged_buckets", watched)
+    return dealt, gone
+
+
+def test_runs_in_a_bucket_are_of_bounded_size(spark, monkeypatch):
+    """Periodic texts, and one passage with other words around it in each of many documents: no anchor gives a bucket much more than its bytes, and transforms find what goes there too."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "KEY_BYTES", 3000)
+    dealt, gone = watched_buckets(monkeypatch)
     rng = random.Random(5)
     passage = sentence(rng, 40)
     docs = [(i, "x" * n) for i, n in enumerate((4000, 5000, 2500))] + [(9, "one line\n" * 600), (10, "start " + "one line\n" * 500)]
     docs += [(20 + i, f"{sentence(rng, 8)} {passage} {sentence(rng, 8)}") for i in range(120)]
     got = rows(suffix_dedup.dedup_bytes(frame(spark, docs)), "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.byte_report(docs)
-    assert 0 < max(r.b for r in dealt) <= 3000
+    assert 0 < max(dealt) <= 12_000
+    assert any(r.ord >= 20 for r in gone)
+
+
+def test_windows_of_differing_runs_go_by_merged_transforms(spark, monkeypatch):
+    """Equal runs are one content from the start; of windows that repeat in runs that differ, none is settled by a digest of a piece while its anchor's runs fit a bucket."""
+    dealt, gone = watched_buckets(monkeypatch)
+    steps = []
+    monkeypatch.setattr(repeats, "settle", lambda *a: steps.append(a))
+    rng = random.Random(8)
+    passages = [sentence(rng, 30) for _ in range(10)]
+    docs = [(i, f"{sentence(rng, 5)} {passages[i % 10]} {sentence(rng, 5)}") for i in range(100)]
+    got = rows(suffix_dedup.dedup_bytes(frame(spark, docs)), "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.byte_report(docs) and not steps
+    windows = sum(r[2] - 100 * r[3] + r[3] for r in got)
+    share = len(set(gone)) / windows
+    print(f"share of the removed windows that merged transforms find: {share:.2f}")
+    assert share > 0.3
 
 
 def test_merged_transforms_are_in_suffix_order():
