@@ -21,7 +21,7 @@ from catalog_jobs.llm import repeats
 from catalog_jobs.llm.common import discard, without, written
 from catalog_jobs.llm.repeats import BYTES100, Unit
 
-SHARDS = 2
+SHARDS = 4
 #: Bytes of different runs or pieces in a bucket, about.
 BUCKET_BYTES = 1_000_000
 #: Bytes of different runs of one anchor that go into a bucket as they are; more are cut to what shares more bytes around the anchor.
@@ -114,28 +114,32 @@ def merge_transforms(transforms: list[np.ndarray], size: int) -> np.ndarray:
 
 def _bucket(size: int):
     def merge(table: pa.Table) -> pa.Table:
-        """The runs or pieces of one bucket (ord, tie, start, n, seg) -> (ord, tie, start, n = 1) of the windows that start earlier elsewhere."""
+        """The runs or pieces of one bucket (ord, tie, start, n, seg) -> (ord, tie, start, n) of the windows that start earlier elsewhere, neighbours as one row."""
         dealt = pa.array(table.column("tie").to_numpy() % SHARDS)
         shards = [t for i in range(SHARDS) if (t := table.filter(pc.equal(dealt, i))).num_rows]
         made = [shard_transform(t.column("seg").to_pylist()) for t in shards]
-        block = merge_transforms([t for t, _ in made], size)
+        ranked = merge_transforms([t for t, _ in made], size)
+        bounds = np.cumsum([0] + [len(t) for t, _ in made])
+        block = np.empty(bounds[-1], np.int64)  # by place in the shards' texts
+        block[np.concatenate([a + b for (_, a), b in zip(made, bounds, strict=False)])] = ranked
         table = pa.concat_tables(shards)
-        n = table.column("n").to_numpy().astype(np.int64)
-        lengths = n + size  # n - 1 + size bytes and the end
+        ord_, tie, start, n = (table.column(c).to_numpy() for c in ("ord", "tie", "start", "n"))
+        lengths = n.astype(np.int64) + size  # n - 1 + size bytes and the end
         begin = np.cumsum(lengths) - lengths
-        bounds = np.cumsum([0] + [len(t) for t, _ in made])
-        at = np.concatenate([a + b for (_, a), b in zip(made, bounds, strict=False)])
-        run = np.repeat(np.arange(len(n)), lengths)[at]
-        valid = (at - begin[run] < n[run]) & (np.bincount(block, minlength=len(block))[block] > 1)
-        run, block, at = run[valid], block[valid], at[valid]
-        ord_, tie = table.column("ord").to_numpy()[run], table.column("tie").to_numpy()[run]
-        start = table.column("start").to_numpy()[run] + at - begin[run]
-        order = np.lexsort((start, tie, ord_, block))
-        head, _ = _settled(block[order])
-        first = order[head]
-        later = (ord_[order] != ord_[first]) | (tie[order] != tie[first]) | (start[order] != start[first])
-        gone = order[later]
-        return pa.table({"ord": ord_[gone], "tie": tie[gone], "start": start[gone].astype(np.int32), "n": np.ones(len(gone), np.int32)})
+        at = np.flatnonzero(np.arange(bounds[-1]) - np.repeat(begin, lengths) < np.repeat(n, lengths))
+        # windows of one document are in one run only, so that runs in order of documents give windows in that order
+        by = np.lexsort((start, tie, ord_))
+        moved = np.empty(len(n), np.int64)
+        moved[by] = np.cumsum(lengths[by]) - lengths[by]
+        place = at + np.repeat(moved - begin, n)
+        least = np.full(bounds[-1], bounds[-1])
+        np.minimum.at(least, block[at], place)
+        gone = np.zeros(bounds[-1] + 1, np.int8)
+        gone[at[place != least[block[at]]]] = 1
+        edge = np.diff(gone, prepend=np.int8(0))
+        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        run = np.searchsorted(begin, first, "right") - 1
+        return pa.table({"ord": ord_[run], "tie": tie[run], "start": (start[run] + first - begin[run]).astype(np.int32), "n": (end - first).astype(np.int32)})
 
     return merge
 
