@@ -1,3 +1,4 @@
+import gc
 import json
 import random
 
@@ -275,3 +276,44 @@ def test_references_without_a_semicolon(spark, closed, title, href):
 def test_page_labels_keep_a_cut_reference(spark, tmp_path):
     spark.createDataFrame([(1, "u", "<h1>x &amp; y&amp</h1><b>x</b>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert rows(queries.QUERIES["page_labels"](spark, str(tmp_path)).select("title", "n_bold")) == [("x & y&amp", 1)]
+
+
+def test_a_parsed_page_leaves_nothing_to_collect():
+    gc.collect()
+    gc.disable()
+    try:
+        for page in (ITEM.format("a", 1, "2024-01-01"), POST, "<!DOCTYPE html><h1>x</h1><a href='/u'>t</a>"):
+            html._listing_items(page), html._details(page), html._makers(page), html._links(page)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    def shape(page):
+        return [(n.tag, n.attrs, n.up, n.end, [c if isinstance(c, str) else c.at for c in n.children]) for n in page.nodes]
+
+    bits = ["<div>", "</div>", '<a href="/x" class="a b">', "</a>", "<b>", "</b>", "t &amp; u", "&lt", "<br>", "<p>", "</p>", "<td>", "<i><i>", "</u>", '<a href="1" href="2">', "\r\n", "é"]
+    dice, read = random.Random(3), 0
+    for odd in (["<!-- c -->", "<script>", "</script>", "< x", "<BR/>", "<a href='q'>", "<title>", '<a  href="?a=1&b=2">', "<"], []):
+        for _ in range(300):
+            page = "".join(dice.choices(bits + odd, k=dice.randrange(12)))
+            slow = html._Builder()
+            slow.feed(page)
+            slow.close()
+            fast = html._plain(page)
+            read += fast is not None
+            assert shape(html.parse(page)) == shape(slow.page.finish())
+    assert read > 300
+
+
+def test_pages_of_one_split_are_parsed_by_all_cores(spark, tmp_path):
+    spark.range(1000).selectExpr("id as c_custkey", "'n' as c_name", "'B' as c_mktsegment", "1 as c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = queries.QUERIES["page_fields"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.rdd.getNumPartitions() > 4 and plan.count("ArrowEvalPython") == 1  # one parse a page
+    assert df.filter("os is null").count() == 143
+
+
+def test_only_asked_fields_are_extracted():
+    assert html._links("<b>a<b>b", fields=["links"]) == {"links": []} and html._links("<b>a<b>b")["bold"] == ["ab", "b"]
