@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from catalog_jobs.operators.changes import mark_changed
 from catalog_jobs.operators.export import delta, snapshot_diff
-from catalog_jobs.sources.tables import create_new
+from catalog_jobs.sources.tables import create_new, delete, new_path, written
 
 if TYPE_CHECKING:
     from catalog_jobs.plans.forum import Merged
@@ -73,6 +73,8 @@ class BucketedTable:
 
 
 RANGE = "__range"
+#: Folders of a snapshot, about: where there are more key ranges, neighbouring ones share a folder.
+FOLDERS = 256
 
 
 def _digests(rows: DataFrame, stamp: str | None) -> DataFrame:
@@ -85,44 +87,72 @@ def _digests(rows: DataFrame, stamp: str | None) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str, key: str = "catalog_id", width: int = 1_000_000, stamp: str | None = "last_record_update") -> None:
-    """df below path/rows in folders of `width` whole-number keys (null keys in one of their own), and beside them path/digests, a row for each folder.
+    """df below path/rows in folders by ranges of `width` whole-number keys (null keys in one of their own), and beside them path/digests, a row for each range.
 
-    Rows are dealt by key range, those of a range over several tasks if they are many.
+    A folder holds one range, or as many neighbouring ones as keep the folders to about FOLDERS, and is named by the first. Rows are dealt by key range, those of a range over
+    several tasks if they are many. df is computed once: its rows are written aside first, since bounds and quantiles of the keys are asked for before they are dealt.
     """
-    spark = df.sparkSession
-    df.withColumn(RANGE, F.floor(F.col(key) / width)).repartitionByRange(RANGE, key).write.partitionBy(RANGE).parquet(f"{path}/rows")
-    _digests(_rows(spark, path, df), stamp).coalesce(1).write.parquet(f"{path}/digests")
+    spark, aside = df.sparkSession, new_path(df.sparkSession, "rows")
+    df.write.parquet(aside)
+    rows, number = spark.read.schema(df.schema).parquet(aside), F.floor(F.col(key) / width)
+    least, most = rows.agg(F.min(number), F.max(number)).first()
+    per = 1 if least is None else (most - least) // FOLDERS + 1
+    folder = F.floor(number / per) * per
+    rows.withColumn(RANGE, folder).repartitionByRange(RANGE, key).write.partitionBy(RANGE).parquet(f"{path}/rows")
+    digests = _digests(_rows(spark, path, df).withColumn(RANGE, number), stamp)
+    digests.withColumns({"folder": F.floor(F.col(RANGE) / per) * per, "per": F.lit(per).cast("long"), "width": F.lit(width).cast("long")}).write.parquet(f"{path}/digests")
+    delete(spark, aside)
 
 
 def _rows(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    """Rows with their folder's range."""
     schema = spark.read.parquet(f"{path}/rows").schema if like is None else like.schema
     schema = T.StructType([*(f for f in schema if f.name != RANGE), T.StructField(RANGE, T.LongType())])
     return spark.read.schema(schema).parquet(f"{path}/rows")
 
 
+def _read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Digests; snapshots of before folders were shared have a folder for each range."""
+    digests = spark.read.parquet(f"{path}/digests")
+    return digests if "folder" in digests.columns else digests.withColumns({"folder": F.col(RANGE), "per": F.lit(1).cast("long"), "width": F.lit(None).cast("long")})
+
+
+def _differing(spark: SparkSession, prev: str, curr: str) -> DataFrame:
+    a, b = (_read_digests(spark, p).select(RANGE, F.struct("n", "total", "mixed").alias(name)) for p, name in ((prev, "a"), (curr, "b")))
+    both = a.join(b.withColumnRenamed(RANGE, "other"), F.col(RANGE).eqNullSafe(F.col("other")), "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select(F.when(F.col("a").isNull(), F.col("other")).otherwise(F.col(RANGE)).alias("r"))
+
+
 def differing_ranges(spark: SparkSession, prev: str, curr: str) -> list[int | None]:
     """Key ranges whose digests differ, or that only one snapshot has: a number for each. Equal hashes stand for equal rows: two sums of 64 bits and the count must agree by chance to hide a change."""
-    a, b = (spark.read.parquet(f"{p}/digests").select(RANGE, F.struct("n", "total", "mixed").alias(name)) for p, name in ((prev, "a"), (curr, "b")))
-    both = a.join(b.withColumnRenamed(RANGE, "other"), F.col(RANGE).eqNullSafe(F.col("other")), "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
-    return [r["r"] for r in both.select(F.when(F.col("a").isNull(), F.col("other")).otherwise(F.col(RANGE)).alias("r")).collect()]
+    return [r["r"] for r in _differing(spark, prev, curr).collect()]
+
+
+def _of_folders(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """Rows of the folders of some digests: those alone are listed and read."""
+    folders = [r["folder"] for r in digests.select("folder").distinct().collect()]  # FOLDERS or so
+    known = F.col(RANGE).isin([f for f in folders if f is not None])
+    return rows.filter(known | F.col(RANGE).isNull() if None in folders else known).drop(RANGE)
 
 
-def _some(rows: DataFrame, ranges: list[int | None]) -> DataFrame:
-    """Rows of some ranges: their folders alone are listed and read."""
-    known = [r for r in ranges if r is not None]
-    return rows.filter(F.col(RANGE).isin(known) | F.col(RANGE).isNull() if None in ranges else F.col(RANGE).isin(known)).drop(RANGE)
+def _some(spark: SparkSession, path: str, ranges: DataFrame, key: str) -> DataFrame:
+    """Rows of some ranges."""
+    digests = _read_digests(spark, path)
+    rows = _of_folders(_rows(spark, path), digests.join(ranges, F.col(RANGE).eqNullSafe(F.col("r")), "left_semi"))
+    shared = digests.filter("per > 1").select("width").first()  # other ranges lie in the same folders
+    return rows.join(ranges, F.floor(F.col(key) / shared["width"]).eqNullSafe(F.col("r")), "left_semi") if shared else rows
 
 
 def snapshot_diff_stored(spark: SparkSession, prev: str, curr: str, key: str = "catalog_id") -> DataFrame:
-    """snapshot_diff() of two snapshots of write_snapshot() of one width: only ranges that differ are read."""
-    ranges = differing_ranges(spark, prev, curr)
-    return snapshot_diff(_some(_rows(spark, prev), ranges), _some(_rows(spark, curr), ranges), key)
+    """snapshot_diff() of two snapshots of write_snapshot() of one width: only folders with ranges that differ are read."""
+    ranges = written(_differing(spark, prev, curr), "ranges")
+    return snapshot_diff(_some(spark, prev, ranges, key), _some(spark, curr, ranges, key), key)
 
 
 def delta_stored(spark: SparkSession, path: str, start_time: int, key: str = "catalog_id", stamp: str = "last_record_update", global_order: bool = True) -> DataFrame:
-    """delta() of a snapshot: only ranges with a later stamp are read."""
-    late = [r[RANGE] for r in spark.read.parquet(f"{path}/digests").filter(F.col("top") > start_time).select(RANGE).collect()]  # a number for each range
-    return delta(_some(_rows(spark, path), late), start_time, key, stamp, global_order)
+    """delta() of a snapshot: only folders with a later stamp are read."""
+    late = _read_digests(spark, path).filter(F.col("top") > start_time)
+    return delta(_of_folders(_rows(spark, path), late), start_time, key, stamp, global_order)
 
 
 class IdMark:

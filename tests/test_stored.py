@@ -288,6 +288,27 @@ def test_equal_ranges_are_not_read(spark, tmp_path):
     assert stored.differing_ranges(spark, f"{tmp_path}/d", f"{tmp_path}/e") == [0]  # a value that moves to another column is a change
 
 
+def test_neighbouring_ranges_share_a_folder_where_there_are_many(spark, tmp_path):
+    schema = "catalog_id long, title string, last_record_update long"
+    old = [(i, f"t{i}", i) for i in range(5000)] + [(None, "no key", None)]
+    new = [(i, "changed" if i == 4321 else f"t{i}", 9000 if i == 4321 else i) for i in range(6000)] + [(None, "no key", None)]
+    a, b = f"{tmp_path}/a", f"{tmp_path}/b"
+    stored.write_snapshot(spark.createDataFrame(old, schema), a, width=1)
+    stored.write_snapshot(spark.createDataFrame(new, schema), b, width=1)
+    for name in ("a", "b"):
+        assert 200 < len(list((tmp_path / name / "rows").glob("__range=*"))) < 260
+    differ = [4321, *range(5000, 6000)]
+    assert sorted(stored.differing_ranges(spark, a, b)) == differ
+    for name, per in (("a", 20), ("b", 24)):  # folders of equal ranges aren't read
+        for folder in (tmp_path / name / "rows").glob("__range=*"):
+            at = folder.name.partition("=")[2]
+            if at.startswith("__") or not any(int(at) <= r < int(at) + per for r in differ):
+                shutil.rmtree(folder)
+    frames = [spark.createDataFrame([r for r in v if r[0] is not None], schema) for v in (old, new)]
+    assert rows(stored.snapshot_diff_stored(spark, a, b)) == rows(export.snapshot_diff(*frames))
+    assert rows(stored.delta_stored(spark, b, 8000)) == [(4321, "changed", 9000)]
+
+
 def test_ids_of_deleted_rows_are_not_given_out_again(spark, tmp_path):
     mark = stored.IdMark(spark, f"{tmp_path}/mark")
     new = lambda *keys: spark.createDataFrame([(k,) for k in keys], "id_name string")
